@@ -49,3 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(table: DataFrame, column: str, keep: Column, bound: int) -> DataFrame:
+    """doc_id, label of about `bound` labelled rows at most, picked by a hash of the id.
+
+    `keep` is a condition on doc_id that names the rows which may be learnt from. Rows of one id
+    count once (the larger label); null ids and labels are left out. The size is bounded in
+    expectation, whatever the size of the table, so the result can be broadcast.
+    """
+    rows = table.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & keep)
+    rows = rows.groupBy("doc_id").agg(F.max(F.col(column)).cast("int").alias("label"))
+    share = min(1.0, bound / max(1, table.count()))
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))

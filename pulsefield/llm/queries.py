@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import licenses, quality_rules
-from pulsefield.llm.common import documents
+from pulsefield.llm import licenses, quality_classifier, quality_rules, toxicity
+from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), id_bucket("doc_id", 3) == 1
+    sample = labelled_sample(labels(spark, sf_dir), "quality", ~held_out, quality_classifier.SAMPLE)
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, sample))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +25,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), id_bucket("doc_id", 5) == 0
+    sample = labelled_sample(labels(spark, sf_dir), "toxic", ~held_out, toxicity.SAMPLE)
+    scored = toxicity.score(docs, toxicity.train(docs, sample))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+        F.coalesce(F.aggregate("passages", F.lit(0), lambda a, p: a + p["end"] - p["start"]), F.lit(0)).alias("n_toxic_words"),
+    )
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(
@@ -29,6 +50,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scans": op10_license_scans,
 }
