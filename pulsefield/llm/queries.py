@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import licenses, quality_classifier, quality_rules, toxicity
+from pulsefield.llm import fingerprints, licenses, quality_classifier, quality_rules, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select(
@@ -51,6 +55,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scans": op10_license_scans,
