@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import fingerprints, licenses, quality_classifier, quality_rules, toxicity
+from pulsefield.llm import fingerprints, licenses, mixing, packing, quality_classifier, quality_rules, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -18,6 +18,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(mixing.sizes(documents(spark, sf_dir)))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -55,6 +64,8 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_mixing_sources": op4_mixing_sources,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,
