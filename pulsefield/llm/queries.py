@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import fingerprints, licenses, mixing, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from pulsefield.llm import fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_spans"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), id_bucket("doc_id", 3) == 1
     sample = labelled_sample(labels(spark, sf_dir), "quality", ~held_out, quality_classifier.SAMPLE)
@@ -69,6 +73,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
