@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from pulsefield.llm import chat, fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -36,6 +36,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,

@@ -29,13 +29,16 @@ other columns are never read. Ids are integers.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsefield.llm.common import WORD
 from pulsefield.llm.fm_index import matched_minimum
 
 WINDOW = 13
@@ -46,6 +49,7 @@ COMMON = 5_000
 PER_SHARD = 400
 CODES = 300_000
 _U = np.uint64
+_WORD = re.compile(WORD.encode())
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
@@ -206,3 +210,26 @@ def dedup(docs: DataFrame) -> DataFrame:
     without = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tie"), "text")
     without = without.withColumn("gone", F.lit(None).cast(judged.schema["gone"].dataType))
     return judged.union(without).mapInArrow(_kept, _OUT)
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts without their removed words; white space between kept words stays as it is."""
+    for batch in batches:
+        texts = []
+        for text, tie, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "tie", "gone")), strict=True):
+            spans = _spans(gone, tie)
+            if spans:
+                raw = text.encode()
+                edges = [m.span() for m in _WORD.finditer(raw)]
+                bounds = [0, *(x for a, b in spans for x in (edges[a][0], edges[b][0] if b < len(edges) else len(raw))), len(raw)]
+                text = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)).strip().decode()
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """`docs` with the removed words cut from `text`; documents of which nothing is left are dropped."""
+    _, gone = removed(docs)
+    tied = docs.withColumn("tie", F.xxhash64("text")).join(gone, "doc_id", "left")
+    cut = tied.select(*docs.columns, "tie", "gone").mapInArrow(partial(_cut_texts, columns=docs.columns), docs.schema)
+    return cut.filter(F.col("text").rlike(WORD))
