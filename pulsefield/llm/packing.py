@@ -20,7 +20,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ def tokenizer(vocabulary: str | None = None):
     return Tokenizer.from_file(vocabulary)
 
 
+@cache
 def encoder(vocabulary: str | None = None):
     """A function from a list of texts (bytes) to their ids, each a run of little-endian uint32.
 
@@ -58,7 +59,7 @@ def encoder(vocabulary: str | None = None):
 
     def encode(texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in kept})
+        new = list(set().union(*split).difference(kept))
         got = tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got, strict=True)}
         if len(kept) < KEPT:
