@@ -18,7 +18,7 @@ from pulsefield.llm import mixing, ngram_join, packing, quality_rules, substring
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

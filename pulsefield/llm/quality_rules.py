@@ -118,3 +118,11 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     """`docs` with its measures, base_failed and kept."""
     judged = measures(docs, text).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` that the rules keep, with the columns of `docs`."""
+    # The optimizer would write the nested measures out inside a pushed-down filter, many times over; it
+    # pushes nothing through a projection that numbers its rows.
+    judged = apply_rules(docs, text).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
