@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import WORD
+from pulsefield.llm.common import WORD, cut, release
 from pulsefield.llm.fm_index import matched_minimum
 
 WINDOW = 13
@@ -63,6 +63,10 @@ class Codes(dict):
         return code
 
 
+#: A Python worker keeps its table from task to task.
+_CODES = Codes()
+
+
 def _runs(h: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of `length` words."""
     n = len(h) - length + 1
@@ -73,13 +77,16 @@ def _runs(h: np.ndarray, length: int) -> np.ndarray:
     return g ^ (g >> _U(29))
 
 
-def anchors(ws: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes of the runs of ANCHOR words, and each window's anchor place."""
-    h = np.fromiter(map(codes.__getitem__, ws), _U, len(ws))
+    h = np.fromiter(map(_CODES.__getitem__, ws), _U, len(ws))
     g = _runs(h, ANCHOR)
-    width = WINDOW - ANCHOR + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1)
-    return h, g, at + np.arange(len(at))
+    # The offset rides in the four lowest bits, so that one running minimum finds value and place.
+    high, n = g & ~_U(15), len(ws) - WINDOW + 1
+    least = high[:n].copy()
+    for k in range(1, WINDOW - ANCHOR + 1):
+        np.minimum(least, high[k : k + n] | _U(k), out=least)
+    return h, g, (least & _U(15)).astype(np.int64) + np.arange(n)
 
 
 def _texts(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -87,12 +94,11 @@ def _texts(batch: pa.RecordBatch) -> list[list[bytes]]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = Codes()
     for batch in batches:
         ids, found, owners = batch.column("doc_id").to_pylist(), [], []
         for doc_id, ws in zip(ids, _texts(batch), strict=True):
             if len(ws) >= WINDOW:
-                _, g, at = anchors(ws, codes)
+                _, g, at = anchors(ws)
                 own = np.unique(g[at])
                 found.append(own)
                 owners.append(np.full(len(own), doc_id, np.int64))
@@ -103,24 +109,23 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of each text around its shared anchors."""
-    codes = Codes()
     for batch in batches:
         rows = []
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "tie", "shared", "common"))
         for doc_id, tie, shared, common, ws in zip(*columns, _texts(batch), strict=True):
             if len(ws) < WINDOW:
                 continue
-            h, g, at = anchors(ws, codes)
-            one = np.isin(g.view(np.int64), np.array(shared, np.int64))[at]
-            each = np.isin(g.view(np.int64), np.array(common, np.int64))[at]
+            h, g, at = anchors(ws)
+            own, among = np.unique(g[at].view(np.int64), return_inverse=True)
+            one = np.isin(own, np.array(shared, np.int64))[among]
             if one.any():
                 starts = np.flatnonzero(one & np.concatenate([[True], (at[1:] != at[:-1])]))
                 ends = np.concatenate([np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
                 ends = ends[np.searchsorted(ends, starts, "right")]
                 keys = g[at[starts]].view(np.int64)
                 rows += [(k, b" ".join(ws[a : b + WINDOW - 1]), doc_id, tie, a) for k, a, b in zip(keys.tolist(), starts.tolist(), ends.tolist(), strict=True)]
-            if each.any():
-                starts = np.flatnonzero(each)
+            if common:
+                starts = np.flatnonzero(np.isin(own, np.array(common, np.int64))[among])
                 keys = _runs(h, WINDOW)[starts].view(np.int64)
                 rows += [(k, b" ".join(ws[a : a + WINDOW]), doc_id, tie, a) for k, a in zip(keys.tolist(), starts.tolist(), strict=True)]
         if rows:
@@ -171,23 +176,31 @@ def _spans(gone: list | None, tie: int) -> list[tuple[int, int]]:
     return out
 
 
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """doc_id, shared, common: the anchors of each document that another one has, rare and common ones."""
+    found = texts.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long")
+    counted = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    shared = counted.filter("least < most").select("anchor", (F.col("n") > COMMON).alias("common"))
+    return cut(
+        found.join(shared, "anchor").groupBy("doc_id").agg(
+            F.collect_list(F.when(~F.col("common"), F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("common")
+        )
+    )
+
+
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts with an id (doc_id, text, tie), and per doc_id the removed intervals `gone`."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     texts = texts.withColumn("tie", F.xxhash64("text"))
     shards = max(1, docs.count() // PER_SHARD)
-    found = texts.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long")
-    counted = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    shared = counted.filter("least < most").select("anchor", (F.col("n") > COMMON).alias("common"))
-    lists = found.join(shared, "anchor").groupBy("doc_id").agg(
-        F.collect_list(F.when(~F.col("common"), F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("common"), F.col("anchor"))).alias("common")
-    )
-    cut = texts.join(lists, "doc_id").mapInArrow(_stretches, "key long, stretch binary, doc_id long, tie long, at int")
-    cut = cut.withColumn("name", F.xxhash64("stretch"))
-    distinct = cut.groupBy("key", "stretch", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    lists = shared_anchors(texts)
+    release(docs.sparkSession)
+    stretches = texts.join(lists, "doc_id").mapInArrow(_stretches, "key long, stretch binary, doc_id long, tie long, at int")
+    stretches = stretches.withColumn("name", F.xxhash64("stretch"))
+    distinct = stretches.groupBy("key", "stretch", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     sharded = distinct.withColumn("shard", F.pmod("key", F.lit(shards)))
     verdicts = sharded.groupBy("shard").applyInArrow(_verdicts, "key long, name long, windows array<long>")
-    hits = cut.select("key", "name", "doc_id", "tie", "at").join(verdicts, ["key", "name"])
+    hits = stretches.select("key", "name", "doc_id", "tie", "at").join(verdicts, ["key", "name"])
     # From the places of the windows that go to intervals: neighbours within a window run together.
     starts = F.filter(F.transform("windows", lambda m, i: F.when(m < F.col("doc_id"), F.col("at") + i)), lambda s: s.isNotNull())
     spans = F.transform(starts, lambda s: F.struct(F.col("tie").alias("tie"), s.alias("start"), (s + WINDOW).alias("end")))
@@ -231,5 +244,5 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """`docs` with the removed words cut from `text`; documents of which nothing is left are dropped."""
     _, gone = removed(docs)
     tied = docs.withColumn("tie", F.xxhash64("text")).join(gone, "doc_id", "left")
-    cut = tied.select(*docs.columns, "tie", "gone").mapInArrow(partial(_cut_texts, columns=docs.columns), docs.schema)
-    return cut.filter(F.col("text").rlike(WORD))
+    kept = tied.select(*docs.columns, "tie", "gone").mapInArrow(partial(_cut_texts, columns=docs.columns), docs.schema)
+    return kept.filter(F.col("text").rlike(WORD))
