@@ -22,32 +22,33 @@ from pyspark.sql import functions as F
 MAX_GAP = 3
 
 #: Fixed values: (identifier, pattern of the normalised sentence). Wording of public licence texts.
+_UNDER = r"^((this|all|the) \w+ is |also )*(released|licensed|distributed) under (a |the )?(terms of the )?"
 SENTENCES = (
-    ("apache2-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?apache( software)? license( \(?the license\)?)?,? (version )?2( 0)?$"),
+    ("apache2-licensed", _UNDER + r"apache( software)? license( the license)?( version)? 2( 0)?( the license)?$"),
     ("apache2-compliance", r"^you may not use this (file|work|software) except in compliance with the license$"),
     ("apache2-copy", r"^you may obtain a copy of the license at https? www apache org licenses license 2 0( txt)?$"),
     ("apache2-asis", r"^unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*$"),
-    ("mit-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?mit license$"),
+    ("mit-licensed", _UNDER + r"mit license$"),
     ("mit-grant", r"^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*$"),
     ("mit-notice", r"^the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software$"),
     ("mit-asis", r"^the software is provided as is without warranty of any kind express or implied.*$"),
     ("isc-grant", r"^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*$"),
-    ("bsd-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?(new |modified |simplified |[234] clause )?bsd( [234] clause)? license$"),
+    ("bsd-licensed", _UNDER + r"(new |modified |simplified |[234] clause )?bsd( [234] clause)? license$"),
     ("bsd-redistribution", r"^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$"),
     ("bsd-endorse", r"^neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software.*$"),
     ("bsd-asis", r"^this software is provided by the copyright holders and contributors as is and any express or implied warranties.*$"),
-    ("gpl2-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?gnu general public license,? (version|v) ?2( 0)?( only| or later)?$"),
-    ("gpl3-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?gnu general public license,? (version|v) ?3( 0)?( only| or later)?$"),
-    ("lgpl-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?gnu lesser general public license.*$"),
-    ("agpl-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(terms of the )?gnu affero general public license.*$"),
+    ("gpl2-licensed", _UNDER + r"gnu general public license (version|v) ?2( 0)?( only| or later)?$"),
+    ("gpl3-licensed", _UNDER + r"gnu general public license (version|v) ?3( 0)?( only| or later)?$"),
+    ("lgpl-licensed", _UNDER + r"gnu lesser general public license.*$"),
+    ("agpl-licensed", _UNDER + r"gnu affero general public license.*$"),
     ("gpl-free", r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*$"),
     ("gpl-hope", r"^this program is distributed in the hope that it will be useful but without any warranty.*$"),
     ("mpl2-subject", r"^this source code form is subject to the terms of the mozilla public license v 2 0$"),
-    ("ccby-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (a |the )?(creative commons attribution|cc by)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbysa-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (a |the )?(creative commons attribution sharealike|cc by sa)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbync-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (a |the )?(creative commons attribution noncommercial|cc by nc)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbyncnd-licensed", r"^(this \w+ is )?(released|licensed|distributed) under (a |the )?(creative commons attribution noncommercial noderivatives|cc by nc nd)( license)?( [234] 0)?( international)?( license)?$"),
-    ("cc0-dedicated", r"^(this \w+ is )?(released|licensed|distributed) under (the )?(creative commons zero|cc0).*$"),
+    ("ccby-licensed", _UNDER + r"(creative commons attribution|cc by)( license)?( [234] 0)?( international)?( license)?$"),
+    ("ccbysa-licensed", _UNDER + r"(creative commons attribution sharealike|cc by sa)( license)?( [234] 0)?( international)?( license)?$"),
+    ("ccbync-licensed", _UNDER + r"(creative commons attribution noncommercial|cc by nc)( license)?( [234] 0)?( international)?( license)?$"),
+    ("ccbyncnd-licensed", _UNDER + r"(creative commons attribution noncommercial noderivatives|cc by nc nd)( license)?( [234] 0)?( international)?( license)?$"),
+    ("cc0-dedicated", _UNDER + r"(creative commons zero|cc0).*$"),
     ("unlicense-domain", r"^this is free and unencumbered software released into the public domain$"),
     ("rights-reserved", r"^(copyright .* )?all rights reserved$"),
 )

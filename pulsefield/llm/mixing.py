@@ -88,7 +88,7 @@ def schedule(spark, quotas: list[tuple[int, int]], block: int = BLOCK) -> DataFr
 
 def positions(sized: DataFrame) -> DataFrame:
     """Adds `start`, the document's first word in its source's stream, and `nth`, its number within its bucket."""
-    keyed = sized.withColumn("_key", F.md5(F.col("doc_id").cast("string"))).withColumn("_bucket", F.substring("_key", 1, 4))
+    keyed = sized.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_bucket", F.substring("_key", 1, 4))
     same = [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source")]
     keyed = keyed.select("*", *same)
     sums = keyed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
@@ -131,10 +131,12 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def taken_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a whole copy for each time a document is taken, the last one cut where the target ends."""
-    amounts = mix(sizes(docs)).filter("taken > 0").select("doc_id", "source", "size", "taken")
-    counted = docs.withColumn("_size", n_words("text"))
-    same = (counted["doc_id"] == amounts["doc_id"]) & counted["source"].eqNullSafe(amounts["source"]) & (counted["_size"] == amounts["size"])
-    joined = counted.join(amounts, same).drop(amounts["doc_id"], amounts["source"], amounts["size"])
+    # Rows of one id are told apart by their order, the same on both sides.
+    key = F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id")
+    nth = lambda *last: F.row_number().over(Window.partitionBy("_id").orderBy("doc_id", "source", "_size", *last))
+    amounts = mix(sizes(docs)).select(key, "doc_id", "source", F.col("size").alias("_size"), "taken").withColumn("_nth", nth("taken")).select("_id", "_nth", "taken")
+    counted = docs.select(*docs.columns, key, n_words("text").alias("_size")).withColumn("_nth", nth("text"))
+    joined = counted.join(amounts.filter("taken > 0"), ["_id", "_nth"])
     left = F.col("taken") - F.col("copy") * F.col("_size")
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("_size")))))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
