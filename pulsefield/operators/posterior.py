@@ -60,8 +60,9 @@ def intercept_combination(draws: DataFrame, fields: DataFrame, season_of: DataFr
 
 def field_corr(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Pearson correlation of two columns by keys; NaN where one is constant."""
-    flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0)
-    return rows.groupBy(*keys).agg(F.when(flat, F.lit(float("nan"))).otherwise(F.corr(a, b)).alias("corr"))
+    # corr() itself divides by zero for a constant column under ANSI rules.
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return rows.groupBy(*keys).agg(F.coalesce(r, F.lit(float("nan"))).alias("corr"))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, density: bool = False) -> DataFrame:
