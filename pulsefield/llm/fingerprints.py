@@ -38,7 +38,7 @@ from pulsefield.llm.common import shuffle_partitions
 CELLS, GROW = 24, 4
 #: A passage ends, on average, after so many words.
 PASSAGE = 8
-CODES = 200_000
+CODES = 400_000
 #: Texts compared at once; bounds a task's memory besides its Arrow batch.
 BLOCK = 256
 _U = np.uint64
@@ -60,19 +60,46 @@ class Codes(dict):
         return code
 
 
+#: A Python worker keeps its table from task to task.
+_CODES = Codes()
+
+
+def _lines(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and the places of the last word of each line that has one."""
+    lines = [line.split() for line in text.split(b"\n")]
+    return [w for line in lines for w in line], np.cumsum([len(line) for line in lines if line]) - 1
+
+
+def _hashes(ws: list[bytes], codes: Codes) -> np.ndarray:
+    return np.fromiter(map(codes.__getitem__, ws), _U, len(ws))
+
+
 def digests(text: bytes, codes: Codes) -> np.ndarray:
     """The distinct passage digests of a text."""
-    lines = [line.split() for line in text.split(b"\n")]
-    ws = [w for line in lines for w in line]
-    if not ws:
+    ws, ends = _lines(text)
+    return _digests(_hashes(ws, codes), ends)
+
+
+def _edited_hashes(text: str, following: str, h: np.ndarray, h_next: np.ndarray, ws: list[bytes], codes: Codes) -> np.ndarray:
+    """Word hashes of the edited text (its words are `ws`): those of its two sources, but where they were cut or meet."""
+    half = len(text) // 2
+    before, after = len(text[: len(text) - half].encode().split()), len(following[:half].encode().split())
+    head, tail = max(before - 1, 0), max(after - 2, 0)
+    middle = len(ws) - 1 - tail
+    if len(ws) < 2 or middle < head:
+        return _hashes(ws, codes)
+    return np.concatenate([h[:head], _hashes(ws[head:middle], codes), h_next[1 : 1 + tail], _hashes(ws[-1:], codes)])
+
+
+def _digests(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    if not len(h):
         return np.zeros(0, _U)
-    h = np.fromiter(map(codes.__getitem__, ws), _U, len(ws))
     with np.errstate(over="ignore"):
         pair = _mix(h + np.concatenate([[_U(0)], h[:-1]]) * _U(3), 0x51ED)
     last = pair % _U(PASSAGE) == 0
-    last[np.cumsum([len(line) for line in lines if line]) - 1] = True
+    last[ends] = True
     starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    at = np.arange(len(ws)) - np.repeat(starts, np.diff(np.append(starts, len(ws))))
+    at = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
     d = _mix(np.add.reduceat(_mix(h, 1) * (_mix(at.astype(_U), 2) | _U(1)), starts), 3)
     order = np.argsort(d, kind="stable")
     s = d[order]
@@ -125,7 +152,7 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.nda
             if not len(pure):
                 break
             owner, k = pure // cells, key[pure]
-            _, one = np.unique(np.stack([owner.astype(_U), k]), axis=1, return_index=True) if len(pure) > 1 else (None, np.array([0]))
+            _, one = np.unique(k + owner.astype(_U) * _MULT, return_index=True)
             owner, k, s = owner[one], k[one], count[pure[one]]
             found.append((owner, k))
             touched = []
@@ -166,14 +193,14 @@ _SCHEMA = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order; each is compared with the next row of its bucket."""
-    codes, last, block = Codes(), None, []
+    codes, last, block = _CODES, None, []
 
     def flush() -> pa.RecordBatch:
         rows, pairs, sizes = [], [], []
-        for (doc_id, text, a), (following, b) in block:
-            new = edited(text, following)
-            raw = new.encode()
-            e = digests(raw, codes)
+        for (doc_id, text, h, a), (following, h_next, b) in block:
+            raw = edited(text, following).encode()
+            ws, ends = _lines(raw)
+            e = _digests(_edited_hashes(text, following, h, h_next, ws, codes), ends)
             pairs += [(a, e), (a, b)]
             sizes += [(len(a), len(e)), (len(a), len(b))]
             rows.append([doc_id, len(text), hashlib.sha256(raw).hexdigest(), fingerprint(a), fingerprint(e)])
@@ -190,12 +217,14 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("bucket", "ghost", "doc_id", "text"))
         for bucket, ghost, doc_id, text in zip(*columns, strict=True):
             text = text or ""
-            d = digests(text.encode(), codes)
+            ws, ends = _lines(text.encode())
+            h = _hashes(ws, codes)
+            d = _digests(h, ends)
             if last is not None and last[0] == bucket:
-                block.append((last[1], (text, d)))
+                block.append((last[1], (text, h, d)))
                 if len(block) >= BLOCK:
                     yield flush()
-            last = None if ghost else (bucket, (doc_id, text, d))
+            last = None if ghost else (bucket, (doc_id, text, h, d))
     if block:
         yield flush()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pulsefield.llm.licenses import SENTENCES
 from pulsefield.llm.quality_rules import STOP_WORDS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,4 +44,42 @@ SELECT *, NOT base_failed AND word_chars BETWEEN 2 * n_words AND 14 * n_words
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8}
+OP4 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, (2 * source_size)::DOUBLE AS cap FROM s
+), v AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS weight FROM w
+), l AS (
+  SELECT *, (1.5e0 * sum(source_size) OVER ()
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v
+), t AS (
+  SELECT source, source_size, place,
+    CASE WHEN cap < weight * level THEN cap
+      ELSE weight * (SELECT arg_min(level, struct_pack(r := cap / weight, p := place)) FROM l WHERE cap >= weight * level) END AS target FROM l
+), q AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS quota, ceil(floor(target + 0.5) / 16384)::BIGINT AS blocks FROM t
+), e AS (
+  SELECT *, sum(blocks) OVER (ORDER BY place) / (SELECT sum(blocks) FROM q)::DOUBLE AS upto FROM q
+), slots AS (
+  SELECT i AS slot, (i % 2147483648 * 1327217885 % 2147483648) / 2147483648e0 AS u FROM range((SELECT sum(blocks)::BIGINT FROM q)) r(i)
+), dealt AS (
+  SELECT slot, least((SELECT count(*) FROM e WHERE upto <= u), (SELECT max(place) FROM e)) AS place FROM slots
+), ranked AS (
+  SELECT slot, place, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block FROM dealt
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), k AS (
+  SELECT doc_id, size, source_size, target, start, place,
+    (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size))::BIGINT AS taken
+  FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target, taken, slot AS first_slot
+FROM k LEFT JOIN ranked ON taken > 0 AND ranked.place = k.place AND ranked.block = start // 16384
+"""
+
+ORACLES: dict[str, str] = {"op4_mixing_sources": OP4, "op8_quality_rules": OP8}

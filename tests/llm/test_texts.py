@@ -47,6 +47,24 @@ def test_license_rules(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_of_the_corpus(spark, corpus):
+    import regex
+
+    df = spark.createDataFrame([(i, t) for i, t, _ in corpus], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    single = {ids[0]: (k, name) for k, (name, ids) in reversed(list(enumerate(licenses.RULES))) if len(ids) == 1}
+    found = 0
+    for i, t, _ in corpus:
+        seq = []
+        for part in regex.split(licenses.SENTENCE_END, t):
+            norm = regex.sub(r"[^\p{L}\p{N}]+", " ", part.lower()).strip()
+            seq += [name for name, pattern in licenses.SENTENCES if regex.search(pattern, norm)][:1]
+        assert got[i].sentence_ids == seq
+        assert got[i].licenses == [name for _, name in sorted({single[x] for x in seq if x in single})]
+        found += len(seq)
+    assert found > 0
+
+
 def brute_likeness(a, b, codes):
     x, y = ({int(v) for v in fingerprints.digests(t.encode(), codes)} for t in (a, b))
     return len(x & y) / len(x | y) if x | y else 1.0
