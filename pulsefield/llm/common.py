@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,10 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver's garbage collector finds their plans unreachable; with a large
     driver heap that may not happen before the job ends.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # a round frees what the round before has unlinked
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
