@@ -48,23 +48,52 @@ def tokenizer(vocabulary: str | None = None):
     return Tokenizer.from_file(vocabulary)
 
 
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case and the marks at its end, where the tokenizer separates them for certain."""
+    core = word.rstrip(b".,!?;:")
+    if core and (48 <= core[-1] < 58 or 97 <= core[-1] | 32 < 123):
+        return core.lower(), word[len(core) :]
+    return word, b""
+
+
+def _encoded(tok, ws: list[bytes], together: int = 4000) -> dict[bytes, bytes]:
+    """The ids of each word; many words are encoded as one text and told apart by the tokens' offsets."""
+    out = {}
+    for low in range(0, len(ws), together):
+        some = ws[low : low + together]
+        texts = [w.decode() for w in some]
+        got = tok.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        owner = np.searchsorted(starts, np.array([o[0] for o in got.offsets], np.int64), "right") - 1
+        cuts = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+        raw = np.array(got.ids, "<u4").tobytes()
+        out.update((w, raw[x:y]) for w, x, y in zip(some, cuts, cuts[1:], strict=False))
+    return out
+
+
 @cache
 def encoder(vocabulary: str | None = None):
     """A function from a list of texts (bytes) to their ids, each a run of little-endian uint32.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words one
-    after the other, and each different word is encoded once.
+    after the other, and each different word is encoded once. A Python worker keeps its encoder from
+    task to task.
     """
-    tok, kept = tokenizer(vocabulary), {}
+    tok, kept, cores = tokenizer(vocabulary), {}, {}
 
     def encode(texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        new = list(set().union(*split).difference(kept))
-        got = tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got, strict=True)}
+        parts = {w: _parts(w) for w in set().union(*split).difference(kept)}
+        asked = {p for pair in parts.values() for p in pair if p and p not in cores}
+        fresh = _encoded(tok, sorted(asked))
+        if len(cores) < KEPT:
+            cores.update(fresh)
+        ids = {w: (cores.get(a) or fresh[a]) + (b and (cores.get(b) or fresh[b])) for w, (a, b) in parts.items()}
         if len(kept) < KEPT:
             kept.update(ids)
-        find = {**kept, **ids}.__getitem__ if ids and len(kept) >= KEPT else kept.__getitem__
+            find = kept.__getitem__
+        else:
+            find = lambda w: kept.get(w) or ids[w]
         return [b"".join(map(find, ws)) for ws in split]
 
     return encode
