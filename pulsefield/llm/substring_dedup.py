@@ -5,7 +5,7 @@ document with a smaller id.
 
 1. Anchors. Every window has an anchor: of its runs of `ANCHOR` words, the one with the least hash.
    Equal windows have equal anchors, and neighbouring windows mostly share theirs, so a text has about
-   one anchor for five words. Counting the documents of each anchor (pre-aggregated, two numbers each)
+   one anchor for four words. Counting the documents of each anchor (pre-aggregated, two numbers each)
    leaves the anchors that two documents share.
 2. Stretches. Texts with shared anchors are cut into stretches, the runs of windows with one anchor.
    Equal stretches are aggregated first (least and largest id), so a passage that very many documents
@@ -35,6 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +43,16 @@ from pulsefield.llm.common import WORD, cut, release
 from pulsefield.llm.fm_index import matched_minimum
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 7
 #: An anchor in more documents than this deals its windows one by one.
 COMMON = 5_000
 #: Documents for each shard; a shard holds their shared stretches only.
 PER_SHARD = 400
-CODES = 300_000
 _U = np.uint64
 _WORD = re.compile(WORD.encode())
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
 
-class Codes(dict):
-    """Word (bytes) to a 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < CODES:
-            self[word] = code
-        return code
-
-
-#: A Python worker keeps its table from task to task.
-_CODES = Codes()
-
-
 def _runs(h: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of `length` words."""
     n = len(h) - length + 1
@@ -79,7 +65,7 @@ def _runs(h: np.ndarray, length: int) -> np.ndarray:
 
 def anchors(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes of the runs of ANCHOR words, and each window's anchor place."""
-    h = np.fromiter(map(_CODES.__getitem__, ws), _U, len(ws))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), _U, len(ws))
     g = _runs(h, ANCHOR)
     # The offset rides in the four lowest bits, so that one running minimum finds value and place.
     high, n = g & ~_U(15), len(ws) - WINDOW + 1
