@@ -115,7 +115,7 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with its measures, base_failed and kept."""
+    """`docs` with its measures, base_failed and kept. To filter on these, see kept_documents."""
     judged = measures(docs, text).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
