@@ -88,12 +88,13 @@ def encoder(vocabulary: str | None = None):
         fresh = _encoded(tok, sorted(asked))
         if len(cores) < KEPT:
             cores.update(fresh)
-        ids = {w: (cores.get(a) or fresh[a]) + (b and (cores.get(b) or fresh[b])) for w, (a, b) in parts.items()}
+        known = lambda p: cores[p] if p in cores else fresh[p]  # a word of white space alone has no ids
+        ids = {w: known(a) + (b and known(b)) for w, (a, b) in parts.items()}
         if len(kept) < KEPT:
             kept.update(ids)
             find = kept.__getitem__
         else:
-            find = lambda w: kept.get(w) or ids[w]
+            find = lambda w: kept[w] if w in kept else ids[w]
         return [b"".join(map(find, ws)) for ws in split]
 
     return encode

@@ -128,6 +128,14 @@ def test_pieces_are_those_of_the_tokenizer(spark, odd, rows, corpus):
     assert len(by_sequence) <= -(-sum(w[3] for w in want) // 512) + 1
 
 
+@pytest.mark.parametrize("first", ["\u00a0 one two three", "one one, one. one;", "one two\u3000three \u2028 four"])
+def test_words_without_ids_when_the_memo_is_full(monkeypatch, first):
+    monkeypatch.setattr(packing, "KEPT", 3)
+    tok, encode = packing.tokenizer(), packing.encoder.__wrapped__()
+    for text in (first, "four \u00a0 one, \u2028 \u3000 .", "five \u00a0 one, \u2028 \u0085 \u3000 four", "\u00a0"):
+        assert encode([text.encode()]) == [np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_fullest_combination(seed):
     rng = np.random.default_rng(seed)
