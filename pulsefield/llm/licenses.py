@@ -1,7 +1,9 @@
 """License scans: known licence sentences by identifier, then ordered rules over the identifiers.
 
-A text is cut into sentences, each sentence is normalised and looked up among the known sentences (a
-fixed table of a few dozen patterns). What remains per text is a short sequence of identifiers
+A text is cut into sentences at blank lines and sentence marks. A single line end is white space, so a
+wrapped sentence is whole, but a known sentence may begin at any line's begin and end at any line's end.
+Each is normalised and looked up among the known sentences (a fixed table of a few dozen patterns). What
+remains per text is a short sequence of identifiers
 in reading order; a rule is an ordered list of identifiers, and it fires where its list occurs as a
 subsequence whose neighbours lie at most `MAX_GAP` sentences apart. A rule that another firing rule of
 the same text contains, at the same place, is dropped ("ordered": the first rule in the table wins).
@@ -23,31 +25,33 @@ MAX_GAP = 3
 
 #: Fixed values: (identifier, pattern of the normalised sentence). Wording of public licence texts.
 _UNDER = r"^((this|all|the) \w+ is |also )*(released|licensed|distributed) under (a |the )?(terms of the )?"
+_NO_MORE = r"\b(?! (nc|nd|sa|non ?commercial|no ?deriv\w*|share ?alike)\b)"
 SENTENCES = (
-    ("apache2-licensed", _UNDER + r"apache( software)? license( the license)?( version)? 2( 0)?( the license)?$"),
+    ("apache2-licensed", _UNDER + r"apache( software)? license( the license)?( version)? 2(?! [1-9]\b)\b"),
     ("apache2-compliance", r"^you may not use this (file|work|software) except in compliance with the license$"),
     ("apache2-copy", r"^you may obtain a copy of the license at https? www apache org licenses license 2 0( txt)?$"),
     ("apache2-asis", r"^unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*$"),
-    ("mit-licensed", _UNDER + r"mit license$"),
+    ("mit-licensed", _UNDER + r"mit license\b"),
     ("mit-grant", r"^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*$"),
     ("mit-notice", r"^the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software$"),
     ("mit-asis", r"^the software is provided as is without warranty of any kind express or implied.*$"),
-    ("isc-grant", r"^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*$"),
-    ("bsd-licensed", _UNDER + r"(new |modified |simplified |[234] clause )?bsd( [234] clause)? license$"),
-    ("bsd-redistribution", r"^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$"),
+    ("isc-grant", r"^permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted.*$"),
+    ("isc-asis", r"^the software is provided as is and the authors? disclaims? all warranties.*$"),
+    ("bsd-licensed", _UNDER + r"(new |modified |simplified |[234] clause )?bsd( [234] clause)? license\b"),
+    ("bsd-redistribution", r"^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met\b"),
     ("bsd-endorse", r"^neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software.*$"),
     ("bsd-asis", r"^this software is provided by the copyright holders and contributors as is and any express or implied warranties.*$"),
-    ("gpl2-licensed", _UNDER + r"gnu general public license (version|v) ?2( 0)?( only| or later)?$"),
-    ("gpl3-licensed", _UNDER + r"gnu general public license (version|v) ?3( 0)?( only| or later)?$"),
+    ("gpl2-licensed", _UNDER + r"gnu general public license (version|v) ?2(?! [1-9]\b)\b"),
+    ("gpl3-licensed", _UNDER + r"gnu general public license (version|v) ?3(?! [1-9]\b)\b"),
     ("lgpl-licensed", _UNDER + r"gnu lesser general public license.*$"),
     ("agpl-licensed", _UNDER + r"gnu affero general public license.*$"),
     ("gpl-free", r"^this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation.*$"),
     ("gpl-hope", r"^this program is distributed in the hope that it will be useful but without any warranty.*$"),
     ("mpl2-subject", r"^this source code form is subject to the terms of the mozilla public license v 2 0$"),
-    ("ccby-licensed", _UNDER + r"(creative commons attribution|cc by)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbysa-licensed", _UNDER + r"(creative commons attribution sharealike|cc by sa)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbync-licensed", _UNDER + r"(creative commons attribution noncommercial|cc by nc)( license)?( [234] 0)?( international)?( license)?$"),
-    ("ccbyncnd-licensed", _UNDER + r"(creative commons attribution noncommercial noderivatives|cc by nc nd)( license)?( [234] 0)?( international)?( license)?$"),
+    ("ccby-licensed", _UNDER + r"(creative commons attribution|cc by)" + _NO_MORE),
+    ("ccbysa-licensed", _UNDER + r"(creative commons attribution sharealike|cc by sa)" + _NO_MORE),
+    ("ccbync-licensed", _UNDER + r"(creative commons attribution noncommercial|cc by nc)" + _NO_MORE),
+    ("ccbyncnd-licensed", _UNDER + r"(creative commons attribution noncommercial noderivatives|cc by nc nd)" + _NO_MORE),
     ("cc0-dedicated", _UNDER + r"(creative commons zero|cc0).*$"),
     ("unlicense-domain", r"^this is free and unencumbered software released into the public domain$"),
     ("rights-reserved", r"^(copyright .* )?all rights reserved$"),
@@ -59,6 +63,7 @@ RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse", "bsd-asis")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-asis")),
+    ("ISC", ("isc-grant", "isc-asis")),
     ("ISC", ("isc-grant", "mit-asis")),
     ("GPL", ("gpl-free", "gpl-hope")),
     ("Apache-2.0", ("apache2-licensed",)),
@@ -81,9 +86,17 @@ RULES = (
     ("All-Rights-Reserved", ("rights-reserved",)),
 )
 #: Words of which every known sentence has at least one; only sentences with one are normalised.
-TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public domain|compliance|as is|\bcc0\b|free software|rights reserved|hope that"
-#: A sentence ends at a line end, or at . ! ? ; before white space (a dot inside 2.0 ends nothing).
-SENTENCE_END = r"\n+|(?<=[.!?;])[\x20\x09-\x0D]+"
+TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public\W+domain|compliance|as\W+is|\bcc0\b|free\W+software|rights\W+reserved|hope\W+that"
+#: Words with which every known sentence begins.
+START = r"^(released|licensed|distributed|this|all|the|also|you may|unless|permission|redistribution|neither|copyright)\b"
+#: Words of the longest known sentence and more; a line has a word at least, so no sentence takes more lines.
+REACH = 100
+#: A sentence ends at . ! ? ; before white space (a dot inside 2.0 ends nothing, nor does the mark in "free software; you can").
+_MARK = r"(?<=[.!?;])(?<!(?i:free\W{1,8}software;))[\x20\x09-\x0D]+"
+#: And at a line without letters and digits (blank, or only comment marks), unless an address follows.
+TEXT_END = r"\n[^\p{L}\p{N}\n]*+\n(?!\W{0,80}https?://)|" + _MARK
+#: The ends of sentences where each keeps to one line.
+SENTENCE_END = r"\n+|" + _MARK
 
 
 def normalised(sentence: Column) -> Column:
@@ -91,22 +104,48 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def identifier(norm: Column) -> Column:
-    """The identifier of the first known sentence that a normalised sentence matches, or null."""
-    key = F.lit(None).cast("string")
+def _lines(sentence: Column) -> Column:
+    """The normalised lines of a sentence that have a word, without comment words."""
+    lines = F.transform(F.split(sentence, r"\n"), lambda x: F.regexp_replace(normalised(x), r"^(dnl|rem)( |$)", ""))
+    return F.filter(lines, lambda x: x != "")
+
+
+def identifier(lines: Column) -> Column:
+    """The first known sentence that begins the lines (joined by line ends) and the line ends in it, or null."""
+    key = F.lit(None).cast("struct<sentence_id:string,more:int>")
     for name, pattern in reversed(SENTENCES):
-        key = F.when(norm.rlike(pattern), F.lit(name)).otherwise(key)
+        wrapped = "(?m)" + pattern.replace("^", r"\A", 1).replace(".* nor", r"[\s\S]* nor").replace(" ", r"[ \n]")
+        hit = F.regexp_extract(lines, wrapped, 0)
+        more = (F.length(hit) - F.length(F.replace(hit, F.lit("\n"), F.lit("")))).cast("int")
+        key = F.when(lines.rlike(wrapped), F.struct(F.lit(name).alias("sentence_id"), more.alias("more"))).otherwise(key)
     return key
 
 
 def known_sentences(text: Column) -> Column:
-    """array<struct<place, sentence_id>> of a text, in reading order; place counts all its sentences from 0."""
-    parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    """array<struct<place, sentence_id>> of a text, in reading order; place counts all its sentences from 0.
+
+    What has no two letters in a row, such as the number of a list item, does not count as a sentence.
+    """
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), TEXT_END), lambda s: s.rlike(r"(?<![\p{L}\p{N}])(?!(?i:dnl|rem)[^\p{L}])\p{L}{2}"))
     placed = F.transform(parts, lambda s, i: F.struct(i.alias("place"), s.alias("sentence")))
     asked = F.filter(placed, lambda p: p["sentence"].rlike(TRIGGER))
-    named = F.transform(asked, lambda p: F.struct(p["place"].alias("place"), identifier(normalised(p["sentence"])).alias("sentence_id")))
+    cut = F.transform(asked, lambda p: F.struct(p["place"].alias("place"), _lines(p["sentence"]).alias("lines")))
+
+    def named(p: Column) -> Column:
+        at = lambda k: F.transform(F.array(F.concat_ws("\n", F.slice(p["lines"], k + 1, REACH))), identifier)[0]
+        return F.transform(p["lines"], lambda x, k: F.struct(p["place"].alias("place"), k.alias("line"), F.when(x.rlike(START), at(k)).alias("hit")))
+
+    hits = F.filter(F.flatten(F.transform(cut, named)), lambda h: h["hit"].isNotNull())
+
+    def apart(hs: Column) -> Column:
+        """Without those inside the one before ("this work is" / "licensed under ..." on two lines)."""
+        before = lambda i: F.get(hs, i - 1)
+        inside = lambda h, i: (before(i)["place"] == h["place"]) & (before(i)["line"] + before(i)["hit"]["more"] >= h["line"])
+        own = F.filter(hs, lambda h, i: ~F.coalesce(inside(h, i), F.lit(False)))
+        return F.transform(own, lambda h: F.struct(h["place"].alias("place"), h["hit"]["sentence_id"].alias("sentence_id")))
+
     none = F.array().cast("array<struct<place:int,sentence_id:string>>")
-    return F.when(text.rlike(TRIGGER), F.filter(named, lambda p: p["sentence_id"].isNotNull())).otherwise(none)
+    return F.when(text.rlike(TRIGGER), F.transform(F.array(hits), apart)[0]).otherwise(none)
 
 
 def _fires(seq: Column, ids: tuple[str, ...]) -> Column:

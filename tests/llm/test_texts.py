@@ -47,6 +47,70 @@ def test_license_rules(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice in the documentation.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Copyright (c) 2020 A. Writer
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that this notice appears in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."""
+WHOLE = (
+    (MIT, "MIT", ["mit-grant", "mit-notice", "mit-asis"]),
+    (BSD, "BSD-3-Clause", ["bsd-redistribution", "bsd-endorse", "bsd-asis"]),
+    (BSD.replace(BSD[BSD.index("3. ") : BSD.index("\nTHIS")], ""), "BSD-2-Clause", ["bsd-redistribution", "bsd-asis"]),
+    (ISC, "ISC", ["isc-grant", "isc-asis"]),
+    (GPL, "GPL", ["gpl-free", "gpl-hope"]),
+    (APACHE, "Apache-2.0", ["apache2-licensed", "apache2-compliance", "apache2-copy", "apache2-asis"]),
+)
+
+
+@pytest.mark.parametrize(("width", "mark", "end"), [(0, "", "\n"), (78, "", "\n"), (40, "# ", "\n"), (30, " * ", "\r\n"), (78, "// ", "\n"), (60, "dnl ", "\n")])
+def test_wrapped_licenses(spark, width, mark, end):
+    import textwrap
+
+    wrap = lambda t: end.join(mark + x for line in t.split("\n") for x in (textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) if width else [line]) or [""])
+    df = spark.createDataFrame([(k, wrap(t)) for k, (t, _, _) in enumerate(WHOLE)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for k, (_, name, ids) in enumerate(WHOLE):
+        assert got[k].sentence_ids == ids
+        assert name in got[k].licenses
+        assert licenses.RULES[got[k].spans[0].rule] == (name, tuple(ids))
+
+
+def test_licence_lines_with_more_words(spark):
+    texts = {
+        "This project is licensed under the MIT License - see the LICENSE file for details": ["MIT"],
+        "Notes\nThis work is\nlicensed under the\nMIT License\nand more words\nAll rights\nreserved": ["MIT", "All-Rights-Reserved"],
+        "Licensed under CC BY-NC-ND 4.0 by the author": ["CC-BY-NC-ND"],
+        "Licensed under CC BY-SA 4.0 by the author": ["CC-BY-SA"],
+        "Licensed under CC BY 4.0 by the author": ["CC-BY"],
+        "Licensed under CC BY-NC-SA 4.0 by the author": [],
+        "Released under the Apache License 2.0 by us": ["Apache-2.0"],
+        "Released under the Apache License 2.1 by us": [],
+        "Released under the MIT Licenses page": [],
+    }
+    df = spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert {t: r.licenses for t, r in got.items()} == texts
+    assert all(len(r.sentence_ids) == len(r.licenses) for r in got.values())
+
+
 def test_licenses_of_the_corpus(spark, corpus):
     import regex
 
