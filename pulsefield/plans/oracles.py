@@ -224,3 +224,14 @@ ORACLES: dict[str, str] = {
     "daily_counts_top5": _sql("hot", _hotspots(0.9, 0.1) + " SELECT kind, rank, ts::DATE AS day, count(*) AS n FROM eb JOIN ranked USING (cell_id) WHERE rank <= 5 GROUP BY ALL"),
     "check_events": _sql("eb", "SELECT count(*) FILTER (WHERE ts IS NULL) AS null_ts, count(*) FILTER (WHERE cell_id IS NULL) AS null_cell_id, count(*) AS n FROM eb"),
 }
+
+
+def _all_draws(sql: str) -> str:
+    """The SQL of a query over four draws, over all 200."""
+    for name in ("draws", "fields", "effect"):
+        sql = sql.replace(f"{name}4", f"{name}200")
+    return sql.replace("range(4)", "range(200)")
+
+
+#: Queries over draws with the same SQL over all of them.
+ORACLES |= {f"{k}_all": _all_draws(v) for k, v in ORACLES.items() if "draws4" in v}

@@ -25,7 +25,8 @@ WINDOW, RADIUS = 0.4, 0.05
 HAWKES = {"a_0": 3.0, "alpha": 0.3, "beta": 0.05, "sigmax_2": 0.01}
 PRIORS = {"a_0": Normal(0, 5), "alpha": Beta(2, 2), "beta": HalfNormal(1), "sigmax_2": HalfNormal(0.25)}
 WEIGHTS = {"c1": "w1", "c2": "w2", "c3": "w3"}
-N_DRAWS = 4
+#: Draws of the queries held to their SQL at four; each runs over every draw too, as <name>_all.
+N_DRAWS, ALL_DRAWS = 4, 200
 
 
 def _r(c: str | Column, n: int = 6) -> Column:
@@ -220,15 +221,15 @@ def standardized_cov(s, sf):
     return cells.groupBy("cov_id").agg(F.count("*").alias("n"), *[_r(F.sum(c), 4).alias(c) for c in ("c1", "c2", "c3")])
 
 
-def covariate_effect(s, sf):
+def covariate_effect(s, sf, n_draws=N_DRAWS):
     """The linear predictor at events: sums by draw."""
-    effect = lk.covariate_effect(fx.covariates(s), fx.draws(s, N_DRAWS), WEIGHTS)
+    effect = lk.covariate_effect(fx.covariates(s), fx.draws(s, n_draws), WEIGHTS)
     at = sp.rect_join(fx.events_e(s, sf).select("point_id", "X", "Y"), fx.covariates(s).withColumns({c: _r(c, 9) for c in ("x_min", "x_max", "y_min", "y_max")}))
     return at.select("point_id", "cov_id").join(effect, "cov_id").groupBy("draw_id").agg(_r(F.sum("b_0"), 3).alias("b_0"), F.count("*").alias("n"))
 
 
-def background_at_events(s, sf):
-    return _rounded(lk.background_at_events(_ev(s, sf), fx.fields(s, N_DRAWS), fx.draws(s, N_DRAWS)), 5)
+def background_at_events(s, sf, n_draws=N_DRAWS):
+    return _rounded(lk.background_at_events(_ev(s, sf), fx.fields(s, n_draws), fx.draws(s, n_draws)), 5)
 
 
 def sufficient_counts(s, sf):
@@ -248,71 +249,71 @@ def hawkes_loglik(s, sf):
     return _rounded(_hawkes(s, sf, lk.one_draw(s, **HAWKES)).drop("draw_id"), 3)
 
 
-def score_draws(s, sf):
-    return _rounded(_hawkes(s, sf, fx.draws(s, N_DRAWS)), 3)
+def score_draws(s, sf, n_draws=N_DRAWS):
+    return _rounded(_hawkes(s, sf, fx.draws(s, n_draws)), 3)
 
 
-def power_law_excitation(s, sf):
-    rows = lk.excitation(_pairs(s, sf), fx.draws(s, N_DRAWS).withColumn("Lambda", F.col("sigmax_2") * 5), PowerLaw(), DoubleExponential())
+def power_law_excitation(s, sf, n_draws=N_DRAWS):
+    rows = lk.excitation(_pairs(s, sf), fx.draws(s, n_draws).withColumn("Lambda", F.col("sigmax_2") * 5), PowerLaw(), DoubleExponential())
     return rows.groupBy("draw_id").agg(F.count("*").alias("n"), _r(F.sum("excitation"), 2).alias("excitation"))
 
 
-def power_law_integral(s, sf):
-    d = fx.draws(s, N_DRAWS).withColumn("Lambda", F.col("sigmax_2") * 5)
+def power_law_integral(s, sf, n_draws=N_DRAWS):
+    d = fx.draws(s, n_draws).withColumn("Lambda", F.col("sigmax_2") * 5)
     return _rounded(lk.excitation_integral(_ev(s, sf), d, E, PowerLaw(), DoubleExponential(), WINDOW), 3)
 
 
-def hawkes_cov_integral(s, sf):
+def hawkes_cov_integral(s, sf, n_draws=N_DRAWS):
     """The background integral with covariates, beside the events."""
-    draws = fx.draws(s, N_DRAWS)
+    draws = fx.draws(s, n_draws)
     cov = fx.covariates(s).withColumn("area", F.lit(0.01))
     rows = lk.hawkes_integral_covariates(draws, lk.covariate_effect(cov, draws, WEIGHTS), cov, E)
     return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))), 4)
 
 
-def lgcp_loglik(s, sf):
-    return _rounded(lk.lgcp_scores(lk.sufficient_counts(_ev(s, sf)), fx.fields(s, N_DRAWS), fx.draws(s, N_DRAWS), E), 3)
+def lgcp_loglik(s, sf, n_draws=N_DRAWS):
+    return _rounded(lk.lgcp_scores(lk.sufficient_counts(_ev(s, sf)), fx.fields(s, n_draws), fx.draws(s, n_draws), E), 3)
 
 
-def lgcp_cov_loglik(s, sf):
+def lgcp_cov_loglik(s, sf, n_draws=N_DRAWS):
     """A Cox model with covariates: the integral runs over the overlay pieces."""
-    draws, fields, cov = fx.draws(s, N_DRAWS), fx.fields(s, N_DRAWS), fx.covariates(s)
+    draws, fields, cov = fx.draws(s, n_draws), fx.fields(s, n_draws), fx.covariates(s)
     effect = lk.covariate_effect(cov, draws, WEIGHTS)
     cells = sp.rect_join(_ev(s, sf), cov.withColumns({c: _r(c, 9) for c in ("x_min", "x_max", "y_min", "y_max")}))
     space = lk.space_integral_covariates(fields, sp.overlay_rectangles(pp.space_grid(s, E), cov), effect)
     return _rounded(lk.lgcp_scores(lk.sufficient_counts(cells, "cov_id"), fields, draws, E, space, effect), 3)
 
 
-def cox_hawkes_loglik(s, sf):
+def cox_hawkes_loglik(s, sf, n_draws=N_DRAWS):
     model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, RADIUS, cox_background=True)
-    return _rounded(model.score(fx.draws(s, N_DRAWS), fx.fields(s, N_DRAWS)), 3)
+    return _rounded(model.score(fx.draws(s, n_draws), fx.fields(s, n_draws)), 3)
 
 
-def marginal_rates(s, sf):
-    rows = lk.marginal_rates(fx.fields(s, N_DRAWS), fx.draws(s, N_DRAWS), E)
+def marginal_rates(s, sf, n_draws=N_DRAWS):
+    rows = lk.marginal_rates(fx.fields(s, n_draws), fx.draws(s, n_draws), E)
     return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))), 4)
 
 
-def log_expected_likelihood(s, sf):
-    return _rounded(lk.log_expected_likelihood(_hawkes(s, sf, fx.draws(s, N_DRAWS))), 3)
+def log_expected_likelihood(s, sf, n_draws=N_DRAWS):
+    return _rounded(lk.log_expected_likelihood(_hawkes(s, sf, fx.draws(s, n_draws))), 3)
 
 
-def expected_aic(s, sf):
+def expected_aic(s, sf, n_draws=N_DRAWS):
     k = lk.Model("hawkes", E, _ev(s, sf)).n_params()
-    return _rounded(lk.expected_aic(_hawkes(s, sf, fx.draws(s, N_DRAWS)), k), 3)
+    return _rounded(lk.expected_aic(_hawkes(s, sf, fx.draws(s, n_draws)), k), 3)
 
 
-def excitation_share(s, sf):
-    return _rounded(lk.excitation_share(_hawkes(s, sf, fx.draws(s, N_DRAWS))))
+def excitation_share(s, sf, n_draws=N_DRAWS):
+    return _rounded(lk.excitation_share(_hawkes(s, sf, fx.draws(s, n_draws))))
 
 
-def log_prior_scores(s, sf):
-    rows = _hawkes(s, sf, fx.draws(s, N_DRAWS)).select("draw_id", "loglik").join(log_prior(fx.draws(s, N_DRAWS), PRIORS), "draw_id")
+def log_prior_scores(s, sf, n_draws=N_DRAWS):
+    rows = _hawkes(s, sf, fx.draws(s, n_draws)).select("draw_id", "loglik").join(log_prior(fx.draws(s, n_draws), PRIORS), "draw_id")
     return rows.select("draw_id", _r("log_prior").alias("log_prior"), _r(F.col("loglik") + F.col("log_prior"), 3).alias("log_posterior"))
 
 
-def posterior_weights(s, sf):
-    d = fx.draws(s, N_DRAWS)
+def posterior_weights(s, sf, n_draws=N_DRAWS):
+    d = fx.draws(s, n_draws)
     scores = _hawkes(s, sf, d).withColumn("loglik", F.col("loglik") / F.lit(1e5))
     return _rounded(fit.posterior_weights(scores, log_prior(d, PRIORS)), 5)
 
@@ -465,7 +466,12 @@ _NAMED = (
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
+#: Queries over draws, registered over all of them as <name>_all.
+_OF_DRAWS = (
+    covariate_effect, background_at_events, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates,
+    log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED} | {
     "hotspots_90": partial(hotspots, method="90/10"),
     "daily_counts_top5": partial(daily_counts, mode="top5"),
-}
+} | {f"{f.__name__}_all": partial(f, n_draws=ALL_DRAWS) for f in _OF_DRAWS}

@@ -228,3 +228,10 @@ def test_daily_counts_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM daily").first()[0] == ev.count()
+
+
+def test_queries_over_draws_cover_every_draw(spark):
+    from pulsefield.plans.queries import QUERIES
+
+    for name in ("score_draws", "cox_hawkes_loglik", "lgcp_cov_loglik", "posterior_weights"):
+        assert {r.draw_id for r in QUERIES[f"{name}_all"](spark, SF).select("draw_id").distinct().collect()} == set(range(200))
