@@ -226,12 +226,15 @@ ORACLES: dict[str, str] = {
 }
 
 
-def _all_draws(sql: str) -> str:
-    """The SQL of a query over four draws, over all 200."""
+_NEAR = " AND sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) <= 0.05"
+
+
+def _all(sql: str) -> str:
+    """The SQL of a query over four draws and near pairs, over all 200 draws and pairs at any distance."""
     for name in ("draws", "fields", "effect"):
         sql = sql.replace(f"{name}4", f"{name}200")
-    return sql.replace("range(4)", "range(200)")
+    return sql.replace("range(4)", "range(200)").replace(_NEAR, "")
 
 
-#: Queries over draws with the same SQL over all of them.
-ORACLES |= {f"{k}_all": _all_draws(v) for k, v in ORACLES.items() if "draws4" in v}
+#: The queries over draws and the likelihoods and fits on pairs, with the same SQL over all of them.
+ORACLES |= {f"{k}_all": _all(v) for k, v in ORACLES.items() if "draws4" in v or k in ("excitation", "em_step", "triggered_probability")}

@@ -46,8 +46,8 @@ def _ov(spark: SparkSession, sf: str) -> DataFrame:
     return pp.prepare(fx.events_o(spark, sf), O)
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.event_pairs(_ev(spark, sf), WINDOW, RADIUS)
+def _pairs(spark: SparkSession, sf: str, radius: float | None = RADIUS) -> DataFrame:
+    return pr.event_pairs(_ev(spark, sf), WINDOW, radius)
 
 
 def read_events(s, sf):
@@ -236,25 +236,25 @@ def sufficient_counts(s, sf):
     return lk.sufficient_counts(_ev(s, sf))
 
 
-def excitation(s, sf):
+def excitation(s, sf, radius=RADIUS):
     one = lk.one_draw(s, **HAWKES)
-    return lk.excitation(_pairs(s, sf), one, Exponential(), Gaussian()).select("i", _r("excitation", 5).alias("excitation"))
+    return lk.excitation(_pairs(s, sf, radius), one, Exponential(), Gaussian()).select("i", _r("excitation", 5).alias("excitation"))
 
 
-def _hawkes(s, sf, draws):
-    return lk.hawkes_scores(_ev(s, sf), _pairs(s, sf), draws, E, Exponential(), Gaussian(), WINDOW)
+def _hawkes(s, sf, draws, radius=RADIUS):
+    return lk.hawkes_scores(_ev(s, sf), _pairs(s, sf, radius), draws, E, Exponential(), Gaussian(), WINDOW)
 
 
 def hawkes_loglik(s, sf):
     return _rounded(_hawkes(s, sf, lk.one_draw(s, **HAWKES)).drop("draw_id"), 3)
 
 
-def score_draws(s, sf, n_draws=N_DRAWS):
-    return _rounded(_hawkes(s, sf, fx.draws(s, n_draws)), 3)
+def score_draws(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    return _rounded(_hawkes(s, sf, fx.draws(s, n_draws), radius), 3)
 
 
-def power_law_excitation(s, sf, n_draws=N_DRAWS):
-    rows = lk.excitation(_pairs(s, sf), fx.draws(s, n_draws).withColumn("Lambda", F.col("sigmax_2") * 5), PowerLaw(), DoubleExponential())
+def power_law_excitation(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    rows = lk.excitation(_pairs(s, sf, radius), fx.draws(s, n_draws).withColumn("Lambda", F.col("sigmax_2") * 5), PowerLaw(), DoubleExponential())
     return rows.groupBy("draw_id").agg(F.count("*").alias("n"), _r(F.sum("excitation"), 2).alias("excitation"))
 
 
@@ -284,8 +284,8 @@ def lgcp_cov_loglik(s, sf, n_draws=N_DRAWS):
     return _rounded(lk.lgcp_scores(lk.sufficient_counts(cells, "cov_id"), fields, draws, E, space, effect), 3)
 
 
-def cox_hawkes_loglik(s, sf, n_draws=N_DRAWS):
-    model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, RADIUS, cox_background=True)
+def cox_hawkes_loglik(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, radius, cox_background=True)
     return _rounded(model.score(fx.draws(s, n_draws), fx.fields(s, n_draws)), 3)
 
 
@@ -294,42 +294,42 @@ def marginal_rates(s, sf, n_draws=N_DRAWS):
     return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))), 4)
 
 
-def log_expected_likelihood(s, sf, n_draws=N_DRAWS):
-    return _rounded(lk.log_expected_likelihood(_hawkes(s, sf, fx.draws(s, n_draws))), 3)
+def log_expected_likelihood(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    return _rounded(lk.log_expected_likelihood(_hawkes(s, sf, fx.draws(s, n_draws), radius)), 3)
 
 
-def expected_aic(s, sf, n_draws=N_DRAWS):
+def expected_aic(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     k = lk.Model("hawkes", E, _ev(s, sf)).n_params()
-    return _rounded(lk.expected_aic(_hawkes(s, sf, fx.draws(s, n_draws)), k), 3)
+    return _rounded(lk.expected_aic(_hawkes(s, sf, fx.draws(s, n_draws), radius), k), 3)
 
 
-def excitation_share(s, sf, n_draws=N_DRAWS):
-    return _rounded(lk.excitation_share(_hawkes(s, sf, fx.draws(s, n_draws))))
+def excitation_share(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    return _rounded(lk.excitation_share(_hawkes(s, sf, fx.draws(s, n_draws), radius)))
 
 
-def log_prior_scores(s, sf, n_draws=N_DRAWS):
-    rows = _hawkes(s, sf, fx.draws(s, n_draws)).select("draw_id", "loglik").join(log_prior(fx.draws(s, n_draws), PRIORS), "draw_id")
+def log_prior_scores(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    rows = _hawkes(s, sf, fx.draws(s, n_draws), radius).select("draw_id", "loglik").join(log_prior(fx.draws(s, n_draws), PRIORS), "draw_id")
     return rows.select("draw_id", _r("log_prior").alias("log_prior"), _r(F.col("loglik") + F.col("log_prior"), 3).alias("log_posterior"))
 
 
-def posterior_weights(s, sf, n_draws=N_DRAWS):
+def posterior_weights(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     d = fx.draws(s, n_draws)
-    scores = _hawkes(s, sf, d).withColumn("loglik", F.col("loglik") / F.lit(1e5))
+    scores = _hawkes(s, sf, d, radius).withColumn("loglik", F.col("loglik") / F.lit(1e5))
     return _rounded(fit.posterior_weights(scores, log_prior(d, PRIORS)), 5)
 
 
-def em_step(s, sf):
-    return _rounded(fit.em_step(_pairs(s, sf), _ev(s, sf), E, window=WINDOW, **HAWKES))
+def em_step(s, sf, radius=RADIUS):
+    return _rounded(fit.em_step(_pairs(s, sf, radius), _ev(s, sf), E, window=WINDOW, **HAWKES))
 
 
 def fit_hawkes_em(s, sf):
     ev = _ev(s, sf)
-    pairs = _pairs(s, sf).persist()
+    pairs = _pairs(s, sf, None).persist()  # a radius would decide sigmax_2
     return fit.fit_hawkes_em(ev, pairs, E, WINDOW, HAWKES, 4)
 
 
-def triggered_probability(s, sf):
-    return _rounded(fit.triggered_probability(_pairs(s, sf), _ev(s, sf), HAWKES), 5)
+def triggered_probability(s, sf, radius=RADIUS):
+    return _rounded(fit.triggered_probability(_pairs(s, sf, radius), _ev(s, sf), HAWKES), 5)
 
 
 def fit_background(s, sf):
@@ -466,6 +466,8 @@ _NAMED = (
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
+#: Queries on pairs, registered as <name>_all on the pairs of the window at any distance: RADIUS is half a sigma of the kernel.
+_OF_PAIRS = (excitation, em_step, triggered_probability, score_draws, power_law_excitation, cox_hawkes_loglik, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights)
 #: Queries over draws, registered over all of them as <name>_all.
 _OF_DRAWS = (
     covariate_effect, background_at_events, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates,
@@ -474,4 +476,6 @@ _OF_DRAWS = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED} | {
     "hotspots_90": partial(hotspots, method="90/10"),
     "daily_counts_top5": partial(daily_counts, mode="top5"),
-} | {f"{f.__name__}_all": partial(f, n_draws=ALL_DRAWS) for f in _OF_DRAWS}
+} | {
+    f"{f.__name__}_all": partial(f, **({"n_draws": ALL_DRAWS} if f in _OF_DRAWS else {}), **({"radius": None} if f in _OF_PAIRS else {})) for f in dict.fromkeys(_OF_DRAWS + _OF_PAIRS)
+}

@@ -235,3 +235,13 @@ def test_queries_over_draws_cover_every_draw(spark):
 
     for name in ("score_draws", "cox_hawkes_loglik", "lgcp_cov_loglik", "posterior_weights"):
         assert {r.draw_id for r in QUERIES[f"{name}_all"](spark, SF).select("draw_id").distinct().collect()} == set(range(200))
+
+
+def test_far_pairs_count_in_fits_and_scores(spark):
+    from pulsefield.plans.queries import QUERIES
+
+    cap = 0.05**2 / 2  # what a radius of 0.05 allows at most
+    one, first = QUERIES["em_step_all"](spark, SF).first(), QUERIES["fit_hawkes_em"](spark, SF).filter("iteration = 1").first()
+    assert one.sigmax_2 > cap and abs(first.sigmax_2 - one.sigmax_2) < 1e-6
+    near, far = ({r.draw_id: r.event_term for r in QUERIES[k](spark, SF).collect()} for k in ("score_draws", "score_draws_all"))
+    assert all(far[d] > near[d] for d in near)
