@@ -134,10 +134,15 @@ def cells_in_domain(grid: DataFrame, polys: DataFrame, touching: bool = False) -
     return grid.join(overlay_polygons(grid, polys, least).select("cell_id").distinct(), "cell_id", "left_semi")
 
 
-def nearest_index(points: DataFrame, grid: DataFrame, keys: tuple[str, ...], key: str = "point_id", idx: str = "idx") -> DataFrame:
-    """The nearest grid point of each row, the lower index on ties. The grid is a dimension table of at most a few thousand rows."""
+def nearest_index(points: DataFrame, grid: DataFrame, keys: tuple[str, ...], key: str = "point_id", idx: str = "idx", most: int = 100_000) -> DataFrame:
+    """The nearest grid point of each row, the lower index on ties.
+
+    Every point meets every grid row, so a grid of more than `most` rows is refused.
+    """
+    if grid.limit(most + 1).count() > most:
+        raise ValueError(f"the grid has more than {most} rows")
     names = {k: "g_" + k for k in keys}
-    small = F.broadcast(grid.select(F.col(idx).alias("g_idx"), *(F.col(k).alias(v) for k, v in names.items())).limit(100_000))
+    small = F.broadcast(grid.select(F.col(idx).alias("g_idx"), *(F.col(k).alias(v) for k, v in names.items())))
     ok = points.filter(" and ".join(f"not isnan({k}) and {k} is not null" for k in keys))
     distance = sum((F.pow(F.col(k) - F.col(v), 2) for k, v in names.items()), F.lit(0.0))
     return ok.join(small).groupBy(key).agg(F.min(F.struct(distance.alias("d"), "g_idx"))["g_idx"].alias("idx"))

@@ -245,3 +245,11 @@ def test_far_pairs_count_in_fits_and_scores(spark):
     assert one.sigmax_2 > cap and abs(first.sigmax_2 - one.sigmax_2) < 1e-6
     near, far = ({r.draw_id: r.event_term for r in QUERIES[k](spark, SF).collect()} for k in ("score_draws", "score_draws_all"))
     assert all(far[d] > near[d] for d in near)
+
+
+def test_nearest_index_refuses_a_grid_beyond_its_bound(spark):
+    grid = spark.range(100_001).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("T"))
+    with pytest.raises(ValueError):
+        spatial.nearest_index(events(spark, [(0, 0, 100_000)]), grid, ("T",))
+    small = grid.filter("idx > 99990")
+    assert spatial.nearest_index(events(spark, [(0, 0, 100_000)]), small, ("T",), most=10).collect() == [(0, 100_000)]
