@@ -29,9 +29,13 @@ class Bits:
 
 
 class FMIndex:
-    """Index of a sequence of ids from 1 to `size`; 0 ends each part and is searched for by nothing."""
+    """Index of a sequence of ids from 1 to `size`; 0 ends each part and is searched for by nothing.
 
-    def __init__(self, text: np.ndarray, size: int, window: int):
+    owner: a number for each place of the sequence. Kept are the wavelet matrix of the transform, the
+    symbols' first places, and where each class begins with its least owner.
+    """
+
+    def __init__(self, text: np.ndarray, size: int, window: int, owner: np.ndarray):
         n = len(text)
         rank = text.astype(np.int64)
         eighth, length = rank, 1
@@ -46,14 +50,13 @@ class FMIndex:
             length *= 2
             if length == 8:
                 eighth = rank
-        self.suffixes = order
         # Neighbours in suffix order with the same first `window` words (8 < window <= 16) form a class.
         tail = eighth[np.minimum(order + window - 8, n - 1)]
         head = eighth[order]
         fresh = np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
-        self.klass = np.cumsum(fresh) - 1
-        self.class_start = np.flatnonzero(fresh)
-        self.class_end = np.append(self.class_start[1:], n)
+        self.class_start = np.append(np.flatnonzero(fresh), n).astype(np.int32)
+        # One number for each class stays; the suffixes themselves are needed no further.
+        self.least = np.minimum.reduceat(owner[order], self.class_start[:-1])
         bwt = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size + 1))])
         self.levels: list[tuple[int, Bits]] = []
@@ -93,9 +96,7 @@ def matched_minimum(parts: list[list], owner: np.ndarray, window: int) -> list[n
     begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     text = np.zeros(int((lengths + 1).sum()), np.int64)
     text[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), lengths)] = flat
-    index = FMIndex(text, len(code), window)
-    of_suffix = owner[np.searchsorted(begin, index.suffixes, "right") - 1]
-    least = np.minimum.reduceat(of_suffix, index.class_start)
+    index = FMIndex(text, len(code), window, np.repeat(owner, lengths + 1))
     out = [np.zeros(max(0, n - window + 1), np.int64) for n in lengths]
     results = np.zeros(int(np.maximum(lengths - window + 1, 0).sum()), np.int64)
     slot = np.concatenate([[0], np.cumsum(np.maximum(lengths - window + 1, 0))])
@@ -105,9 +106,9 @@ def matched_minimum(parts: list[list], owner: np.ndarray, window: int) -> list[n
         at = begin[on] + lengths[on] - step
         a, b = index.extend(text[at], low[on], high[on])
         if step >= window:
-            k = index.klass[a]
-            a, b = index.class_start[k], index.class_end[k]
-            results[slot[on] + lengths[on] - step] = least[k]
+            k = np.searchsorted(index.class_start, a, "right") - 1
+            a, b = index.class_start[k].astype(np.int64), index.class_start[k + 1].astype(np.int64)
+            results[slot[on] + lengths[on] - step] = index.least[k]
         low[on], high[on] = a, b
     for k in range(len(parts)):
         out[k] = results[slot[k] : slot[k + 1]]

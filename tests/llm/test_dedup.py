@@ -13,7 +13,7 @@ def key(r):
 def test_fm_index_counts_patterns():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 5, 400), 0)
-    index = fm_index.FMIndex(text, 4, 13)
+    index = fm_index.FMIndex(text, 4, 13, np.zeros(len(text), np.int64))
     s = text.tolist()
     for at in range(0, 380, 7):
         low, high = np.array([0]), np.array([len(s)])
