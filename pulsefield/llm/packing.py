@@ -24,6 +24,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,10 @@ from pulsefield.llm.common import cut, shuffle_partitions
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task keeps; the other words are encoded again in each batch.
-KEPT = 300_000
+#: Words whose ids a worker keeps; the other words are encoded again in each call.
+KEPT = 600_000
+#: Bytes of text whose words are encoded together, by whole texts.
+TOGETHER = 8 << 20
 
 
 def tokenizer(vocabulary: str | None = None):
@@ -56,18 +59,38 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     return word, b""
 
 
-def _encoded(tok, ws: list[bytes], together: int = 4000) -> dict[bytes, bytes]:
-    """The ids of each word; many words are encoded as one text and told apart by the tokens' offsets."""
+def _one_by_one(tok, ws: list[str]) -> list[bytes]:
+    """The ids of words encoded as one text, told apart by the tokens' offsets."""
+    got = tok.encode(" ".join(ws), add_special_tokens=False)
+    starts = np.cumsum([0, *(len(w) + 1 for w in ws[:-1])])
+    owner = np.searchsorted(starts, np.array([o[0] for o in got.offsets], np.int64), "right") - 1
+    cuts = (4 * np.searchsorted(owner, np.arange(len(ws) + 1))).tolist()
+    raw = np.array(got.ids, "<u4").tobytes()
+    return [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _encoded(tok, closing: np.ndarray, ws: list[bytes], together: int = 20_000) -> dict[bytes, bytes]:
+    """The ids of each word; closing: whether an id ends a run of letters.
+
+    A word of letters is one run, so where a text of such words has as many closing tokens as words,
+    these tell the words apart; offsets, which cost as much again, are made for the others.
+    """
+    texts = [w.decode() for w in ws]
+    of_letters = [w for w, t in zip(ws, texts, strict=True) if t.isalpha()]
+    others = [w for w, t in zip(ws, texts, strict=True) if not t.isalpha()]
     out = {}
-    for low in range(0, len(ws), together):
-        some = ws[low : low + together]
-        texts = [w.decode() for w in some]
-        got = tok.encode(" ".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-        owner = np.searchsorted(starts, np.array([o[0] for o in got.offsets], np.int64), "right") - 1
-        cuts = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
-        raw = np.array(got.ids, "<u4").tobytes()
+    for low in range(0, len(of_letters), together):
+        some = of_letters[low : low + together]
+        ids = np.array(tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(closing[ids]) + 1)
+        if len(cuts) != len(some):
+            others += some  # a letter that the tokenizer takes apart
+            continue
+        raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
         out.update((w, raw[x:y]) for w, x, y in zip(some, cuts, cuts[1:], strict=False))
+    for low in range(0, len(others), together):
+        some = others[low : low + together]
+        out.update(zip(some, _one_by_one(tok, [w.decode() for w in some]), strict=True))
     return out
 
 
@@ -76,26 +99,28 @@ def encoder(vocabulary: str | None = None):
     """A function from a list of texts (bytes) to their ids, each a run of little-endian uint32.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words one
-    after the other, and each different word is encoded once. A Python worker keeps its encoder from
-    task to task.
+    after the other, and each different word is encoded once. A Python worker keeps the ids of up to
+    `KEPT` words and of as many words without case and marks from task to task; the others are encoded
+    again in the next call, with the same result.
     """
     tok, kept, cores = tokenizer(vocabulary), {}, {}
+    closing = np.zeros(tok.get_vocab_size() + 1, bool)
+    closing[[k for t, k in tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode(texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        parts = {w: _parts(w) for w in set().union(*split).difference(kept)}
-        asked = {p for pair in parts.values() for p in pair if p and p not in cores}
-        fresh = _encoded(tok, sorted(asked))
+        ids = {w: kept.get(w) for w in set().union(*split)}  # a word of white space alone has no ids: b"", not None
+        parts = [(w, *_parts(w)) for w, known in ids.items() if known is None]
+        asked = {a for _, a, _ in parts}.union(b for _, _, b in parts if b)
+        found = {p: cores.get(p) for p in asked}
+        fresh = _encoded(tok, closing, [p for p, known in found.items() if known is None])
+        found.update(fresh)
+        ids.update((w, found[a] + found[b] if b else found[a]) for w, a, b in parts)
         if len(cores) < KEPT:
             cores.update(fresh)
-        known = lambda p: cores[p] if p in cores else fresh[p]  # a word of white space alone has no ids
-        ids = {w: known(a) + (b and known(b)) for w, (a, b) in parts.items()}
         if len(kept) < KEPT:
-            kept.update(ids)
-            find = kept.__getitem__
-        else:
-            find = lambda w: kept[w] if w in kept else ids[w]
-        return [b"".join(map(find, ws)) for ws in split]
+            kept.update((w, ids[w]) for w, _, _ in parts)
+        return [b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     return encode
 
@@ -106,8 +131,11 @@ _PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
     encode, end = encoder(vocabulary), np.array([END], "<u4").tobytes()
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            some = batch.slice(low, 512)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            some = batch.slice(low, high - low)
             doc_ids, rows = some.column("doc_id").to_pylist(), []
             for doc_id, ids in zip(doc_ids, encode(some.column("text").cast(pa.binary()).to_pylist()), strict=True):
                 ids += end
