@@ -46,7 +46,7 @@ FROM b
 
 OP4 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(concat_ws('/', doc_id::VARCHAR, md5(text))) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -66,7 +66,7 @@ WITH d AS (
 ), e AS (
   SELECT *, sum(blocks) OVER (ORDER BY place) / (SELECT sum(blocks) FROM q)::DOUBLE AS upto FROM q
 ), slots AS (
-  SELECT i AS slot, (i % 2147483648 * 1327217885 % 2147483648) / 2147483648e0 AS u FROM range((SELECT sum(blocks)::BIGINT FROM q)) r(i)
+  SELECT i AS slot, (i % 2147483648 * 1327217885 % 2147483648) / 2147483648e0 AS u FROM range((SELECT 3 * sum(blocks)::BIGINT + 3 FROM q)) r(i)
 ), dealt AS (
   SELECT slot, least((SELECT count(*) FROM e WHERE upto <= u), (SELECT max(place) FROM e)) AS place FROM slots
 ), ranked AS (

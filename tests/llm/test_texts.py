@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsefield.llm import chat, fingerprints, licenses, mixing, packing, quality_rules
 
@@ -233,7 +234,8 @@ def brute_targets(sizes, share=1.5, most=2, weights=(3, 1, 2)):
 
 def test_mix_meets_targets(spark, corpus):
     rows = [(i, s, len(t.split())) for i, t, s in corpus] + [(9000, None, 70), (9001, "", 5), (9002, "zero", 0)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), block=512).collect()
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    got = mixing.mix(sized, block=512).collect()
     sizes = {}
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
@@ -263,6 +265,37 @@ def test_mix_of_odd_rows_and_of_none(odd, none, rows):
     assert mixing.taken_documents(none).count() == 0
 
 
+def test_the_schedule_decides_what_is_taken(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * 40), f"s{k % 3}") for k in range(30)], "doc_id long, text string, source string")
+    blocks = {(r.place, r.block): r.slot for r in mixing.schedule(spark, [(0, 600), (1, 400), (2, 800)], 100).collect()}
+    assert set(blocks) == {(p, b) for p, n in ((0, 6), (1, 4), (2, 8)) for b in range(n)}
+    assert sum(r.taken for r in mixing.mix(mixing.sizes(docs), block=100).collect()) == 1800
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).filter("place = 1 and block < 2"))
+    assert sum(r.taken for r in mixing.mix(mixing.sizes(docs), block=100).collect()) == 200
+    monkeypatch.setattr(mixing, "schedule", lambda *a: whole(*a).limit(0))
+    assert sum(r.taken for r in mixing.mix(mixing.sizes(docs), block=100).collect()) == 0
+
+
+def test_mixed_documents_follow_the_slots_and_keep_their_columns(spark):
+    rows = [(k, f"{k} " + " ".join(["w"] * 399), f"s{k % 3}", 777, k) for k in range(300)] + [(None, "a b c", "s1", 1, 2)] * 2 + [(-1, "d e", "s1", 3, 4), (5, None, "s0", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long, slot long")
+    out = mixing.taken_documents(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and {r.copy for r in got} <= {777, 1, 3}
+    taken = {}
+    for r in mixing.mix(mixing.sizes(docs)).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    words = {}
+    for r in got:
+        assert r.slot == (r.doc_id if r.copy == 777 else r.slot)
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {i: n for i, n in taken.items() if n}
+    # Eleven blocks: each half of the mix holds every source.
+    half = len(got) // 2
+    assert {r.source for r in got[:half]} == {r.source for r in got[half:]} == {"s0", "s1", "s2"}
+
+
 def test_quotes_are_linked_and_dropped(spark):
     rows = [
         (1, 0, "u", "Hello there\nSecond line"),
