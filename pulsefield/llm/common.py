@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,29 +34,21 @@ def id_bucket(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % modulus
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of `df` in the folder that all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir; only where it names none (tests, a single
-    machine) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; there is no other to fall back on."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine: tests and benchmarks
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
-def release(spark: SparkSession) -> None:
-    """Drops the shuffle files of steps that a cut has replaced.
-
-    Spark removes them when the driver's garbage collector finds their plans unreachable; with a large
-    driver heap that may not happen before the job ends.
-    """
-    for _ in range(3):  # a round frees what the round before has unlinked
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of `df` in the folder that all executors share."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def shuffle_partitions(df: DataFrame) -> int:

@@ -30,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefield.llm.common import cut
@@ -40,7 +40,7 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 30, 5
 #: MinHash values compared before each pruning.
 STEPS = (16, 32, 64, 100, 150)
-#: Nodes along a tile's side; documents for each task of tiles.
+#: Nodes along a tile's side; copies of nodes for each task of tiles.
 BLOCK, PER_TASK = 512, 500
 CODES = 300_000
 _U = np.uint64
@@ -123,7 +123,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = [next(keys) if len(s) else None for s in sets]
             nodes = [_node(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [some.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"]
+                [some.column("doc_id"), some.column("tie"), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "tie", "node", "bands"]
             )
 
 
@@ -195,11 +195,8 @@ def _verify(table: pa.Table) -> pa.Table:
     for low, high in zip(fresh, np.append(fresh[1:], len(order)), strict=True):
         at = order[low:high]
         sets = [shingles(text[int(k)].as_py(), codes) for k in at]
-        # A row of the same id with another text is not this node.
-        own = [x for x, (k, s) in enumerate(zip(at, sets, strict=True)) if len(s) and _node(s) == names[k]]
-        _, once = np.unique(names[at[own]], return_index=True)
-        own = [own[x] for x in once]
-        at, sets = at[own], [sets[x] for x in own]
+        _, once = np.unique(names[at], return_index=True)  # rows repeated with one id are one node
+        at, sets = at[once], [sets[x] for x in once]
         if len(at) < 2:
             continue
         left = np.flatnonzero(block[at] == i[at[0]])
@@ -215,31 +212,59 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("node", "links", "hub"), columns, strict=True)})
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (other rows linked to it) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(texts.mapInArrow(_nodes, "doc_id long, node long, bands array<long>"))
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, tie, node) and, for each node, its class and links; `tie` is a hash of the text.
+
+    A class is named by its least (doc_id, tie).
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = cut(texts.mapInArrow(_nodes, "doc_id long, tie long, node long, bands array<long>"))
     known = rows.filter("doc_id is not null and node is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     near = connected_components(spread.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = near.join(sizes, "component").join(nodes.select("node", "least", "n"), "node")
+    sizes = near.groupBy("component").agg(F.count("*").alias("nodes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # A node is copied to each tile of its block, so tasks are counted in copies, not in documents.
+    copies = sizes.agg(F.sum(F.col("nodes") * F.col("blocks"))).first()[0] or 0
+    tasks = 1 + copies // PER_TASK
+    placed = near.join(sizes, "component").join(nodes.select("node", "least.doc_id", "least.tie", "n"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_text = texts.filter("doc_id is not null").join(placed.withColumnRenamed("least", "doc_id"), "doc_id")
+    with_text = texts.filter("doc_id is not null").join(placed, ["doc_id", "tie"])
     tiled = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("component", "node", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
-    tasks = max(1, docs.count() // PER_TASK)
     tiled = tiled.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks)))
     verified = cut(tiled.groupBy("task").applyInArrow(_verify, "node long, links long, hub long"))
     classes = connected_components(verified.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     classes = classes.join(nodes.select("node", "least"), "node")
-    least = classes.groupBy("component").agg(F.min("least").alias("class_id"))
-    of_node = classes.join(least, "component").select("node", "class_id")
+    least = classes.groupBy("component").agg(F.min("least").alias("class"))
+    of_node = classes.join(least, "component").select("node", "class")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.select("node", "least", "n").join(of_node, "node", "left").join(links, "node", "left")
-    found = found.select("node", F.coalesce("class_id", "least").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    joined = rows.select("doc_id", "node").join(found, "node", "left")
+    found = found.select("node", F.coalesce("class", "least").alias("class"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "tie", "node"), found
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), n_links (other rows linked to it) of every row."""
+    rows, found = _classes(docs)
+    joined = rows.join(found, "node", "left")
+    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("class.doc_id", "doc_id"))
     return joined.select("doc_id", alone.alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each class: that of the least id, among rows of one id that of the least text hash.
+
+    Rows of one id are judged by their own texts, so a row stays although another with its id goes; of
+    rows equal in id and text one stays. Rows with a null id and texts without words all stay.
+    """
+    rows, found = _classes(docs)
+    known = rows.filter("doc_id is not null and node is not null").groupBy("doc_id", "tie", "node").agg(F.count("*").alias("n")).join(found, "node")
+    stays = (F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.tie") == F.col("tie"))
+    marks = known.select("doc_id", "tie", "n", stays.alias("stays")).filter("not stays or n > 1").drop("n")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie")) == 1
+    judged = whole.join(marks, ["doc_id", "tie"], "left").withColumn("first", first)
+    kept = judged.filter(F.col("stays").isNull() | (F.col("stays") & F.col("first")))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -121,8 +121,10 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 
 def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that the rules keep, with the columns of `docs`."""
+    """The rows of `docs` that the rules keep, with the columns of `docs` as they were."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     # The optimizer would write the nested measures out inside a pushed-down filter, many times over; it
     # pushes nothing through a projection that numbers its rows.
-    judged = apply_rules(docs, text).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    judged = apply_rules(whole).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.filter(F.col("kept") & (F.col("_row") >= 0))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
