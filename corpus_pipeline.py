@@ -1,19 +1,28 @@
 """The corpus pipeline: quality rules, near duplicates, repeated substrings, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet in the shared
-checkpoint folder and reads it again as the next stage's documents.
+checkpoint folder, reads it again as the next stage's documents, and deletes the folder before it.
+
+Defined cases, by row and whatever further columns the rows have (they pass through all stages but the
+last, also where their names are those of an operator's columns):
+- a null or empty text fails the quality rules, so it goes in the first stage;
+- rows with a null id are judged by the rules, are never near duplicates, neither lose words nor cause
+  removal, and are mixed and packed like any other;
+- of rows repeated with one id and text one stays; rows of one id with different texts are documents of
+  their own; of a near-duplicate class the least id stays, at equal ids the least text hash;
+- very long texts are read whole by every stage and only packing cuts them;
+- an empty table gives an empty table at every stage, with its columns.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefield.llm import mixing, ngram_join, packing, quality_rules, substring_dedup
+from pulsefield.llm.common import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +31,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id."""
-    classes = ngram_join.join(docs).filter("class_id != doc_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate class: the one with the least id."""
+    return ngram_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +63,20 @@ ORACLE_SQL = None
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
     df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage over the documents of `sf_dir`."""
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reduce(lambda d, s: _written(s[1][1](spark, d, sf_dir), f"{base}/{s[0]}"), enumerate(STAGES), docs)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = _written(stage(spark, docs, sf_dir), f"{base}/{k}")
+        if k:
+            _delete(spark, f"{base}/{k - 1}")
+    return docs
