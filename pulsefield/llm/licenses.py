@@ -5,18 +5,21 @@ wrapped sentence is whole, but a known sentence may begin at any line's begin an
 Each is normalised and looked up among the known sentences (a fixed table of a few dozen patterns). What
 remains per text is a short sequence of identifiers
 in reading order; a rule is an ordered list of identifiers, and it fires where its list occurs as a
-subsequence whose neighbours lie at most `MAX_GAP` sentences apart. A rule that another firing rule of
-the same text contains, at the same place, is dropped ("ordered": the first rule in the table wins).
+subsequence whose neighbours lie at most `MAX_GAP` sentences apart. A rule whose list is contained, in
+order, in that of another rule that fires from the same sentence is dropped, so a BSD text of three
+clauses is not one of two as well.
 
 All of it is one projection: no shuffle, no explode, no user function.
 
-Defined cases: null and empty texts have no sentences and no licence; repeated rows are scanned one by
+Defined cases: very long texts are read whole; null and empty texts have no sentences and no licence; repeated rows are scanned one by
 one; an empty table gives an empty result; other columns pass through (those named like a result are
 replaced).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +89,13 @@ RULES = (
     ("All-Rights-Reserved", ("rights-reserved",)),
 )
 #: Words of which every known sentence has at least one; only sentences with one are normalised.
-TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public\W+domain|compliance|as\W+is|\bcc0\b|free\W+software|rights\W+reserved|hope\W+that"
+TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public\W+domain|creative\W+commons|\bcc\W+by|compliance|as\W+is|\bcc0\b|free\W+software|rights\W+reserved|hope\W+that"
 #: Words with which every known sentence begins.
 START = r"^(released|licensed|distributed|this|all|the|also|you may|unless|permission|redistribution|neither|copyright)\b"
 #: Words of the longest known sentence and more; a line has a word at least, so no sentence takes more lines.
 REACH = 100
-#: A sentence ends at . ! ? ; before white space (a dot inside 2.0 ends nothing, nor does the mark in "free software; you can").
-_MARK = r"(?<=[.!?;])(?<!(?i:free\W{1,8}software;))[\x20\x09-\x0D]+"
+#: A sentence ends at . ! ? ; before white space (a dot inside 2.0 or before it, as in "v. 2.0", ends nothing, nor does the mark in "free software; you can").
+_MARK = r"(?<=[.!?;])(?<!(?i:free\W{1,8}software;))(?!(?<=\b[vV]\.)\W{1,8}[0-9])[\x20\x09-\x0D]+"
 #: And at a line without letters and digits (blank, or only comment marks), unless an address follows.
 TEXT_END = r"\n[^\p{L}\p{N}\n]*+\n(?!\W{0,80}https?://)|" + _MARK
 #: The ends of sentences where each keeps to one line.
@@ -167,16 +170,33 @@ def _fires(seq: Column, ids: tuple[str, ...]) -> Column:
     return F.aggregate(seq, empty, step)["hit"]
 
 
+def _inside(k: int) -> list[int]:
+    """The rules whose identifiers contain those of rule k, in order, from the first one on."""
+    ids = RULES[k][1]
+
+    def contains(other: tuple[str, ...]) -> bool:
+        rest = iter(other)
+        return other[0] == ids[0] and len(other) > len(ids) and all(x in rest for x in ids)
+
+    return [o for o, (_, other) in enumerate(RULES) if contains(other)]
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with sentence_ids, licenses (in rule order, distinct) and spans (licence, rule, first place)."""
     hits = [F.struct(F.lit(licence).alias("license"), F.lit(k).alias("rule"), _fires(F.col("_seq"), ids).alias("place")) for k, (licence, ids) in enumerate(RULES)]
     fired = F.when(F.size("_seq") > 0, F.filter(F.array(*hits), lambda h: h["place"].isNotNull())).otherwise(F.array().cast("array<struct<license:string,rule:int,place:int>>"))
-    # A longer rule of the same licence that begins at the same sentence has said it already.
-    first = F.filter("_fired", lambda h: ~F.exists("_fired", lambda o: (o["license"] == h["license"]) & (o["rule"] < h["rule"]) & (o["place"] == h["place"])))
-    found = docs.withColumn("_seq", known_sentences(F.col(text))).withColumn("_fired", fired).withColumn("spans", first)
+    # A rule goes where one that contains it begins at the same sentence, or a former one of its licence does.
+    said = F.filter("_fired", lambda h: ~F.exists("_fired", lambda o: (o["place"] == h["place"]) & _drops(o, h)))
+    found = docs.withColumn("_seq", known_sentences(F.col(text))).withColumn("_fired", fired).withColumn("spans", said)
     return found.withColumns(
         {
             "sentence_ids": F.transform("_seq", lambda e: e["sentence_id"]),
             "licenses": F.array_distinct(F.transform("spans", lambda h: h["license"])),
         }
     ).drop("_seq", "_fired")
+
+
+def _drops(o: Column, h: Column) -> Column:
+    """Whether rule o, where both begin at one sentence, makes rule h say nothing new."""
+    contained = [(h["rule"] == k) & o["rule"].isin(_inside(k)) for k in range(len(RULES)) if _inside(k)]
+    return reduce(lambda a, b: a | b, contained, (o["license"] == h["license"]) & (o["rule"] < h["rule"]))

@@ -12,7 +12,8 @@ on what is broadcast.
 
 Defined cases: a null text counts as empty; an empty text gets the score of the bias and its length;
 rows without an id or label are not learnt from; repeated rows are scored one by one; an empty table,
-or one without labels, gives score 0.5 for what there is to score; other columns are never read.
+or one without labels, gives score 0.5 for what there is to score; very long texts are read whole;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in text)))[:12]
+        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "0", "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in text)))
         code = zlib.crc32(word.lower()) | (zlib.crc32(shape.encode()) >> 1) << 32
         if len(self) < CODES:
             self[word] = code

@@ -24,7 +24,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), id_bucket("doc_id", 3) == 1
     sample = labelled_sample(labels(spark, sf_dir), "quality", ~held_out, quality_classifier.SAMPLE)
     scored = quality_classifier.score(docs, quality_classifier.train(docs, sample))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.train(docs, sample))
     return scored.select(
         "doc_id",
-        held_out.alias("held_out"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),

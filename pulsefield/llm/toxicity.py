@@ -9,8 +9,9 @@ Gumbel law, fitted to clean rows. A text's evidence is -log of its p-value under
 one-variable logistic fit turns evidence into a score from 0 to 1.
 
 The log-odds come from about `SAMPLE` labelled rows (the documented bound), three quarters for the
-table and one quarter for the calibration; the table keeps at most `TOKENS` tokens, which bounds what
-is broadcast. Every text is scanned whole.
+table and one quarter for the calibration. The table keeps every significant token of the sample, so
+its size, which is what is broadcast, follows that bound and not the input. Every text is scanned whole,
+however long.
 
 Defined cases: a null text counts as empty; a text without a positive token has no segment and the
 lowest evidence; repeated rows are scored one by one; without toxic and clean labelled rows every score
@@ -31,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 40_000
-TOKENS = 50_000
 PREFIX = 6
 #: The Dirichlet prior's weight that follows a token's share, its weight for any token, and the least |z| kept.
 PRIOR, FLAT, LEAST_Z = 10.0, 0.5, 3.0
@@ -53,17 +53,19 @@ def prefix(tok: bytes) -> bytes:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text its tokens and their numbers; a row for each token of each text."""
     for batch in batches:
+        tokens, labels, counts = [], [], []
         for text, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("label").to_pylist(), strict=True):
             found = Counter()
             for w, n in Counter((text or b"").split()).items():
                 found[t := token(w)] += n
                 found[prefix(t)] += n
             found.pop(b"", None)
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.binary()), pa.array([toxic] * n, pa.int32()), pa.array(found.values(), pa.int64())], ["token", "label", "n"]
-            )
+            tokens += found.keys()
+            counts += found.values()
+            labels += [toxic] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(labels, pa.int32()), pa.array(counts, pa.int64())], ["token", "label", "n"])
 
 
 @dataclass(frozen=True)
@@ -172,7 +174,7 @@ def train(docs: DataFrame, sample: DataFrame) -> Model:
     a = prior(F.col("toxic") + F.col("clean"), n1 + n0)
     ratio = F.log((F.col("toxic") + a) / (n1 + PRIOR)) - F.log((F.col("clean") + a) / (n0 + PRIOR))
     kept = by_token.select("token", "toxic", "clean", z.alias("z"), ratio.alias("s")).filter(F.abs("z") >= LEAST_Z)
-    table = kept.orderBy(F.abs("z").desc(), "token").limit(TOKENS).toPandas()
+    table = kept.orderBy("token").toPandas()  # tokens of a bounded sample
     by_token.unpersist()
     is_word = ~table["token"].map(lambda t: bytes(t).startswith(b"~")).to_numpy(bool) if len(table) else np.zeros(0, bool)
     y1, y0 = float(table["toxic"][is_word].sum()), float(table["clean"][is_word].sum())

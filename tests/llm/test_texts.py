@@ -1,4 +1,5 @@
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -83,8 +84,6 @@ WHOLE = (
 
 @pytest.mark.parametrize(("width", "mark", "end"), [(0, "", "\n"), (78, "", "\n"), (40, "# ", "\n"), (30, " * ", "\r\n"), (78, "// ", "\n"), (60, "dnl ", "\n")])
 def test_wrapped_licenses(spark, width, mark, end):
-    import textwrap
-
     wrap = lambda t: end.join(mark + x for line in t.split("\n") for x in (textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) if width else [line]) or [""])
     df = spark.createDataFrame([(k, wrap(t)) for k, (t, _, _) in enumerate(WHOLE)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
@@ -112,6 +111,104 @@ def test_licence_lines_with_more_words(spark):
     assert all(len(r.sentence_ids) == len(r.licenses) for r in got.values())
 
 
+#: A sentence for each identifier of the table, in its order.
+SAMPLES = """Licensed under the Apache License, Version 2.0
+you may not use this file except in compliance with the License
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS
+Released under the MIT License
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+distributed under the 3-clause BSD license
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES
+Licensed under the GNU General Public License version 2
+Licensed under the GNU General Public License v3
+Licensed under the GNU Lesser General Public License
+Licensed under the GNU Affero General Public License
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0
+distributed under Creative Commons Attribution 4.0 International
+Released under CC BY-SA 4.0
+Released under CC BY-NC 4.0
+Released under CC BY-NC-ND 4.0
+Released under CC0
+This is free and unencumbered software released into the public domain
+All rights reserved""".split("\n")
+
+
+def test_every_known_sentence_is_found(spark):
+    texts = [*SAMPLES, "Released under CC BY 4.0"]
+    names = [name for name, _ in licenses.SENTENCES]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [[n] for n in [*names, "ccby-licensed"]]
+
+
+def brute_licenses(ids):
+    """Rules over (place, identifier) in order: the earliest whole match of each, without contained ones."""
+    fired = []
+    for k, (name, rule) in enumerate(licenses.RULES):
+        found = None
+        last, begun = [None] * len(rule), [None] * len(rule)
+        for place, x in ids:
+            before = list(zip(last, begun, strict=True))
+            for j, want in enumerate(rule):
+                if x != want:
+                    continue
+                if j == 0:
+                    last[0], begun[0] = place, place
+                elif before[j - 1][0] is not None and place - before[j - 1][0] <= licenses.MAX_GAP + 1:
+                    last[j], begun[j] = place, before[j - 1][1]
+                else:
+                    continue
+                if j == len(rule) - 1 and found is None:
+                    found = begun[j]
+        if found is not None:
+            fired.append((k, name, rule, found))
+
+    def within(short, long):
+        at = -1
+        for x in short:
+            if x not in long[at + 1 :]:
+                return False
+            at = long.index(x, at + 1)
+        return True
+
+    drop = lambda h: any(o[3] == h[3] and ((o[1] == h[1] and o[0] < h[0]) or (len(o[2]) > len(h[2]) and o[2][0] == h[2][0] and within(h[2], o[2]))) for o in fired)
+    return list(dict.fromkeys(h[1] for h in fired if not drop(h)))
+
+
+def test_rules_of_several_sentences_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    names = [name for name, _ in licenses.SENTENCES]
+    wanted = sorted({i for _, ids in licenses.RULES if len(ids) > 1 for i in ids})
+    rows, want = [], {}
+    for k in range(120):
+        picks = [None if rng.random() < 0.25 else wanted[rng.integers(len(wanted))] for _ in range(10)]
+        if k % 2:  # a whole rule with noise between its sentences
+            rule = [ids for _, ids in licenses.RULES if len(ids) > 1][k // 2 % 7]
+            picks = [x for i in rule for x in [i, *[None] * int(rng.integers(0, 6))]] + picks[:3]
+        rows.append((k, "\n\n".join("Plain words stand here" if p is None else SAMPLES[names.index(p)] for p in picks)))
+        want[k] = brute_licenses([(j, p) for j, p in enumerate(picks) if p is not None])
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_a_wrapped_licence_is_one_licence(spark):
+    whole = {"BSD-3-Clause": (11, 12, 13), "BSD-2-Clause": (11, 13), "MIT": (5, 6, 7), "ISC": (8, 9), "GPL": (18, 19), "MPL-2.0": (20,), "Apache-2.0": (0, 1, 2, 3)}
+    rows = []
+    for name, picks in whole.items():
+        text = "Copyright (c) 2020 X\n\n" + "\n\n".join(textwrap.fill(SAMPLES[k] + ".", 60) for k in picks)
+        rows += [(name, text), (name, "\n".join(f" * {line}".rstrip() for line in text.split("\n")))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.licenses for r in got] == [[r.doc_id] for r in got] and len(got) == 14
+
+
 def test_licenses_of_the_corpus(spark, corpus):
     import regex
 
