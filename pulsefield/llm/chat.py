@@ -14,8 +14,8 @@ blocks of `TURNS` turn numbers and maxima or counts over blocks; branches resolv
 
 Defined cases: a null text is an empty message; rows with a null conv_id or turn have no position,
 parent or links; rows repeated with one (conv_id, turn) share parent and branch and take positions in
-the order of role and text; an empty table gives an empty result; other columns are never read. Turns
-are integers.
+the order of role and text; very long texts are parsed whole; an empty table gives an empty result; other
+columns, whatever their names, are never read. Turns are integers.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def format_conversations(table: DataFrame) -> DataFrame:
     """conv_id, turn, role, position (from 0), parent_turn, n_quotes, n_linked, text without quotes."""
     kinds = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text"]
     schema = "conv_id long, turn long, role string, text string, units array<struct<level:int,hash:long,size:long>>"
-    everything = table.select(*kinds).mapInArrow(_messages, schema)
+    everything = cut(table.select(*kinds).mapInArrow(_messages, schema))  # messages are parsed once
     quotes = F.size(F.array_distinct(F.filter("units", lambda u: u["level"] > 0))).alias("n_quotes")
     placeless = F.col("conv_id").isNull() | F.col("turn").isNull()
     known = everything.filter(~placeless)

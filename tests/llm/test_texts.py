@@ -393,6 +393,59 @@ def test_mixed_documents_follow_the_slots_and_keep_their_columns(spark):
     assert {r.source for r in got[:half]} == {r.source for r in got[half:]} == {"s0", "s1", "s2"}
 
 
+def brute_conversation(rows):
+    """position, parent, n_quotes, n_linked of each (turn, text) of a conversation whose turns are all different."""
+    units, parents, linked, quotes = {}, {}, {}, {}
+    turns = sorted(t for t, _ in rows)
+    for turn, text in rows:
+        units[turn] = {(level, n) for level, p in chat.parsed(text or "")[1] if (n := chat.normalised(p))}
+    for k, turn in enumerate(turns):
+        votes = {}
+        for level, passage in units[turn]:
+            earlier = [t for t in turns[:k] if (0, passage) in units[t]]
+            if level and earlier:
+                votes.setdefault(earlier[-1], []).append((level, len(passage)))
+        best = max(((-min(x for x, _ in v), sum(n for _, n in v), t) for t, v in votes.items()), default=None)
+        parents[turn] = best[2] if best else turns[k - 1] if k else None
+        linked[turn] = sum(map(len, votes.values()))
+        quotes[turn] = sum(level > 0 for level, _ in units[turn])
+    run = {}
+    for k, turn in enumerate(turns):
+        run[turn] = run[turns[k - 1]] if k and parents[turn] == turns[k - 1] else turn
+    order = []
+
+    def write(start):
+        mine = [t for t in turns if run[t] == start]
+        order.extend(mine)
+        heads = [t for t in turns if run[t] == t and t != start and parents[t] in mine]
+        for head in sorted(heads, key=lambda t: (-parents[t], t)):
+            write(head)
+
+    if turns:
+        write(turns[0])
+    return {t: (order.index(t), parents[t], quotes[t], linked[t]) for t in turns}
+
+
+def test_conversations_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 4)  # many blocks
+    rng, rows, want = np.random.default_rng(2), [], {}
+    for conv in range(40):
+        texts = []
+        for turn in range(int(rng.integers(1, 16))):
+            lines = [f"own words {rng.integers(0, 4 if conv % 3 == 0 else 400)} of turn", f"second line {turn}"][: int(rng.integers(1, 3))]
+            for _ in range(int(rng.integers(0, 3)) if texts else 0):
+                quoted = texts[int(rng.integers(len(texts)))].split("\n")
+                lines = ["> " + q for q in quoted[: int(rng.integers(1, 4))]] + ["", *lines]
+            texts.append("\n".join(lines))
+        numbered = [(3 * k - 5, t) for k, t in enumerate(texts)]
+        rows += [(conv, turn, "u", t) for turn, t in numbered]
+        want |= {(conv, turn): w for turn, w in brute_conversation(numbered).items()}
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.position, r.parent_turn, r.n_quotes, r.n_linked) for r in got} == want
+    assert all(not line.startswith(">") for r in got for line in r.text.split("\n"))
+    assert sum(w[3] > 0 for w in want.values()) > 50
+
+
 def test_quotes_are_linked_and_dropped(spark):
     rows = [
         (1, 0, "u", "Hello there\nSecond line"),
