@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: Pair joins above this bound are refused.
-MOST_PAIRS = 50_000_000_000
+MOST_PAIRS = 4_000_000_000
 
 
 def _offsets(*steps: int) -> Column:
@@ -22,6 +22,8 @@ def _offsets(*steps: int) -> Column:
 def event_pairs(ev: DataFrame, window: float, radius: float | None = None, key: str = "point_id", t: str = "u", x: str = "sx", y: str = "sy") -> DataFrame:
     """i (later), j (earlier), dt, dx, dy with 0 < dt <= window and, if given, distance <= radius."""
     base = ev.select(F.col(key).alias("id"), F.col(t).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+    # Both sides read one exchange of the bare events: few input files would else make all copies in as few tasks.
+    base = base.repartition(int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     b = F.floor(F.col("t") / window)
     later = base.select(F.col("id").alias("i"), F.col("t").alias("ti"), F.col("x").alias("xi"), F.col("y").alias("yi"), b.alias("b"))
     earlier = base.select(F.col("id").alias("j"), F.col("t").alias("tj"), F.col("x").alias("xj"), F.col("y").alias("yj"), b.alias("b0"), _offsets(0, 1).alias("o"))
@@ -36,7 +38,8 @@ def event_pairs(ev: DataFrame, window: float, radius: float | None = None, key:
     hit = (dt > 0) & (dt <= window)
     if radius is not None:
         hit &= F.sqrt(dx * dx + dy * dy) <= radius
-    return later.join(earlier, keys).filter(hit).select("i", "j", dt.alias("dt"), dx.alias("dx"), dy.alias("dy"))
+    # Sizes are estimated before the copies are made, so a broadcast of them would be chosen by mistake.
+    return later.join(earlier.hint("merge"), keys).filter(hit).select("i", "j", dt.alias("dt"), dx.alias("dx"), dy.alias("dy"))
 
 
 def lag_pairs(df: DataFrame, col: str, window: float, subset: DataFrame | None = None, key: str = "point_id") -> DataFrame:
@@ -47,19 +50,25 @@ def lag_pairs(df: DataFrame, col: str, window: float, subset: DataFrame | None =
         later = later.join(subset.select(F.col(key).alias("i")), "i", "left_semi")
     earlier = df.select(F.col(key).alias("j"), F.col(col).alias("tj"), b.alias("b0"), _offsets(0, 1).alias("o")).withColumn("b", F.col("b0") + F.col("o"))
     dt = F.col("ti") - F.col("tj")
-    return later.join(earlier.drop("b0", "o"), "b").filter((dt > 0) & (dt <= window)).select("i", "j", dt.alias("dt"))
+    return later.join(earlier.drop("b0", "o").hint("merge"), "b").filter((dt > 0) & (dt <= window)).select("i", "j", dt.alias("dt"))
 
 
-def pair_bound(ev: DataFrame, window: float, t: str = "u") -> DataFrame:
-    """An upper bound of the number of pairs: n_b * (n_b + n_(b-1)) over the buckets."""
-    counts = ev.groupBy(F.floor(F.col(t) / window).alias("b")).agg(F.count("*").alias("n"))
+def pair_bound(ev: DataFrame, window: float, t: str = "u", radius: float | None = None, x: str = "sx", y: str = "sy") -> DataFrame:
+    """An upper bound of the number of pairs, over the buckets of the join: n_b times the n of b and its earlier neighbours."""
+    keys = ["b"] if radius is None else ["b", "gx", "gy"]
+    space = [] if radius is None else [F.floor(F.col(x) / radius).alias("gx"), F.floor(F.col(y) / radius).alias("gy")]
+    counts = ev.groupBy(F.floor(F.col(t) / window).alias("b"), *space).agg(F.count("*").alias("n"))
+    if radius is not None:
+        near = counts.select("*", _offsets(0, 1).alias("o")).select("*", _offsets(-1, 0, 1).alias("ox")).select("*", _offsets(-1, 0, 1).alias("oy"))
+        near = near.select((F.col("b") + F.col("o")).alias("b"), (F.col("gx") + F.col("ox")).alias("gx"), (F.col("gy") + F.col("oy")).alias("gy"), "n")
+        return counts.join(near.groupBy(*keys).agg(F.sum("n").alias("m")), keys).agg(F.sum(F.col("n") * F.col("m")).alias("pairs_at_most"))
     before = counts.select((F.col("b") + 1).alias("b"), F.col("n").alias("m"))
     return counts.join(before, "b", "left").agg(F.sum(F.col("n") * (F.col("n") + F.coalesce("m", F.lit(0)))).alias("pairs_at_most"))
 
 
 def checked_pairs(ev: DataFrame, window: float, radius: float | None = None, most: int = MOST_PAIRS) -> DataFrame:
     """event_pairs, refused when the bound is above `most`."""
-    n = pair_bound(ev, window).first()[0] or 0
+    n = pair_bound(ev, window, radius=radius).first()[0] or 0
     if n > most:
         raise ValueError(f"up to {n} pairs; the limit is {most}: use a smaller window or a radius")
     return event_pairs(ev, window, radius)

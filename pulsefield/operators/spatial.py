@@ -35,9 +35,15 @@ def cells_from_centres(df: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def inside(ring: str, x: Column, y: Column) -> Column:
-    """Even-odd ray test; a point on an edge that two polygons share is in exactly one of them."""
-    def crosses(p: Column, i: Column) -> Column:
-        q = _next(ring, i)
+    """Even-odd ray test; a point on an edge that two polygons share is in exactly one of them.
+
+    An edge is read from its lower end, so that one walked both ways (between the parts of a ring with
+    holes) crosses twice or not at all.
+    """
+    def crosses(a: Column, i: Column) -> Column:
+        b = _next(ring, i)
+        up = (a["y"] < b["y"]) | ((a["y"] == b["y"]) & (a["x"] <= b["x"]))
+        p, q = F.when(up, a).otherwise(b), F.when(up, b).otherwise(a)
         at = p["x"] + (y - p["y"]) / F.when(q["y"] != p["y"], q["y"] - p["y"]) * (q["x"] - p["x"])
         return F.when(((p["y"] > y) != (q["y"] > y)) & (x < at), 1).otherwise(0)
 
@@ -61,11 +67,12 @@ def pip_join(points: DataFrame, polys: DataFrame, how: str = "inner", x: str = "
     return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & inside("ring", F.col(x), F.col(y)), how).drop("bx", "by", "ring")
 
 
-def rect_join(points: DataFrame, cells: DataFrame, x: str = "X", y: str = "Y") -> DataFrame:
-    """Points with the columns of the half-open rectangle that holds them."""
+def rect_join(points: DataFrame, cells: DataFrame, x: str = "X", y: str = "Y", x_end: float = 1.0, y_end: float = 1.0) -> DataFrame:
+    """Points with the columns of the rectangle that holds them: half-open, but closed at the domain's end."""
     left = points.withColumns({"bx": _bucket(F.col(x)), "by": _bucket(F.col(y))})
     right = _covered(cells)
-    hit = (F.col(x) >= right["x_min"]) & (F.col(x) < right["x_max"]) & (F.col(y) >= right["y_min"]) & (F.col(y) < right["y_max"])
+    below = lambda v, top, end: (F.col(v) < right[top]) | ((F.col(v) == right[top]) & (right[top] >= end))
+    hit = (F.col(x) >= right["x_min"]) & below(x, "x_max", x_end) & (F.col(y) >= right["y_min"]) & below(y, "y_max", y_end)
     return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & hit).drop("bx", "by", "x_min", "x_max", "y_min", "y_max")
 
 
@@ -137,15 +144,15 @@ def cells_in_domain(grid: DataFrame, polys: DataFrame, touching: bool = False) -
 def nearest_index(points: DataFrame, grid: DataFrame, keys: tuple[str, ...], key: str = "point_id", idx: str = "idx", most: int = 100_000) -> DataFrame:
     """The nearest grid point of each row, the lower index on ties.
 
-    Every point meets every grid row, so a grid of more than `most` rows is refused.
+    A point reads the whole grid, as one array, and is shuffled nowhere; a grid of more than `most` rows
+    is refused.
     """
     if grid.limit(most + 1).count() > most:
         raise ValueError(f"the grid has more than {most} rows")
-    names = {k: "g_" + k for k in keys}
-    small = F.broadcast(grid.select(F.col(idx).alias("g_idx"), *(F.col(k).alias(v) for k, v in names.items())))
-    ok = points.filter(" and ".join(f"not isnan({k}) and {k} is not null" for k in keys))
-    distance = sum((F.pow(F.col(k) - F.col(v), 2) for k, v in names.items()), F.lit(0.0))
-    return ok.join(small).groupBy(key).agg(F.min(F.struct(distance.alias("d"), "g_idx"))["g_idx"].alias("idx"))
+    whole = grid.agg(F.collect_list(F.struct(F.col(idx).alias("idx"), *keys)).alias("_grid"))
+    ok = points.filter(" and ".join(f"not isnan({k}) and {k} is not null" for k in keys)).crossJoin(F.broadcast(whole))  # one row
+    distance = lambda g: sum((F.pow(F.col(k) - g[k], 2) for k in keys), F.lit(0.0))
+    return ok.select(key, F.array_min(F.transform("_grid", lambda g: F.struct(distance(g).alias("d"), g["idx"].alias("idx"))))["idx"].alias("idx"))
 
 
 def require_same_srid(a: int, b: int) -> None:

@@ -82,17 +82,22 @@ def weighted_summary(weights: DataFrame, draws: DataFrame, params: list[str]) ->
     return rows.agg(*[F.sum(F.col("weight") * F.col(p)).alias(p) for p in params], (1 / F.sum(F.pow("weight", F.lit(2)))).alias("effective_size"))
 
 
-def kernel_matrix(a: DataFrame, b: DataFrame, var: float, length: float, jitter: float = 0.0) -> DataFrame:
-    """i, j, k: exponential-square kernel between two small grids of points (id, x, y)."""
+def kernel_matrix(a: DataFrame, b: DataFrame, var: float, length: float, jitter: float = 0.0, period: float | None = None) -> DataFrame:
+    """i, j, k: exponential-square kernel between two small grids of points (id, x, y); with a period, x runs in a circle."""
     right = b.select(F.col("id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d2 = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)
+    gap = F.abs(F.col("x") - F.col("x2"))
+    gap = gap if period is None else F.least(gap, F.lit(float(period)) - gap)
+    d2 = F.pow(gap, 2) + F.pow(F.col("y") - F.col("y2"), 2)
     k = var * F.exp(-0.5 * d2 / length**2) + F.when(F.col("id") == F.col("j"), jitter).otherwise(0.0)
     return a.crossJoin(right).select(F.col("id").alias("i"), "j", k.alias("k"))  # two dimension tables
 
 
-def smooth_field(counts: DataFrame, grid: DataFrame, length: float) -> DataFrame:
-    """idx, value: log of kernel-smoothed counts on a grid (id, x, y), less its mean. counts: idx, n."""
-    k = kernel_matrix(grid, grid, 1.0, length)
+def smooth_field(counts: DataFrame, grid: DataFrame, length: float, period: float | None = None) -> DataFrame:
+    """idx, value: log of kernel-smoothed counts on a grid (id, x, y), less its mean. counts: idx, n.
+
+    With a period, such as the year of a season field, x runs in a circle.
+    """
+    k = kernel_matrix(grid, grid, 1.0, length, period=period)
     summed = k.join(counts.select(F.col("idx").alias("j"), "n"), "j", "left").groupBy("i").agg((F.sum(F.col("k") * F.coalesce("n", F.lit(0))) / F.sum("k")).alias("s"))
     logs = summed.select(F.col("i").alias("idx"), F.log(F.col("s") + 1e-9).alias("log"))
     return logs.crossJoin(logs.agg(F.avg("log").alias("mean"))).select("idx", (F.col("log") - F.col("mean")).alias("value"))  # one row on the right

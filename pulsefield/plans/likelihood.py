@@ -9,16 +9,21 @@ Spark, which checks sizes.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
 from pulsefield.functions.kernels import Exponential, Gaussian, Kernel
 from pulsefield.functions.priors import Beta, HalfNormal, Normal
 from pulsefield.operators import pairs as pair_ops
-from pulsefield.operators.prepare import prepare, season_of_time
+from pulsefield.operators import spatial
+from pulsefield.operators.prepare import clean_events, prepare, season_of_time, space_grid
+
+#: Draws that a row of pairs or events meets at once.
+DRAWS = 8
 
 
 def sufficient_counts(ev: DataFrame, covariate: str | None = None) -> DataFrame:
@@ -43,29 +48,77 @@ def standardize(cov: DataFrame, columns: list[str]) -> DataFrame:
     return cov.crossJoin(stats).withColumns(scaled).select(*cov.columns)  # one row on the right
 
 
-def background_at_events(ev: DataFrame, fields: DataFrame, draws: DataFrame) -> DataFrame:
-    """draw_id, point_id, background: exp(a_0 + f_t + f_a + f_xy) at each event."""
-    out = ev.select("point_id", "time_bin", "season_bin", "cell_id").crossJoin(draws.select("draw_id", "a_0"))
-    for name, cell in (("f_t", "time_bin"), ("f_a", "season_bin"), ("f_xy", "cell_id")):
-        f = fields.filter(F.col("field") == name).select("draw_id", F.col("idx").cast("int").alias(cell), F.col("value").alias(name))
-        out = out.join(f, ["draw_id", cell], "left")
-    return out.select("draw_id", "point_id", F.exp(F.col("a_0") + F.col("f_t") + F.col("f_a") + F.col("f_xy")).alias("background"))
+def _in_blocks(draws: DataFrame, names: list[str]) -> DataFrame:
+    """block, size and for each name the values of up to `DRAWS` draws as an array, in one order."""
+    rows = draws.select("draw_id", *[F.col(n).cast("double").alias(n) for n in names])
+    numbered = rows.withColumn("block", F.floor((F.row_number().over(Window.orderBy("draw_id")) - 1) / DRAWS))  # draws only
+    packed = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("draw_id", *names))).alias("d"))
+    return packed.select("block", *[F.col(f"d.{n}").alias(n) for n in ("draw_id", *names)])  # an array of each member
+
+
+def _at(k: int, name: str) -> Column:
+    return F.get(F.col(name), F.lit(k))
+
+
+def _by_draw(rows: DataFrame, blocks: DataFrame, keys: list[str], value, name: str) -> DataFrame:
+    """draw_id, the keys and the sum of value(element) for each draw, where element(n) is its parameter n.
+
+    A row meets each block of draws once, not each draw, and a block's sums are shuffled as one row.
+    """
+    n = max(1, blocks.agg(F.max(F.size("draw_id"))).first()[0] or 0)  # DRAWS, or fewer if there are no more
+    met = rows.join(F.broadcast(blocks))
+    sums = met.groupBy("block", *keys).agg(*[F.sum(value(partial(_at, k))).alias(f"_{k}") for k in range(n)])
+    each = F.arrays_zip(F.col("draw_id"), F.slice(F.array(*[f"_{k}" for k in range(n)]), F.lit(1), F.size("draw_id")).alias("sum"))
+    return sums.join(F.broadcast(blocks.select("block", "draw_id")), "block").select(*keys, F.inline(each)).select("draw_id", *keys, F.col("sum").alias(name))
+
+
+def background_at_events(ev: DataFrame, fields: DataFrame, draws: DataFrame, effect: DataFrame | None = None) -> DataFrame:
+    """draw_id, point_id, background: exp(a_0 + f_t + f_a + f_xy + b_0) at each event.
+
+    Fields and the covariate effect (draw_id, cov_id, b_0; needs cov_id in `ev`) become an array of
+    draws for each cell, so that the events meet three or four small tables and are multiplied by the
+    draws only at the end.
+    """
+    ids = draws.select("draw_id", "a_0")
+    values = fields.select("draw_id", "field", F.col("idx").cast("long").alias("idx"), "value")
+    cells = {"f_t": "time_bin", "f_a": "season_bin", "f_xy": "cell_id"}
+    if effect is not None:
+        values = values.unionByName(effect.select("draw_id", F.lit("b_0").alias("field"), F.col("cov_id").cast("long").alias("idx"), F.col("b_0").alias("value")))
+        cells["b_0"] = "cov_id"
+    # Every draw in every cell, so that all arrays have the same order.
+    full = values.select("field", "idx").distinct().crossJoin(ids).join(values, ["field", "idx", "draw_id"], "left")
+    arrays = full.groupBy("field", "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw_id", "value"))), lambda x: x["value"]).alias("v"))
+    out = ev.select("point_id", *cells.values())
+    for name, cell in cells.items():
+        out = out.join(arrays.filter(F.col("field") == name).select(F.col("idx").alias(cell), F.col("v").alias(name)), cell, "left")
+    packed = ids.agg(F.sort_array(F.collect_list(F.struct("draw_id", "a_0"))).alias("d"))
+    total = lambda x, k: sum((F.get(name, k) for name in cells), x["a_0"])
+    each = F.transform("d", lambda x, k: F.struct(x["draw_id"].alias("draw_id"), F.exp(total(x, k)).alias("background")))
+    return out.crossJoin(packed).select("point_id", F.inline(each)).select("draw_id", "point_id", "background")  # one row on the right
 
 
 def excitation(pairs: DataFrame, draws: DataFrame, t_kernel: Kernel, s_kernel: Kernel) -> DataFrame:
     """draw_id, i, excitation: alpha times the sum over earlier events; rows only for events with a pair."""
-    value = t_kernel.pdf(F.col("dt"), pars=t_kernel.pars()) * s_kernel.pdf(F.col("dx"), F.col("dy"), pars=s_kernel.pars())
-    rows = pairs.crossJoin(draws.select("draw_id", "alpha", *t_kernel.params, *s_kernel.params))
-    return rows.groupBy("draw_id", "i").agg(F.sum(F.col("alpha") * value).alias("excitation"))
+    names = ["alpha", *t_kernel.params, *s_kernel.params]
+
+    def value(p):
+        of = lambda kernel: kernel.pars({n: p(n) for n in kernel.params})
+        return p("alpha") * t_kernel.pdf(F.col("dt"), pars=of(t_kernel)) * s_kernel.pdf(F.col("dx"), F.col("dy"), pars=of(s_kernel))
+
+    return _by_draw(pairs.select("i", "dt", "dx", "dy"), _in_blocks(draws, names), ["i"], value, "excitation")
 
 
 def excitation_integral(ev: DataFrame, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float) -> DataFrame:
     """draw_id, itot_excite: alpha times the mass that each event's kernel has inside the domain."""
     upper = F.least(d.n_t - F.col("u"), F.lit(float(window)))
     sides = (1 - F.col("sx"), F.col("sx"), 1 - F.col("sy"), F.col("sy"))
-    value = F.col("alpha") * t_kernel.mass(upper, pars=t_kernel.pars()) * s_kernel.mass(*sides, pars=s_kernel.pars())
-    rows = ev.select("u", "sx", "sy").crossJoin(draws.select("draw_id", "alpha", *t_kernel.params, *s_kernel.params))
-    return rows.groupBy("draw_id").agg(F.sum(value).alias("itot_excite"))
+    names = ["alpha", *t_kernel.params, *s_kernel.params]
+
+    def value(p):
+        of = lambda kernel: kernel.pars({n: p(n) for n in kernel.params})
+        return p("alpha") * t_kernel.mass(upper, pars=of(t_kernel)) * s_kernel.mass(*sides, pars=of(s_kernel))
+
+    return _by_draw(ev.select("u", "sx", "sy"), _in_blocks(draws, names), [], value, "itot_excite")
 
 
 def _field(fields: DataFrame, name: str, idx: str, value: str | None = None) -> DataFrame:
@@ -76,7 +129,7 @@ def time_integral(fields: DataFrame, draws: DataFrame, d: Domain) -> DataFrame:
     """draw_id, itot_time: the integral over time on the season diagonal."""
     seasons = season_of_time(draws.sparkSession, d)
     rows = _field(fields, "f_t", "time_bin").join(seasons, "time_bin").join(_field(fields, "f_a", "season_bin"), ["draw_id", "season_bin"]).join(draws.select("draw_id", "a_0"), "draw_id")
-    return rows.groupBy("draw_id").agg((F.sum(F.exp(F.col("a_0") + F.col("f_t") + F.col("f_a"))) * (d.n_t / d.n_t)).alias("itot_time"))
+    return rows.groupBy("draw_id").agg(F.sum(F.exp(F.col("a_0") + F.col("f_t") + F.col("f_a"))).alias("itot_time"))
 
 
 def space_integral(fields: DataFrame, d: Domain, cells: DataFrame | None = None) -> DataFrame:
@@ -103,12 +156,21 @@ def hawkes_integral_covariates(draws: DataFrame, effect: DataFrame, areas: DataF
     return rows.groupBy("draw_id").agg((F.sum(F.exp(F.col("a_0") + F.col("b_0")) * F.col("area")) * d.n_t).alias("itot_back"))
 
 
+def rates(fields: DataFrame, draws: DataFrame, d: Domain) -> DataFrame:
+    """draw_id, field, idx, rate: the marginal rates over time, season and space, and `part`, their share of the integral.
+
+    The rate over time has the intercept; that over space is for a cell of unit area.
+    """
+    rows = fields.join(draws.select("draw_id", "a_0"), "draw_id")
+    rate = F.when(F.col("field") == "f_t", F.exp(F.col("value") + F.col("a_0"))).otherwise(F.exp("value"))
+    width = F.when(F.col("field") == "f_xy", F.lit(1.0 / d.n_xy**2)).otherwise(F.lit(1.0))
+    return rows.select("draw_id", "field", "idx", rate.alias("rate"), (rate * width).alias("part"))
+
+
 def marginal_rates(fields: DataFrame, draws: DataFrame, d: Domain) -> DataFrame:
-    """draw_id, itot_t, itot_a, sum_xy: the marginal integrals that are reported beside the likelihood."""
-    t = _field(fields, "f_t", "idx").join(draws.select("draw_id", "a_0"), "draw_id").groupBy("draw_id").agg((F.sum(F.exp(F.col("f_t") + F.col("a_0"))) / d.n_t * d.n_t).alias("itot_t"))
-    a = _field(fields, "f_a", "idx").groupBy("draw_id").agg((F.sum(F.exp("f_a")) / d.n_s * d.n_s).alias("itot_a"))
-    xy = _field(fields, "f_xy", "idx").groupBy("draw_id").agg(F.sum(F.exp("f_xy")).alias("sum_xy"))
-    return t.join(a, "draw_id").join(xy, "draw_id")
+    """draw_id, itot_t, itot_a, itot_xy: the marginal integrals that are reported beside the likelihood."""
+    of = lambda name: F.sum(F.when(F.col("field") == name, F.col("part")))
+    return rates(fields, draws, d).groupBy("draw_id").agg(of("f_t").alias("itot_t"), of("f_a").alias("itot_a"), of("f_xy").alias("itot_xy"))
 
 
 def hawkes_scores(ev: DataFrame, pairs: DataFrame, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float, background: DataFrame | None = None, integral: DataFrame | None = None) -> DataFrame:
@@ -165,7 +227,10 @@ def excitation_share(scores: DataFrame) -> DataFrame:
 class Model:
     """Prepared events, the pairs of a Hawkes part, and what is needed to score draws.
 
-    kind is lgcp, hawkes or cox_hawkes. Tables are lazy; `persist` keeps events and pairs.
+    kind is lgcp, hawkes or cox_hawkes. `covariates` maps each covariate of `cov` (rectangles with cov_id,
+    bounds and area that cover the domain) to the name of its weight in the draws. `polygons` (poly_id,
+    ring) limit a Cox model's space to the cells they touch. Tables are lazy; `persist` keeps events and
+    pairs.
     """
 
     kind: str
@@ -175,8 +240,19 @@ class Model:
     t_kernel: Kernel = field(default_factory=Exponential)
     s_kernel: Kernel = field(default_factory=Gaussian)
     window: float = 0.0
-    covariates: tuple[str, ...] = ()
+    radius: float | None = None
+    covariates: dict[str, str] = field(default_factory=dict)
+    cov: DataFrame | None = None
+    polygons: DataFrame | None = None
     priors: dict[str, Normal | HalfNormal | Beta] = field(default_factory=dict)
+    most_pairs: int = pair_ops.MOST_PAIRS
+
+    def __post_init__(self):
+        if bool(self.covariates) != (self.cov is not None):
+            raise ValueError("covariates need both their weights' names and their table")
+        if self.cov is not None and "cov_id" not in self.events.columns:
+            held = spatial.rect_join(self.events, self.cov.select("cov_id", "x_min", "x_max", "y_min", "y_max"), "sx", "sy")
+            self.events = held
 
     def persist(self) -> Model:
         self.events = self.events.persist()
@@ -188,22 +264,48 @@ class Model:
         hawkes = 1 + len(self.t_kernel.params) + len(self.s_kernel.params) if self.kind != "lgcp" else 0
         return 1 + len(self.covariates) + hawkes
 
+    def _space(self, fields: DataFrame, effect: DataFrame | None) -> DataFrame:
+        """draw_id, itot_xy over the model's domain, with its covariates."""
+        spark = fields.sparkSession
+        cells = spatial.cells_in_domain(space_grid(spark, self.domain), self.polygons).select("cell_id") if self.polygons is not None else None
+        if effect is None:
+            return space_integral(fields, self.domain, cells)
+        overlay = spatial.overlay_rectangles(space_grid(spark, self.domain), self.cov)
+        return space_integral_covariates(fields, overlay if cells is None else overlay.join(cells, "cell_id", "left_semi"), effect)
+
     def score(self, draws: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-        """draw_id, loglik and its parts for every draw."""
+        """draw_id, loglik and its parts for every draw; `fields` for a model with a Cox part."""
+        effect = covariate_effect(self.cov, draws, self.covariates) if self.cov is not None else None
         if self.kind == "lgcp":
-            return lgcp_scores(sufficient_counts(self.events), fields, draws, self.domain)
+            counts = sufficient_counts(self.events, "cov_id" if effect is not None else None)
+            return lgcp_scores(counts, fields, draws, self.domain, self._space(fields, effect), effect)
         common = (self.events, self.pairs, draws, self.domain, self.t_kernel, self.s_kernel, self.window)
         if self.kind == "hawkes":
-            return hawkes_scores(*common)
-        integral = time_integral(fields, draws, self.domain).join(space_integral(fields, self.domain), "draw_id").select("draw_id", (F.col("itot_time") * F.col("itot_xy")).alias("itot_back"))
-        return hawkes_scores(*common, background_at_events(self.events, fields, draws), integral)
+            if effect is None:
+                return hawkes_scores(*common)
+            at = self.events.select("point_id", "cov_id").join(effect, "cov_id").join(draws.select("draw_id", "a_0"), "draw_id")
+            background = at.select("draw_id", "point_id", F.exp(F.col("a_0") + F.col("b_0")).alias("background"))
+            return hawkes_scores(*common, background, hawkes_integral_covariates(draws, effect, self.cov, self.domain))
+        integral = time_integral(fields, draws, self.domain).join(self._space(fields, effect), "draw_id").select("draw_id", (F.col("itot_time") * F.col("itot_xy")).alias("itot_back"))
+        return hawkes_scores(*common, background_at_events(self.events, fields, draws, effect), integral)
+
+    def for_events(self, events: DataFrame, d: Domain | None = None) -> Model:
+        """The same model over other events, such as held-out ones: cleaned, prepared, and paired anew."""
+        new = prepare(clean_events(events), d or self.domain)
+        pairs = pair_ops.checked_pairs(new, self.window, self.radius, self.most_pairs) if self.kind != "lgcp" else None
+        return replace(self, domain=d or self.domain, events=new, pairs=pairs)
+
+    def heldout(self, events: DataFrame, draws: DataFrame, fields: DataFrame | None = None, d: Domain | None = None) -> DataFrame:
+        """The log of the mean likelihood of held-out events over the draws."""
+        return log_expected_likelihood(self.for_events(events, d).score(draws, fields))
 
 
-def lgcp(events: DataFrame, d: Domain, covariates: tuple[str, ...] = (), priors: dict | None = None) -> Model:
-    return Model("lgcp", d, prepare(events, d), covariates=covariates, priors=priors or {})
+def lgcp(events: DataFrame, d: Domain, covariates: dict[str, str] | None = None, cov: DataFrame | None = None, polygons: DataFrame | None = None, priors: dict | None = None) -> Model:
+    ev = events if polygons is None else spatial.clip_to_domain(events, polygons)
+    return Model("lgcp", d, prepare(ev, d), covariates=covariates or {}, cov=cov, polygons=polygons, priors=priors or {})
 
 
-def hawkes(events: DataFrame, d: Domain, window: float, radius: float | None = None, cox_background: bool = False, t_kernel: Kernel | None = None, s_kernel: Kernel | None = None, covariates: tuple[str, ...] = (), priors: dict | None = None, most_pairs: int = pair_ops.MOST_PAIRS) -> Model:
+def hawkes(events: DataFrame, d: Domain, window: float, radius: float | None = None, cox_background: bool = False, t_kernel: Kernel | None = None, s_kernel: Kernel | None = None, covariates: dict[str, str] | None = None, cov: DataFrame | None = None, priors: dict | None = None, most_pairs: int = pair_ops.MOST_PAIRS) -> Model:
     """A Hawkes or Cox-Hawkes model; refuses a window whose pairs exceed `most_pairs`.
 
     A radius drops far pairs from the excitation but not their share of the integral, so it should
@@ -212,7 +314,7 @@ def hawkes(events: DataFrame, d: Domain, window: float, radius: float | None = N
     ev = prepare(events, d)
     pairs = pair_ops.checked_pairs(ev, window, radius, most_pairs)
     kind = "cox_hawkes" if cox_background else "hawkes"
-    return Model(kind, d, ev, pairs, t_kernel or Exponential(), s_kernel or Gaussian(), window, covariates, priors or {})
+    return Model(kind, d, ev, pairs, t_kernel or Exponential(), s_kernel or Gaussian(), window, radius, covariates or {}, cov, None, priors or {}, most_pairs)
 
 
 def one_draw(spark: SparkSession, **values: float) -> DataFrame:

@@ -39,6 +39,8 @@ _CTE = {
     "ncell": "SELECT cell_id, count(*) AS n FROM eb GROUP BY 1",
     "over": """SELECT * FROM (SELECT g.cell_id, c.cov_id, greatest(0, least(g.x_max, c.x_min + 0.1) - greatest(g.x_min, c.x_min)) * greatest(0, least(g.y_max, c.y_min + 0.1) - greatest(g.y_min, c.y_min)) AS area
         FROM sgrid g, cov c) WHERE area >= 1e-10""",
+    "dom": "SELECT DISTINCT cell_id FROM over JOIN cov USING (cov_id) WHERE c1 > 0.5",
+    "opairs": _PAIRS.replace("eb ", "ob "),
     "season_of": "SELECT i::INT AS time_bin, floor((i + 0.5) / 50 * 30e0 % 365e0 / 365e0 * 24)::INT AS season_bin FROM range(50) r(i)",
     "counts": "SELECT 'f_t' AS field, time_bin::BIGINT AS idx, count(*) AS n FROM eb GROUP BY ALL UNION ALL SELECT 'f_a', season_bin, count(*) FROM eb GROUP BY ALL UNION ALL SELECT 'f_xy', cell_id, count(*) FROM eb GROUP BY ALL",
     "hot": "SELECT cell_id, ln(0.5 + coalesce(n, 0)) AS post_mean FROM sgrid LEFT JOIN ncell USING (cell_id)",
@@ -51,7 +53,7 @@ for _n in (4, 20, 200):
     )
     _CTE[f"effect{_n}"] = f"SELECT draw_id, cov_id, c1*w1 + c2*w2 + c3*w3 AS b_0 FROM cov, draws{_n}"
 _NEEDS = {
-    "eb": ["ev"], "ob": ["ov"], "pairs": ["eb"], "pip": ["ev", "ring"], "in_cov": ["eb"], "ncell": ["eb"], "over": ["sgrid", "cov"], "counts": ["eb"], "hot": ["sgrid", "ncell"],
+    "eb": ["ev"], "ob": ["ov"], "pairs": ["eb"], "pip": ["ev", "ring"], "in_cov": ["eb"], "ncell": ["eb"], "over": ["sgrid", "cov"], "dom": ["over"], "opairs": ["ob"], "counts": ["eb"], "hot": ["sgrid", "ncell"],
     **{f"effect{n}": ["cov", f"draws{n}"] for n in (4, 20, 200)},
 }
 
@@ -164,7 +166,7 @@ ORACLES: dict[str, str] = {
     "pip_join": _sql("pip", "SELECT point_id, poly_id FROM pip"),
     "coverage_errors": _sql("pip", "SELECT point_id, count(poly_id) AS hits FROM ev LEFT JOIN pip USING (point_id) GROUP BY 1 HAVING count(poly_id) <> 1"),
     "clip_to_domain": _sql("pip", "SELECT DISTINCT point_id, round(X,6) AS X, round(Y,6) AS Y FROM pip"),
-    "cells_in_domain": _sql("over eb", "SELECT cell_id, count(*) AS n FROM eb WHERE cell_id IN (SELECT cell_id FROM over JOIN cov USING (cov_id) WHERE c1 > 0.5) GROUP BY 1"),
+    "cells_in_domain": _sql("dom eb", "SELECT cell_id, count(*) AS n FROM eb WHERE cell_id IN (SELECT cell_id FROM dom) GROUP BY 1"),
     "overlay_area": _sql("over ncell", "SELECT cell_id, cov_id, round(area,9) AS area, coalesce(n,0) AS n FROM over LEFT JOIN ncell USING (cell_id)"),
     "nearest_index": _sql("ev", """SELECT point_id, arg_min(i, struct_pack(d := (X-gx)*(X-gx)+(Y-gy)*(Y-gy), i := i)) AS idx FROM ev, (SELECT i, ((i*37)%50)/50e0 AS gx, ((i*23)%50)/50e0 AS gy FROM range(50) r(i)) GROUP BY 1"""),
     "nearest_index_1d": _sql("ev", "SELECT point_id, arg_min(i, struct_pack(d := (T-i)*(T-i), i := i)) AS idx FROM ev, range(31) r(i) GROUP BY 1"),
@@ -178,7 +180,22 @@ ORACLES: dict[str, str] = {
     "score_draws": _sql("pairs draws4", f"WITH {_scores('draws4')} SELECT draw_id, round(event_term,3) AS event_term, round(itot_back,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(loglik,3) AS loglik FROM scores"),
     "power_law_excitation": _sql("pairs draws4", """SELECT draw_id, count(*) AS n, round(sum(e),2) AS excitation FROM (SELECT draw_id, i, sum(alpha * beta/gamma*pow(1+dt/gamma, -beta-1) * exp(-(abs(dx)+abs(dy))/(sigmax_2*5))/pow(2*sigmax_2*5,2)) AS e FROM pairs, draws4 GROUP BY ALL) GROUP BY 1"""),
     "power_law_integral": _sql("eb draws4", """SELECT draw_id, round(sum(alpha*(1-pow(1+least(50-u,0.4)/gamma,-beta))*(1-(exp(-(1-sx)/(sigmax_2*5))+exp(-sx/(sigmax_2*5)))/2)*(1-(exp(-(1-sy)/(sigmax_2*5))+exp(-sy/(sigmax_2*5)))/2)),3) AS itot_excite FROM eb, draws4 GROUP BY 1"""),
-    "hawkes_cov_integral": _sql("effect4 eb", "SELECT draw_id, round(sum(exp(a_0+b_0)*0.01)*50,4) AS itot_back, (SELECT count(*) FROM eb) AS n FROM effect4 JOIN draws4 USING (draw_id) GROUP BY 1"),
+    "hawkes_cov_integral": _sql("effect4 eb", "SELECT draw_id, round(sum(exp(a_0+b_0)*0.01)*50,4) AS itot_back, round((SELECT count(*) FROM eb)/(sum(exp(a_0+b_0)*0.01)*50),4) AS observed FROM effect4 JOIN draws4 USING (draw_id) GROUP BY 1"),
+    "hawkes_cov_loglik": _sql("pairs in_cov effect4", f"""WITH {_scores('draws4')}, et AS (SELECT f.draw_id, sum(ln(coalesce(e,0) + exp(a_0 + b_0))) AS et FROM in_cov JOIN effect4 f USING (cov_id) JOIN draws4 USING (draw_id) LEFT JOIN exc ON exc.draw_id = f.draw_id AND exc.i = point_id GROUP BY 1),
+      ib AS (SELECT draw_id, sum(exp(a_0+b_0)*0.01)*50 AS ib FROM effect4 JOIN draws4 USING (draw_id) GROUP BY 1)
+      SELECT draw_id, round(et,3) AS event_term, round(ib,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(et - ib - itot_excite,3) AS loglik FROM et JOIN ib USING (draw_id) JOIN comp USING (draw_id)"""),
+    "cox_hawkes_cov_loglik": _sql("pairs in_cov fields4 effect4 over season_of", f"""WITH {_scores('draws4')}, {_TI}, si AS (SELECT f.draw_id, sum(exp(b_0 + value)*area) AS itot_xy FROM over JOIN fields4 f ON f.field = 'f_xy' AND f.idx = over.cell_id JOIN effect4 e ON e.draw_id = f.draw_id AND e.cov_id = over.cov_id GROUP BY 1),
+      bg AS (SELECT d.draw_id, point_id, exp(a_0 + t.value + a.value + x.value + b_0) AS b FROM in_cov CROSS JOIN draws4 d JOIN effect4 c ON c.draw_id = d.draw_id AND c.cov_id = in_cov.cov_id JOIN fields4 t ON t.draw_id = d.draw_id AND t.field = 'f_t' AND t.idx = time_bin
+      JOIN fields4 a ON a.draw_id = d.draw_id AND a.field = 'f_a' AND a.idx = season_bin JOIN fields4 x ON x.draw_id = d.draw_id AND x.field = 'f_xy' AND x.idx = cell_id), et AS (SELECT bg.draw_id, sum(ln(coalesce(e,0)+b)) AS et FROM bg LEFT JOIN exc ON exc.draw_id = bg.draw_id AND exc.i = point_id GROUP BY 1)
+      SELECT draw_id, round(et,3) AS event_term, round(itot_time*itot_xy,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(et - itot_time*itot_xy - itot_excite,3) AS loglik FROM et JOIN ti USING (draw_id) JOIN si USING (draw_id) JOIN comp USING (draw_id)"""),
+    "lgcp_domain_loglik": _sql("in_cov cov fields4 draws4 season_of dom", f"""WITH {_TI}, si AS (SELECT draw_id, sum(exp(value))/625 AS itot_xy FROM fields4 WHERE field = 'f_xy' AND idx IN (SELECT cell_id FROM dom) GROUP BY 1),
+      held AS (SELECT in_cov.* FROM in_cov JOIN cov USING (cov_id) WHERE c1 > 0.5), lin AS (SELECT t.draw_id, sum(t.value + a.value + x.value) AS l, count(*) AS n FROM held JOIN fields4 t ON t.field = 'f_t' AND t.idx = time_bin
+      JOIN fields4 a ON a.draw_id = t.draw_id AND a.field = 'f_a' AND a.idx = season_bin JOIN fields4 x ON x.draw_id = t.draw_id AND x.field = 'f_xy' AND x.idx = cell_id GROUP BY 1)
+      SELECT draw_id, round(n*a_0 + l,3) AS event_term, round(itot_time*itot_xy,3) AS itot, round(n*a_0 + l - itot_time*itot_xy,3) AS loglik FROM lin JOIN draws4 USING (draw_id) JOIN ti USING (draw_id) JOIN si USING (draw_id)"""),
+    "heldout_loglik": _sql("opairs draws4", f"WITH {_scores('draws4').replace('eb', 'ob').replace('FROM pairs', 'FROM opairs')}, m AS (SELECT max(loglik) AS m FROM scores) SELECT round(max(m) + ln(sum(exp(loglik-m))) - ln(count(*)),3) AS log_expected_likelihood FROM scores, m"),
+    "rates": _sql("counts fields4 draws4", "SELECT draw_id, f.field, f.idx, round(exp(value + CASE WHEN f.field = 'f_t' THEN a_0 ELSE 0 END),5) AS rate, coalesce(n, 0) AS n FROM fields4 f JOIN draws4 USING (draw_id) LEFT JOIN counts c ON c.field = f.field AND c.idx = f.idx"),
+    "smooth_season": _sql("ob", """WITH n AS (SELECT season_bin AS i, count(*) AS n FROM ob GROUP BY 1), w AS (SELECT a.i AS idx, b.i AS j, exp(-0.5*pow(least(abs(a.i-b.i), 24-abs(a.i-b.i)), 2)/(1.5*1.5)) AS k FROM range(24) a(i), range(24) b(i)),
+      l AS (SELECT idx, ln(sum(k*coalesce(n,0))/sum(k) + 1e-9) AS l FROM w LEFT JOIN n ON n.i = j GROUP BY 1) SELECT idx::INT AS idx, round(l-(SELECT avg(l) FROM l),6) AS value FROM l"""),
     "lgcp_loglik": _sql("counts fields4 draws4 season_of", f"""WITH {_TI}, {_SI}, lin AS (SELECT draw_id, sum(n*value) AS l FROM counts JOIN fields4 USING (field, idx) GROUP BY 1)
       SELECT draw_id, round((SELECT count(*) FROM eb)*a_0 + l,3) AS event_term, round(itot_time*itot_xy,3) AS itot, round((SELECT count(*) FROM eb)*a_0 + l - itot_time*itot_xy,3) AS loglik FROM lin JOIN draws4 USING (draw_id) JOIN ti USING (draw_id) JOIN si USING (draw_id)"""),
     "lgcp_cov_loglik": _sql("counts in_cov fields4 effect4 over season_of", f"""WITH {_TI}, si AS (SELECT f.draw_id, sum(exp(b_0 + value)*area) AS itot_xy FROM over JOIN fields4 f ON f.field = 'f_xy' AND f.idx = over.cell_id JOIN effect4 e ON e.draw_id = f.draw_id AND e.cov_id = over.cov_id GROUP BY 1),
@@ -187,12 +204,13 @@ ORACLES: dict[str, str] = {
     "cox_hawkes_loglik": _sql("pairs fields4 draws4 season_of", f"""WITH {_scores('draws4')}, {_TI}, {_SI}, bg AS (SELECT d.draw_id, point_id, exp(a_0 + t.value + a.value + x.value) AS b FROM eb CROSS JOIN draws4 d JOIN fields4 t ON t.draw_id = d.draw_id AND t.field = 'f_t' AND t.idx = time_bin
       JOIN fields4 a ON a.draw_id = d.draw_id AND a.field = 'f_a' AND a.idx = season_bin JOIN fields4 x ON x.draw_id = d.draw_id AND x.field = 'f_xy' AND x.idx = cell_id), et AS (SELECT bg.draw_id, sum(ln(coalesce(e,0)+b)) AS et FROM bg LEFT JOIN exc ON exc.draw_id = bg.draw_id AND i = point_id GROUP BY 1)
       SELECT draw_id, round(et,3) AS event_term, round(itot_time*itot_xy,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(et - itot_time*itot_xy - itot_excite,3) AS loglik FROM et JOIN ti USING (draw_id) JOIN si USING (draw_id) JOIN comp USING (draw_id)"""),
-    "marginal_rates": _sql("fields4 draws4 eb", """SELECT draw_id, round(sum(exp(value+a_0)) FILTER (WHERE field='f_t'),4) AS itot_t, round(sum(exp(value)) FILTER (WHERE field='f_a'),4) AS itot_a, round(sum(exp(value)) FILTER (WHERE field='f_xy'),4) AS sum_xy, (SELECT count(*) FROM eb) AS n FROM fields4 JOIN draws4 USING (draw_id) GROUP BY 1"""),
+    "marginal_rates": _sql("counts fields4 draws4", """WITH r AS (SELECT draw_id, field, idx, exp(value + CASE WHEN field = 'f_t' THEN a_0 ELSE 0 END) AS rate FROM fields4 JOIN draws4 USING (draw_id)), e AS (SELECT draw_id, sum(rate*n)/sum(n) AS seen FROM r JOIN counts USING (field, idx) GROUP BY 1)
+      SELECT draw_id, round(sum(rate) FILTER (WHERE field='f_t'),4) AS itot_t, round(sum(rate) FILTER (WHERE field='f_a'),4) AS itot_a, round(sum(rate/625) FILTER (WHERE field='f_xy'),4) AS itot_xy, round(any_value(seen),4) AS rate_at_events FROM r JOIN e USING (draw_id) GROUP BY 1"""),
     "log_expected_likelihood": _sql("pairs draws4", f"WITH {_scores('draws4')}, m AS (SELECT max(loglik) AS m FROM scores) SELECT round(max(m) + ln(sum(exp(loglik-m))) - ln(count(*)),3) AS log_expected_likelihood FROM scores, m"),
     "expected_aic": _sql("pairs draws4", f"WITH {_scores('draws4')} SELECT round(-2*avg(loglik)+8,3) AS expected_aic FROM scores"),
     "excitation_share": _sql("pairs draws4", f"WITH {_scores('draws4')} SELECT draw_id, round(itot_excite/(itot_excite+itot_back),6) AS share FROM scores"),
     "log_prior_scores": _sql("pairs draws4", f"WITH {_scores('draws4')} SELECT draw_id, round({_PRIOR},6) AS log_prior, round(loglik+{_PRIOR},3) AS log_posterior FROM scores JOIN draws4 USING (draw_id)"),
-    "posterior_weights": _sql("pairs draws4", f"WITH {_scores('draws4')}, lw AS (SELECT draw_id, loglik/1e5 + {_PRIOR} AS lw FROM scores JOIN draws4 USING (draw_id)) SELECT draw_id, round(exp(lw-(SELECT max(lw) FROM lw))/(SELECT sum(exp(lw-(SELECT max(lw) FROM lw))) FROM lw),5) AS weight FROM lw"),
+    "posterior_weights": _sql("pairs draws4", f"WITH {_scores('draws4')}, lw AS (SELECT draw_id, loglik + {_PRIOR} AS lw FROM scores JOIN draws4 USING (draw_id)) SELECT draw_id, round(exp(lw-(SELECT max(lw) FROM lw))/(SELECT sum(exp(lw-(SELECT max(lw) FROM lw))) FROM lw),5) AS weight FROM lw"),
     "em_step": _sql("pairs", f"""WITH f AS (SELECT i, dt, dx*dx+dy*dy AS d2, 0.3*exp(-dt/0.05)/0.05*exp(-(dx*dx+dy*dy)/0.02)/(2*pi()*0.01) AS f FROM pairs), g AS (SELECT i, sum(f) AS f, sum(f*dt) AS ft, sum(f*d2) AS fd FROM f GROUP BY 1),
       s AS (SELECT sum(f/(f+exp(3e0))) AS p, sum(ft/(f+exp(3e0))) AS pt, sum(fd/(f+exp(3e0))) AS pd FROM g), m AS (SELECT count(*) AS n, sum({_DT_MASS}*{_gauss_mass('0.01')}) AS mass FROM eb)
       SELECT round(ln((n-p)/50),6) AS a_0, round(p/mass,6) AS alpha, round(pt/p,6) AS beta, round(pd/(2*p),6) AS sigmax_2 FROM s, m"""),
@@ -203,10 +221,11 @@ ORACLES: dict[str, str] = {
     "summarize_draws": _sql("eb draws200", f"WITH {_SCORED(200)} " + _quantiles(_LONG("sc", ["a_0", "alpha", "beta", "w1", "w2", "expected"]), "round(avg(value),6) AS mean, round(stddev_pop(value),6) AS sd, round(avg((value>0)::INT),6) AS p_positive, round(quantile_cont(value,0.025),6) AS q025, round(quantile_cont(value,0.975),6) AS q975")),
     "recovery_table": _sql("eb draws200", f"WITH {_SCORED(200)}, s AS ({_quantiles(_LONG('sc', ['a_0', 'alpha', 'beta', 'expected']), 'avg(value) AS mean, stddev_pop(value) AS sd, quantile_cont(value,0.05) AS q05, quantile_cont(value,0.95) AS q95')}) SELECT param, round(mean,6) AS mean, round(sd,6) AS sd, round(q05,6) AS q05, round(q95,6) AS q95, truth, truth BETWEEN q05 AND q95 AS covered FROM s JOIN (VALUES ('a_0', 2.5e0), ('alpha', 0.05e0), ('beta', 0.07e0), ('expected', 0.06e0)) t(param, truth) USING (param)"),
     "hpdi": "WITH " + _hpdi("SELECT event_type, value::DOUBLE AS value FROM events", "event_type") + " SELECT event_type, round(s.low,6) AS low, round(s.high,6) AS high FROM h",
-    "field_summary": _sql("counts fields20", f"WITH {_hpdi('SELECT * FROM fields20', 'field, idx')}, m AS (SELECT field, idx, avg(value) AS mean FROM fields20 GROUP BY ALL) SELECT field, idx, round(mean,6) AS mean, round(s.low,6) AS low, round(s.high,6) AS high, round(CASE field WHEN 'f_t' THEN idx/50e0*30 WHEN 'f_a' THEN idx/24e0*365 END,6) AS day, n FROM m JOIN h USING (field, idx) JOIN counts USING (field, idx)"),
+    "field_summary": _sql("counts fields20", f"WITH {_hpdi('SELECT * FROM fields20', 'field, idx')}, m AS (SELECT field, idx, avg(value) AS mean FROM fields20 GROUP BY ALL) SELECT field, idx, round(mean,6) AS mean, round(s.low,6) AS low, round(s.high,6) AS high, round(CASE field WHEN 'f_t' THEN idx/50e0*30 WHEN 'f_a' THEN idx/24e0*365 END,6) AS day, coalesce(n,0) AS n FROM m JOIN h USING (field, idx) LEFT JOIN counts USING (field, idx)"),
     "intercept_combination": _sql("fields20 draws20 season_of eb", """SELECT d.draw_id, round(a_0 + (SELECT avg(value) FROM fields20 f WHERE f.draw_id = d.draw_id AND field = 'f_t') + (SELECT avg(value) FROM fields20 f JOIN season_of ON idx = season_bin WHERE f.draw_id = d.draw_id AND field = 'f_a')
-      + (SELECT avg(value) FROM fields20 f WHERE f.draw_id = d.draw_id AND field = 'f_xy'),6) AS intercept, (SELECT count(*) FROM eb) AS n FROM draws20 d"""),
-    "field_corr": _sql("counts fields20", "SELECT field, draw_id, round(CASE WHEN stddev_pop(value) = 0 OR stddev_pop(ln(n)) = 0 THEN 'nan'::DOUBLE ELSE corr(value, ln(n)) END,6) AS corr FROM fields20 JOIN counts USING (field, idx) GROUP BY ALL"),
+      + (SELECT avg(value) FROM fields20 f WHERE f.draw_id = d.draw_id AND field = 'f_xy'),6) AS intercept, round(a_0 + (SELECT avg(value) FROM fields20 f WHERE f.draw_id = d.draw_id AND field = 'f_t') + (SELECT avg(value) FROM fields20 f JOIN season_of ON idx = season_bin WHERE f.draw_id = d.draw_id AND field = 'f_a')
+      + (SELECT avg(value) FROM fields20 f WHERE f.draw_id = d.draw_id AND field = 'f_xy') - ln((SELECT count(*) FROM eb)/50e0),6) AS excess FROM draws20 d"""),
+    "field_corr": _sql("counts fields20", "SELECT field, draw_id, round(CASE WHEN stddev_pop(value) = 0 OR stddev_pop(ln(0.5e0+coalesce(n,0))) = 0 THEN 'nan'::DOUBLE ELSE corr(value, ln(0.5e0+coalesce(n,0))) END,6) AS corr FROM fields20 LEFT JOIN counts USING (field, idx) GROUP BY ALL"),
     "histogram": _sql("ev", "SELECT least(floor(T/30*50)+1, 50)::INT AS bin, count(*) AS n FROM ev WHERE T BETWEEN 0 AND 30 GROUP BY 1"),
     "histogram_density": _sql("ev", "SELECT least(floor(X*25)+1, 25)::INT AS bin, round(count(*)/(SELECT count(*) FROM ev WHERE X BETWEEN 0 AND 1)::DOUBLE/0.04,6) AS density FROM ev WHERE X BETWEEN 0 AND 1 GROUP BY 1"),
     "trace": _sql("eb draws20", f"WITH {_SCORED(20)} SELECT draw_id, param, round(value,6) AS value FROM ({_LONG('sc', ['a_0', 'alpha', 'expected'])})"),
@@ -215,9 +234,9 @@ ORACLES: dict[str, str] = {
       count(*) FILTER (WHERE value > peak*0.01) AS k, min(lag) FILTER (WHERE value > peak*0.01) AS l0, max(lag) FILTER (WHERE value > peak*0.01) AS l1 FROM p GROUP BY 1)
       SELECT k.draw_id, round(peak,6) AS peak, round(half_life,6) AS half_life, round(to1,6) AS to_1_percent, round(CASE WHEN k > 5 AND a.value <> b.value THEN -1/((ln(b.value)-ln(a.value))/(c.days-z.days)) END,6) AS time_constant
       FROM k JOIN cv a ON a.draw_id=k.draw_id AND a.lag=l0 JOIN cv b ON b.draw_id=k.draw_id AND b.lag=l1 JOIN cv c ON c.draw_id=k.draw_id AND c.lag=k-1 JOIN cv z ON z.draw_id=k.draw_id AND z.lag=0"""),
-    "grid_post_mean": _sql("fields20 ncell", "SELECT cell_id, round(avg(value),6) AS post_mean, (25 - cell_id//25)::INT AS grid_row, (cell_id%25+1)::INT AS grid_col, any_value(n) AS n FROM fields20 JOIN ncell ON idx = cell_id WHERE field = 'f_xy' GROUP BY cell_id"),
-    "piece_post_mean": _sql("fields20 effect20 over ncell", """SELECT cell_id, cov_id, round(f+b,6) AS post_mean, (25 - cell_id//25)::INT AS grid_row, (cell_id%25+1)::INT AS grid_col, n FROM over JOIN (SELECT idx AS cell_id, avg(value) AS f FROM fields20 WHERE field='f_xy' GROUP BY 1) USING (cell_id) JOIN (SELECT cov_id, avg(b_0) AS b FROM effect20 GROUP BY 1) USING (cov_id) JOIN ncell USING (cell_id)"""),
-    "cell_covariate": _sql("effect20 over ncell", "SELECT cell_id, round(sum(b*area)/sum(area),6) AS post_mean, any_value(n) AS n FROM over JOIN (SELECT cov_id, avg(b_0) AS b FROM effect20 GROUP BY 1) USING (cov_id) JOIN ncell USING (cell_id) GROUP BY 1"),
+    "grid_post_mean": _sql("fields20 ncell", "SELECT idx::INT AS cell_id, round(avg(value),6) AS post_mean, (25 - idx//25)::INT AS grid_row, (idx%25+1)::INT AS grid_col, coalesce(any_value(n),0) AS n FROM fields20 LEFT JOIN ncell ON idx = cell_id WHERE field = 'f_xy' GROUP BY idx"),
+    "piece_post_mean": _sql("fields20 effect20 over ncell", """SELECT cell_id, cov_id, round(f+b,6) AS post_mean, (25 - cell_id//25)::INT AS grid_row, (cell_id%25+1)::INT AS grid_col, coalesce(n,0) AS n FROM over JOIN (SELECT idx AS cell_id, avg(value) AS f FROM fields20 WHERE field='f_xy' GROUP BY 1) USING (cell_id) JOIN (SELECT cov_id, avg(b_0) AS b FROM effect20 GROUP BY 1) USING (cov_id) LEFT JOIN ncell USING (cell_id)"""),
+    "cell_covariate": _sql("effect20 over ncell", "SELECT cell_id, round(sum(b*area)/sum(area),6) AS post_mean, coalesce(any_value(n),0) AS n FROM over JOIN (SELECT cov_id, avg(b_0) AS b FROM effect20 GROUP BY 1) USING (cov_id) LEFT JOIN ncell USING (cell_id) GROUP BY 1"),
     "hotspots": _sql("hot", _hotspots(0.98, 0.02) + " SELECT kind, rank, cell_id, round(post_mean,6) AS post_mean FROM ranked"),
     "hotspots_90": _sql("hot", _hotspots(0.9, 0.1) + " SELECT kind, rank, cell_id, round(post_mean,6) AS post_mean FROM ranked"),
     "daily_counts": _sql("hot", _hotspots(0.9, 0.1) + " SELECT kind, ts::DATE AS day, count(*) AS n FROM eb JOIN ranked USING (cell_id) GROUP BY ALL"),

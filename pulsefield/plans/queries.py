@@ -183,11 +183,21 @@ def clip_to_domain(s, sf):
     return _rounded(sp.clip_to_domain(fx.events_e(s, sf), fx.polygons(s)).select("point_id", "X", "Y"))
 
 
+def _domain(s):
+    """A domain of polygons: the covariate cells with a high c1, as rings."""
+    corner = lambda x, y: F.struct(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+    ring = F.array(*[corner(x, y) for x, y in (("x_min", "y_min"), ("x_max", "y_min"), ("x_max", "y_max"), ("x_min", "y_max"))])
+    return fx.covariates(s).filter("c1 > 0.5").select(F.col("cov_id").alias("poly_id"), ring.alias("ring"))
+
+
+def _cov(s):
+    """The covariate cells with bounds that touch exactly, and their areas."""
+    return fx.covariates(s).withColumns({c: _r(c, 9) for c in ("x_min", "x_max", "y_min", "y_max")}).withColumn("area", F.lit(0.01))
+
+
 def cells_in_domain(s, sf):
-    """Events in cells that overlap the covariate cells with a high c1."""
-    some = fx.covariates(s).filter("c1 > 0.5")
-    cells = sp.overlay_rectangles(pp.space_grid(s, E), some).select("cell_id").distinct()
-    return hot.events_in_cells(_ev(s, sf), cells).groupBy("cell_id").agg(F.count("*").alias("n"))
+    """Events in cells that overlap the domain."""
+    return hot.events_in_cells(_ev(s, sf), sp.cells_in_domain(pp.space_grid(s, E), _domain(s))).groupBy("cell_id").agg(F.count("*").alias("n"))
 
 
 def overlay_area(s, sf):
@@ -264,11 +274,35 @@ def power_law_integral(s, sf, n_draws=N_DRAWS):
 
 
 def hawkes_cov_integral(s, sf, n_draws=N_DRAWS):
-    """The background integral with covariates, beside the events."""
-    draws = fx.draws(s, n_draws)
-    cov = fx.covariates(s).withColumn("area", F.lit(0.01))
+    """The background integral with covariates, and the events observed for each one expected."""
+    draws, cov = fx.draws(s, n_draws), _cov(s)
     rows = lk.hawkes_integral_covariates(draws, lk.covariate_effect(cov, draws, WEIGHTS), cov, E)
-    return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))), 4)
+    rows = rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n")))
+    return _rounded(rows.select("draw_id", "itot_back", (F.col("n") / F.col("itot_back")).alias("observed")), 4)
+
+
+def hawkes_cov_loglik(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    """A Hawkes model whose background has covariates."""
+    model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, radius, covariates=WEIGHTS, cov=_cov(s))
+    return _rounded(model.score(fx.draws(s, n_draws)), 3)
+
+
+def cox_hawkes_cov_loglik(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    """A Cox-Hawkes model with covariates."""
+    model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, radius, cox_background=True, covariates=WEIGHTS, cov=_cov(s))
+    return _rounded(model.score(fx.draws(s, n_draws), fx.fields(s, n_draws)), 3)
+
+
+def lgcp_domain_loglik(s, sf, n_draws=N_DRAWS):
+    """A Cox model of the events inside polygons, its space the cells that they overlap."""
+    model = lk.lgcp(fx.events_e(s, sf), E, polygons=_domain(s))
+    return _rounded(model.score(fx.draws(s, n_draws), fx.fields(s, n_draws)), 3)
+
+
+def heldout_loglik(s, sf, n_draws=N_DRAWS, radius=RADIUS):
+    """The model of the events scores the orders, which it has not seen."""
+    model = lk.hawkes(fx.events_e(s, sf), E, WINDOW, radius)
+    return _rounded(model.heldout(fx.events_o(s, sf), fx.draws(s, n_draws), d=O), 3)
 
 
 def lgcp_loglik(s, sf, n_draws=N_DRAWS):
@@ -290,8 +324,25 @@ def cox_hawkes_loglik(s, sf, n_draws=N_DRAWS, radius=RADIUS):
 
 
 def marginal_rates(s, sf, n_draws=N_DRAWS):
-    rows = lk.marginal_rates(fx.fields(s, n_draws), fx.draws(s, n_draws), E)
-    return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))), 4)
+    """The marginal integrals, and how far the rates of the events' own cells lie from them, event by event."""
+    fields, d = fx.fields(s, n_draws), fx.draws(s, n_draws)
+    at = lk.rates(fields, d, E).join(lk.sufficient_counts(_ev(s, sf)), ["field", "idx"])
+    at = at.groupBy("draw_id").agg((F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("rate_at_events"))
+    return _rounded(lk.marginal_rates(fields, d, E).join(at, "draw_id"), 4)
+
+
+def rates(s, sf, n_draws=N_DRAWS):
+    """The marginal rates of time, season and space, with the events of each cell."""
+    n = lk.sufficient_counts(_ev(s, sf))
+    rows = lk.rates(fx.fields(s, n_draws), fx.draws(s, n_draws), E).drop("part").join(n, ["field", "idx"], "left")
+    return _rounded(rows.na.fill(0, ["n"]), 5)
+
+
+def smooth_season(s, sf):
+    """Orders smoothed over the season, which runs in a circle."""
+    grid = s.range(E.n_s).select(F.col("id").cast("int").alias("id"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    n = _ov(s, sf).groupBy(F.col("season_bin").alias("idx")).agg(F.count("*").alias("n"))
+    return _rounded(fit.smooth_field(n, grid, 1.5, period=E.n_s), 6)
 
 
 def log_expected_likelihood(s, sf, n_draws=N_DRAWS, radius=RADIUS):
@@ -314,8 +365,7 @@ def log_prior_scores(s, sf, n_draws=N_DRAWS, radius=RADIUS):
 
 def posterior_weights(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     d = fx.draws(s, n_draws)
-    scores = _hawkes(s, sf, d, radius).withColumn("loglik", F.col("loglik") / F.lit(1e5))
-    return _rounded(fit.posterior_weights(scores, log_prior(d, PRIORS)), 5)
+    return _rounded(fit.posterior_weights(_hawkes(s, sf, d, radius), log_prior(d, PRIORS)), 5)
 
 
 def em_step(s, sf, radius=RADIUS):
@@ -325,7 +375,9 @@ def em_step(s, sf, radius=RADIUS):
 def fit_hawkes_em(s, sf):
     ev = _ev(s, sf)
     pairs = _pairs(s, sf, None).persist()  # a radius would decide sigmax_2
-    return fit.fit_hawkes_em(ev, pairs, E, WINDOW, HAWKES, 4)
+    found = fit.fit_hawkes_em(ev, pairs, E, WINDOW, HAWKES, 4)
+    pairs.unpersist()
+    return found
 
 
 def triggered_probability(s, sf, radius=RADIUS):
@@ -381,18 +433,20 @@ def hpdi(s, sf):
 def field_summary(s, sf):
     fields = fx.fields(s, 20)
     n = lk.sufficient_counts(_ev(s, sf))
-    return _rounded(po.field_summary(fields, E).join(n, ["field", "idx"]))
+    return _rounded(po.field_summary(fields, E).join(n, ["field", "idx"], "left").na.fill(0, ["n"]))
 
 
 def intercept_combination(s, sf):
+    """The combined intercept of each draw, less the log of the events' mean rate."""
     rows = po.intercept_combination(fx.draws(s, 20), fx.fields(s, 20), pp.season_of_time(s, E))
-    return _rounded(rows.crossJoin(_ev(s, sf).agg(F.count("*").alias("n"))))
+    rows = rows.crossJoin(_ev(s, sf).agg(F.log(F.count("*") / F.lit(float(E.n_t))).alias("log_rate")))
+    return _rounded(rows.select("draw_id", "intercept", (F.col("intercept") - F.col("log_rate")).alias("excess")))
 
 
 def field_corr(s, sf):
-    """Each draw's correlation of a field with the log counts of its cells."""
-    n = lk.sufficient_counts(_ev(s, sf)).withColumn("log_n", F.log("n"))
-    return _rounded(po.field_corr(fx.fields(s, 20).join(n, ["field", "idx"]), "value", "log_n", ["field", "draw_id"]))
+    """Each draw's correlation of a field with the log counts of all its cells."""
+    rows = fx.fields(s, 20).join(lk.sufficient_counts(_ev(s, sf)), ["field", "idx"], "left").withColumn("log_n", F.log(0.5 + F.coalesce("n", F.lit(0))))
+    return _rounded(po.field_corr(rows, "value", "log_n", ["field", "draw_id"]))
 
 
 def histogram(s, sf):
@@ -429,21 +483,21 @@ def _hot_cells(s, sf):
 
 def grid_post_mean(s, sf):
     n = _ev(s, sf).groupBy("cell_id").agg(F.count("*").alias("n"))
-    return _rounded(hot.grid_post_mean(fx.fields(s, 20), E).join(n, "cell_id"))
+    return _rounded(hot.grid_post_mean(fx.fields(s, 20), E).join(n, "cell_id", "left").na.fill(0, ["n"]))
 
 
 def piece_post_mean(s, sf):
     effect = lk.covariate_effect(fx.covariates(s), fx.draws(s, 20), WEIGHTS)
     n = _ev(s, sf).groupBy("cell_id").agg(F.count("*").alias("n"))
     rows = hot.piece_post_mean(fx.fields(s, 20), sp.overlay_rectangles(pp.space_grid(s, E), fx.covariates(s)), effect, E)
-    return _rounded(rows.join(n, "cell_id"))
+    return _rounded(rows.join(n, "cell_id", "left").na.fill(0, ["n"]))
 
 
 def cell_covariate(s, sf):
     effect = lk.covariate_effect(fx.covariates(s), fx.draws(s, 20), WEIGHTS)
     grid = pp.space_grid(s, E)
     n = _ev(s, sf).groupBy("cell_id").agg(F.count("*").alias("n"))
-    return _rounded(hot.cell_covariate(grid, sp.overlay_rectangles(grid, fx.covariates(s)), effect).join(n, "cell_id"))
+    return _rounded(hot.cell_covariate(grid, sp.overlay_rectangles(grid, fx.covariates(s)), effect).join(n, "cell_id", "left").na.fill(0, ["n"]))
 
 
 def hotspots(s, sf, method="98/2"):
@@ -462,16 +516,16 @@ _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
     nearest_index, nearest_index_1d, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
-    lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, triggered_probability,
+    hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, triggered_probability,
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
 #: Queries on pairs, registered as <name>_all on the pairs of the window at any distance: RADIUS is half a sigma of the kernel.
-_OF_PAIRS = (excitation, em_step, triggered_probability, score_draws, power_law_excitation, cox_hawkes_loglik, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights)
+_OF_PAIRS = (excitation, em_step, triggered_probability, score_draws, power_law_excitation, cox_hawkes_loglik, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, hawkes_cov_loglik, cox_hawkes_cov_loglik, heldout_loglik)
 #: Queries over draws, registered over all of them as <name>_all.
 _OF_DRAWS = (
     covariate_effect, background_at_events, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates,
-    log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights,
+    log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED} | {
     "hotspots_90": partial(hotspots, method="90/10"),
