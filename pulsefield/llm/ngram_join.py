@@ -6,15 +6,17 @@ their sets is at least `THRESHOLD`.
 1. Equal sets collapse to one node with its number of rows, so exact copies are never paired.
 2. Banded MinHash values put similar nodes in common buckets. A bucket links its nodes to its least one;
    the components of those links hold every candidate pair.
-3. Within a component all pairs are candidates, in tiles of `BLOCK` by `BLOCK` nodes, so that a
-   component of any size spreads over many tasks. A tile compares MinHash values incrementally and drops
-   a pair as soon as the posterior probability that its similarity reaches the threshold (uniform prior,
-   m of n values equal) falls below `TOLERANCE`. Survivors are verified exactly on their shingles.
+3. A component is cut into blocks of about `BLOCK` nodes, and two blocks make a tile, so that a component
+   of any size spreads over many tasks. A node goes only to the tiles of blocks that hold a node of one
+   of its buckets: a chain of unlike nodes costs its common buckets, not the square of its length. A tile
+   compares MinHash values incrementally and drops a pair as soon as the posterior probability that its
+   similarity reaches the threshold (uniform prior, m of n values equal) falls below `TOLERANCE`.
+   Survivors are verified exactly on their shingles.
 4. A tile returns a row per node: how many rows its links reach, and the least node of its linked group.
    Components of the verified links are the classes. Pairs are never written out.
 
-Banding misses a pair of similarity 0.8 with probability (1 - 0.8^5)^30 < 1e-5, if the component has no
-other path between the two.
+Banding misses a pair of similarity 0.8 with probability (1 - 0.8^5)^30 < 1e-5, if no tile holds the two
+for the sake of others.
 
 Defined cases: texts of fewer words than a shingle are one shingle of all their words; texts without
 words (null, empty) have no links and are classes of their own; rows of one id are rows of their own;
@@ -224,14 +226,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     near = connected_components(spread.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    sizes = near.groupBy("component").agg(F.count("*").alias("nodes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # A node is copied to each tile of its block, so tasks are counted in copies, not in documents.
-    copies = sizes.agg(F.sum(F.col("nodes") * F.col("blocks"))).first()[0] or 0
+    sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = near.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    # The blocks that a node's buckets reach; a component of one block needs no look.
+    spread = spread.join(blocks.filter("blocks > 1").select("node", "block"), "node")
+    reached = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_set("block").alias("others")).filter("n > 1").drop("n")
+    others = spread.join(reached, "bucket").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    placed = blocks.join(others, "node", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0))))
+    placed = cut(placed.join(nodes.select("node", "least.doc_id", "least.tie", "n"), "node"))
+    # A node is copied to each of its tiles, so tasks are counted in copies, not in documents.
+    copies = placed.agg(F.sum(F.size("others"))).first()[0] or 0
     tasks = 1 + copies // PER_TASK
-    placed = near.join(sizes, "component").join(nodes.select("node", "least.doc_id", "least.tie", "n"), "node")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     with_text = texts.filter("doc_id is not null").join(placed, ["doc_id", "tie"])
-    tiled = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = with_text.withColumn("other", F.explode("others"))
     tiled = tiled.select("component", "node", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
     tiled = tiled.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks)))
     verified = cut(tiled.groupBy("task").applyInArrow(_verify, "node long, links long, hub long"))

@@ -1,3 +1,7 @@
+import tempfile
+import uuid
+from pathlib import Path
+
 import numpy as np
 import pytest
 from brute import dedup, near
@@ -95,6 +99,26 @@ def test_join_of_near_copies(spark, monkeypatch, block):
     assert got == sorted(near(rows))
 
 
+def test_join_of_a_chain_goes_to_few_tiles(spark, monkeypatch):
+    """Each text is like its neighbours only, so one component holds texts that are nothing alike."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    count = ngram_join._verify
+    rows = [(k, " ".join(f"word{at}" for at in range(12 * k, 12 * k + 200))) for k in range(90)]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+    def verify(table):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(table.num_rows))
+        return count(table)
+
+    monkeypatch.setattr(ngram_join, "_verify", verify)
+    got = sorted(tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(near(rows))
+    assert {c for _, c, _ in got} == {0}
+    copied = sum(int(p.read_text()) for p in Path(folder).iterdir())
+    assert 90 <= copied < 90 * 30 / 2  # 30 blocks: all pairs of blocks would take 30 copies of each
+
+
 def test_join_of_the_corpus(spark, corpus):
     rows = [(i, t) for i, t, _ in corpus]
     got = sorted(tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
