@@ -5,14 +5,11 @@ A spatial join is an equi-join on grid buckets that a polygon's bounds cover, th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets along each side of the unit square.
-BUCKETS = 32
+#: Buckets that a shape covers on average, at most; more where a few shapes are very large.
+COVER = 16
 
 
 def _next(ring: str, i: Column) -> Column:
@@ -50,27 +47,47 @@ def inside(ring: str, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
-def _bucket(v: Column) -> Column:
-    return F.floor(v * BUCKETS).cast("int")
+def _sides(shapes: DataFrame, prefix: str = "") -> DataFrame:
+    """One row: wx, wy, the sides of a bucket.
+
+    They are the mean sides of a shape, whatever the unit of the coordinates, and longer where large
+    shapes would otherwise cover more than `COVER` buckets for each shape of the table.
+    """
+    w, h = (F.col(f"{prefix}{v}_max") - F.col(f"{prefix}{v}_min") for v in "xy")
+    means = shapes.agg(F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("wh"))
+    longer = F.greatest(F.lit(1.0), F.sqrt(F.coalesce(F.try_divide("wh", F.col("w") * F.col("h")), F.lit(1.0)) / COVER))
+    side = lambda c: F.when(F.col(c) > 0, F.col(c) * longer).otherwise(1.0)
+    return F.broadcast(means.select(side("w").alias("wx"), side("h").alias("wy")))
+
+
+def _bucket(v: str | Column, side: str) -> Column:
+    return F.floor((F.col(v) if isinstance(v, str) else v) / F.col(side))
 
 
-def _covered(df: DataFrame, prefix: str = "") -> DataFrame:
-    """A row for each bucket that the bounds touch."""
-    span = lambda a, b: F.explode(F.sequence(_bucket(F.col(a)), _bucket(F.col(b))))
-    return df.withColumn("bx", span(prefix + "x_min", prefix + "x_max")).withColumn("by", span(prefix + "y_min", prefix + "y_max"))
+def _bucketed(points: DataFrame, sides: DataFrame, x: str, y: str) -> DataFrame:
+    return points.crossJoin(sides).withColumns({"bx": _bucket(x, "wx"), "by": _bucket(y, "wy")}).drop("wx", "wy")  # one row
+
+
+def _covered(df: DataFrame, sides: DataFrame, prefix: str = "") -> DataFrame:
+    """A row for each bucket that the bounds touch; keeps wx and wy."""
+    span = lambda v: F.explode(F.sequence(_bucket(f"{prefix}{v}_min", "w" + v), _bucket(f"{prefix}{v}_max", "w" + v)))
+    return df.crossJoin(sides).withColumn("bx", span("x")).withColumn("by", span("y"))  # one row
 
 
 def pip_join(points: DataFrame, polys: DataFrame, how: str = "inner", x: str = "X", y: str = "Y") -> DataFrame:
     """Points with the columns of the polygon that holds them; `left` keeps the points that none holds."""
-    left = points.withColumns({"bx": _bucket(F.col(x)), "by": _bucket(F.col(y))})
-    right = _covered(polygon_stats(polys)).select("bx", "by", *polys.columns)
+    shapes = polygon_stats(polys)
+    sides = _sides(shapes)
+    left = _bucketed(points, sides, x, y)
+    right = _covered(shapes, sides).select("bx", "by", *polys.columns)
     return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & inside("ring", F.col(x), F.col(y)), how).drop("bx", "by", "ring")
 
 
 def rect_join(points: DataFrame, cells: DataFrame, x: str = "X", y: str = "Y", x_end: float = 1.0, y_end: float = 1.0) -> DataFrame:
     """Points with the columns of the rectangle that holds them: half-open, but closed at the domain's end."""
-    left = points.withColumns({"bx": _bucket(F.col(x)), "by": _bucket(F.col(y))})
-    right = _covered(cells)
+    sides = _sides(cells)
+    left = _bucketed(points, sides, x, y)
+    right = _covered(cells, sides).drop("wx", "wy")
     below = lambda v, top, end: (F.col(v) < right[top]) | ((F.col(v) == right[top]) & (right[top] >= end))
     hit = (F.col(x) >= right["x_min"]) & below(x, "x_max", x_end) & (F.col(y) >= right["y_min"]) & below(y, "y_max", y_end)
     return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & hit).drop("bx", "by", "x_min", "x_max", "y_min", "y_max")
@@ -88,44 +105,43 @@ def clip_to_domain(points: DataFrame, polys: DataFrame, key: str = "point_id", x
     return points.join(held, key, "left_semi")
 
 
-def _clipped_area(ring: list, x0: float, x1: float, y0: float, y1: float) -> float:
-    """Area of a ring within a rectangle: the ring is clipped by each side in turn, then the shoelace sum."""
-    points = [(p["x"], p["y"]) for p in ring]
-    for axis, limit, keep_above in ((0, x0, True), (0, x1, False), (1, y0, True), (1, y1, False)):
-        out = []
-        for k, q in enumerate(points):
-            p = points[k - 1]
-            p_in, q_in = ((v[axis] >= limit) == keep_above or v[axis] == limit for v in (p, q))
-            if p_in != q_in:
-                share = (limit - p[axis]) / (q[axis] - p[axis])
-                out.append((p[0] + share * (q[0] - p[0]), p[1] + share * (q[1] - p[1])))
-            if q_in:
-                out.append(q)
-        points = out
-    return abs(sum(points[k - 1][0] * q[1] - q[0] * points[k - 1][1] for k, q in enumerate(points))) / 2
+def _clipped_area(ring: str, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Area of a ring within a rectangle.
 
+    Each edge adds the area below it, held to the rectangle's height, over its stretch between x0 and x1;
+    edges that run back subtract.
+    """
+    held = lambda v, low, high: F.greatest(low, F.least(v, high))
+    # The integral of a height that is held between 0 and the rectangle's, from its lower side up to y.
+    below = lambda y: F.pow(held(y, y0, y1) - y0, 2) / 2 + F.greatest(y - y1, F.lit(0.0)) * (y1 - y0)
+
+    def under(a: Column, i: Column) -> Column:
+        b = _next(ring, i)
+        run = b["x"] - a["x"]
+        at = lambda x: a["y"] + F.coalesce(F.try_divide(x - a["x"], run), F.lit(0.0)) * (b["y"] - a["y"])
+        begin, end = held(a["x"], x0, x1), held(b["x"], x0, x1)
+        p, q = at(begin), at(end)
+        flat = F.abs(q - p) <= 1e-7 * (y1 - y0)
+        mean = F.when(flat, held((p + q) / 2, y0, y1) - y0).otherwise(F.try_divide(below(q) - below(p), q - p))
+        return F.when(begin == end, F.lit(0.0)).otherwise(mean * (end - begin))
 
-def _clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("ring", "x_min", "x_max", "y_min", "y_max"))
-        areas = [_clipped_area(*row) for row in zip(*columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("cell_id"), batch.column("poly_id"), pa.array(areas, pa.float64())], ["cell_id", "poly_id", "area"])
+    return F.abs(F.aggregate(F.transform(ring, under), F.lit(0.0), lambda acc, v: acc + v))
 
 
 def overlay_polygons(grid: DataFrame, polys: DataFrame, least: float = 1e-10) -> DataFrame:
     """cell_id, poly_id, area of the common part of each grid cell and polygon; slivers are dropped."""
     near = _touching(grid, polygon_stats(polys).select("poly_id", "ring", *(F.col(c).alias("p_" + c) for c in ("x_min", "x_max", "y_min", "y_max"))))
-    picked = near.select("cell_id", "poly_id", "ring", "x_min", "x_max", "y_min", "y_max")
-    kind = picked.schema["poly_id"].dataType.simpleString()
-    return picked.mapInArrow(_clip, f"cell_id int, poly_id {kind}, area double").filter(F.col("area") >= least)
+    area = _clipped_area("ring", *(F.col(c) for c in ("x_min", "x_max", "y_min", "y_max")))
+    return near.select("cell_id", "poly_id", area.alias("area")).filter(F.col("area") >= least)
 
 
 def _touching(grid: DataFrame, other: DataFrame) -> DataFrame:
     """Pairs of cells and shapes whose bounds overlap; each pair once, in the bucket of its lower corner."""
-    cells, shapes = _covered(grid), _covered(other, "p_")
+    sides = _sides(grid)
     low_x, low_y = F.greatest("x_min", "p_x_min"), F.greatest("y_min", "p_y_min")
-    both = cells.join(shapes, ["bx", "by"])
-    return both.filter((_bucket(low_x) == F.col("bx")) & (_bucket(low_y) == F.col("by")) & (low_x <= F.least("x_max", "p_x_max")) & (low_y <= F.least("y_max", "p_y_max")))
+    both = _covered(grid, sides).join(_covered(other, sides, "p_").drop("wx", "wy"), ["bx", "by"])
+    own = (_bucket(low_x, "wx") == F.col("bx")) & (_bucket(low_y, "wy") == F.col("by"))
+    return both.filter(own & (low_x <= F.least("x_max", "p_x_max")) & (low_y <= F.least("y_max", "p_y_max"))).drop("wx", "wy")
 
 
 def overlay_rectangles(grid: DataFrame, cells: DataFrame, key: str = "cov_id", least: float = 1e-10) -> DataFrame:
