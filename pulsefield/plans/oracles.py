@@ -245,6 +245,53 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _em_path(steps: int) -> str:
+    """Unrolled EM steps on `pairs`; p0 is the start."""
+    ctes = ["p0 AS (SELECT 3e0 AS a_0, 0.3e0 AS alpha, 0.05e0 AS beta, 0.01e0 AS sigmax_2)"]
+    for k in range(1, steps + 1):
+        o = f"p{k - 1}"
+        ctes += [
+            f"""g{k} AS MATERIALIZED (SELECT i, any_value(a_0) AS a_0, sum(f) AS f, sum(f*dt) AS ft, sum(f*d2) AS fd FROM (
+              SELECT i, a_0, dt, dx*dx+dy*dy AS d2, alpha*exp(-dt/beta)/beta*exp(-(dx*dx+dy*dy)/(2*sigmax_2))/(2*pi()*sigmax_2) AS f FROM pairs, {o}) GROUP BY 1)""",
+            f"s{k} AS (SELECT sum(f/(f+exp(a_0))) AS p, sum(ft/(f+exp(a_0))) AS pt, sum(fd/(f+exp(a_0))) AS pd FROM g{k})",
+            f"m{k} AS (SELECT count(*) AS n, sum((1-exp(-least(50-u, 0.4)/beta)) * {_gauss_mass('sigmax_2')}) AS mass FROM eb, {o})",
+            f"p{k} AS MATERIALIZED (SELECT ln((n-p)/50) AS a_0, p/mass AS alpha, pt/p AS beta, pd/(2*p) AS sigmax_2 FROM s{k}, m{k})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k}::INT AS iteration, * FROM p{k}" for k in range(steps + 1))
+    return f"WITH {', '.join(ctes)} SELECT iteration, round(a_0,6) AS a_0, round(alpha,6) AS alpha, round(beta,6) AS beta, round(sigmax_2,6) AS sigmax_2 FROM ({rows})"
+
+
+def _newton(steps: int) -> str:
+    """Newton steps of a Poisson regression of n on c1 and c2 with the log of the exposure as offset."""
+    ctes = [
+        "st AS (SELECT avg(c1) AS m1, stddev_pop(c1) AS s1, avg(c2) AS m2, stddev_pop(c2) AS s2 FROM cov)",
+        """d AS MATERIALIZED (SELECT cell_id, sum((c1-m1)/s1*area)/sum(area) AS c1, sum((c2-m2)/s2*area)/sum(area) AS c2, sum(area) AS ex, coalesce(any_value(n),0) AS n
+          FROM over JOIN cov USING (cov_id) CROSS JOIN st LEFT JOIN ncell USING (cell_id) GROUP BY 1)""",
+        "b0 AS (SELECT ln(sum(n)/sum(ex)) AS a, 0e0 AS b, 0e0 AS c FROM d)",
+    ]
+    for k in range(1, steps + 1):
+        ctes += [
+            f"""h{k} AS (SELECT a, b, c, sum(n-u) AS g0, sum(c1*(n-u)) AS g1, sum(c2*(n-u)) AS g2, sum(u) AS h00, sum(u*c1) AS h01, sum(u*c2) AS h02, sum(u*c1*c1) AS h11, sum(u*c1*c2) AS h12, sum(u*c2*c2) AS h22
+              FROM (SELECT d.*, q.*, ex*exp(a+b*c1+c*c2) AS u FROM d, b{k - 1} q) GROUP BY a, b, c)""",
+            f"""i{k} AS (SELECT *, h11*h22-h12*h12 AS i00, h02*h12-h01*h22 AS i01, h01*h12-h02*h11 AS i02, h00*h22-h02*h02 AS i11, h01*h02-h00*h12 AS i12, h00*h11-h01*h01 AS i22 FROM h{k})""",
+            f"""b{k} AS MATERIALIZED (SELECT a+(i00*g0+i01*g1+i02*g2)/t AS a, b+(i01*g0+i11*g1+i12*g2)/t AS b, c+(i02*g0+i12*g1+i22*g2)/t AS c FROM (SELECT *, h00*i00+h01*i01+h02*i02 AS t FROM i{k}))""",
+        ]
+    one = lambda term, v: f"SELECT '{term}' AS term, round({v},4) AS estimate FROM b{steps}"
+    return f"WITH {', '.join(ctes)} {one('intercept', 'a')} UNION ALL {one('c1', 'b')} UNION ALL {one('c2', 'c')}"
+
+
+_BELOW = lambda y: f"(pow(greatest(y_min, least({y}, y_max)) - y_min, 2)/2 + greatest({y} - y_max, 0)*(y_max - y_min))"
+
+ORACLES |= {
+    "fit_hawkes_em": _sql("pairs", _em_path(4)),
+    "fit_background": _sql("over ncell", _newton(8)),
+    "overlay_polygons": _sql("sgrid ncell ring", f"""WITH e AS (SELECT cell_id, poly_id, y_min, y_max, x1, y1, x2, y2, greatest(x_min, least(x1, x_max)) AS b, greatest(x_min, least(x2, x_max)) AS e FROM sgrid, ring WHERE x1 <> x2),
+      h AS (SELECT *, y1 + (b-x1)/(x2-x1)*(y2-y1) AS p, y1 + (e-x1)/(x2-x1)*(y2-y1) AS q FROM e WHERE b <> e),
+      o AS (SELECT cell_id, poly_id, abs(sum((e-b) * CASE WHEN abs(q-p) < 1e-9 THEN greatest(y_min, least((p+q)/2, y_max)) - y_min ELSE ({_BELOW("q")} - {_BELOW("p")})/(q-p) END)) AS area FROM h GROUP BY 1, 2)
+      SELECT poly_id::INT AS poly_id, round(sum(area),6) AS area, round(sum(area*625*coalesce(n,0)),3) AS expected FROM o LEFT JOIN ncell USING (cell_id) WHERE area >= 1e-10 GROUP BY 1"""),
+}
+
+
 _NEAR = " AND sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) <= 0.05"
 
 
@@ -257,3 +304,5 @@ def _all(sql: str) -> str:
 
 #: The queries over draws and the likelihoods and fits on pairs, with the same SQL over all of them.
 ORACLES |= {f"{k}_all": _all(v) for k, v in ORACLES.items() if "draws4" in v or k in ("excitation", "em_step", "triggered_probability")}
+#: EM takes every pair of the window.
+ORACLES["fit_hawkes_em"] = ORACLES["fit_hawkes_em"].replace(_NEAR, "")

@@ -377,7 +377,7 @@ def fit_hawkes_em(s, sf):
     pairs = _pairs(s, sf, None).persist()  # a radius would decide sigmax_2
     found = fit.fit_hawkes_em(ev, pairs, E, WINDOW, HAWKES, 4)
     pairs.unpersist()
-    return found
+    return _rounded(found)
 
 
 def triggered_probability(s, sf, radius=RADIUS):
@@ -393,7 +393,7 @@ def fit_background(s, sf):
     rows = cells.join(n, "cell_id", "left").na.fill(0, ["n"]).withColumn("n", F.col("n").cast("double"))
     model = fit.fit_background(rows, ["c1", "c2"], 1e-6)
     found = [("intercept", float(model.intercept)), *zip(("c1", "c2"), map(float, model.coefficients), strict=True)]
-    return s.createDataFrame(found, "term string, estimate double")
+    return _rounded(s.createDataFrame(found, "term string, estimate double"), 4)
 
 
 def smooth_field(s, sf):
