@@ -12,9 +12,16 @@ from pulsefield.config import Domain
 from pulsefield.functions.kernels import Exponential, Gaussian
 from pulsefield.plans.likelihood import excitation, one_draw
 
+#: Steps of a regression at most.
+MOST_STEPS = 200
+
 
 def fit_background(counts: DataFrame, terms: list[str], ridge: float = 0.0):
-    """Poisson regression of column n on indicator `terms` and columns, with offset log(exposure)."""
+    """Poisson regression of column n on indicator `terms` and columns, with offset log(exposure).
+
+    The first step can overshoot far where many counts are zero, and comes back by one for each further
+    step; a fit that has not converged after `MOST_STEPS` raises.
+    """
     from pyspark.ml.feature import OneHotEncoder, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
@@ -25,7 +32,10 @@ def fit_background(counts: DataFrame, terms: list[str], ridge: float = 0.0):
         rows = OneHotEncoder(inputCols=cats, outputCols=[c + "_v" for c in cats], handleInvalid="keep").fit(rows).transform(rows)
         inputs += [c + "_v" for c in cats]
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-    return GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", offsetCol="offset", regParam=ridge).fit(rows)
+    model = GeneralizedLinearRegression(family="poisson", link="log", labelCol="n", offsetCol="offset", regParam=ridge, maxIter=MOST_STEPS).fit(rows)
+    if model.summary.numIterations >= MOST_STEPS:
+        raise ValueError(f"the regression has not converged in {MOST_STEPS} steps")
+    return model
 
 
 def em_step(pairs: DataFrame, ev: DataFrame, d: Domain, a_0: float, alpha: float, beta: float, sigmax_2: float, window: float) -> DataFrame:

@@ -315,3 +315,32 @@ def test_nearest_index_refuses_a_grid_beyond_its_bound(spark):
         spatial.nearest_index(events(spark, [(0, 0, 100_000)]), grid, ("T",))
     small = grid.filter("idx > 99990")
     assert spatial.nearest_index(events(spark, [(0, 0, 100_000)]), small, ("T",), most=10).collect() == [(0, 100_000)]
+
+
+def test_fit_background_converges_from_many_zeros(spark):
+    """Counts with many zeros: the sums of counts and of fitted values agree, also weighted by the covariate."""
+    rows = spark.createDataFrame([(0.0 if k % 3 else float(k), 0.0016, (k % 7) / 7.0 - 0.4) for k in range(300)], "n double, exposure double, c double")
+    model = fit.fit_background(rows, ["c"])
+    b, (w,) = model.intercept, model.coefficients
+    left = [(r.n - r.exposure * math.exp(b + w * r.c), r.c) for r in rows.collect()]
+    assert abs(sum(v for v, _ in left)) < 0.1 and abs(sum(v * c for v, c in left)) < 0.1
+
+
+def test_buckets_follow_the_size_of_the_shapes(spark):
+    """The same polygons and points in units a thousand times as long; a large shape among small ones."""
+    shapes = [(k, [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]) for k, x in enumerate(range(20))] + [(99, [(0.0, 1.0), (20.0, 1.0), (20.0, 41.0), (0.0, 41.0)])]
+    for unit in (0.001, 1.0, 1000.0):
+        polys = spark.createDataFrame([(k, [{"x": x * unit, "y": y * unit} for x, y in ring]) for k, ring in shapes], "poly_id int, ring array<struct<x:double,y:double>>")
+        points = spark.createDataFrame([(k, (k + 0.5) * unit, 0.5 * unit) for k in range(20)] + [(50, 3.0 * unit, 30.0 * unit), (51, 30.0 * unit, 3.0 * unit)], "point_id int, X double, Y double")
+        got = {r.point_id: r.poly_id for r in spatial.pip_join(points, polys, "left").collect()}
+        assert got == {**{k: k for k in range(20)}, 50: 99, 51: None}
+        assert spatial._covered(spatial.polygon_stats(polys), spatial._sides(spatial.polygon_stats(polys))).count() < 21 * (spatial.COVER + 8)
+
+
+def test_waiting_times_cross_stretches(spark):
+    times = [0.1, 0.1, 0.4, 2.5, 2.75, 7.0]
+    row = pairs.inter_arrival(spark.createDataFrame([("a", t) for t in times] + [("b", 1.0)], "k string, T double"), "k").collect()
+    gaps = sorted(b - a for a, b in zip(times, times[1:]))
+    assert [r.k for r in row] == ["a"] and row[0].n == 5
+    assert row[0].median == pytest.approx(gaps[2]) and row[0].mean == pytest.approx(sum(gaps) / 5)
+    assert row[0].p99 == pytest.approx(gaps[3] + 0.96 * (gaps[4] - gaps[3]))
