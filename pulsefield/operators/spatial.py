@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets that a shape covers on average, at most; more where a few shapes are very large.
-COVER = 16
+#: Buckets that a shape covers on average, and that a table of few shapes covers in all.
+COVER, LEAST_COVER = 4, 4096
 
 
 def _next(ring: str, i: Column) -> Column:
@@ -50,12 +50,13 @@ def inside(ring: str, x: Column, y: Column) -> Column:
 def _sides(shapes: DataFrame, prefix: str = "") -> DataFrame:
     """One row: wx, wy, the sides of a bucket.
 
-    They are the mean sides of a shape, whatever the unit of the coordinates, and longer where large
-    shapes would otherwise cover more than `COVER` buckets for each shape of the table.
+    They follow the mean sides of a shape, whatever the unit of the coordinates, so that the shapes cover
+    about `COVER` buckets each; few shapes get smaller buckets, so that points spread over many keys.
     """
     w, h = (F.col(f"{prefix}{v}_max") - F.col(f"{prefix}{v}_min") for v in "xy")
-    means = shapes.agg(F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("wh"))
-    longer = F.greatest(F.lit(1.0), F.sqrt(F.coalesce(F.try_divide("wh", F.col("w") * F.col("h")), F.lit(1.0)) / COVER))
+    means = shapes.agg(F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("wh"), F.count("*").alias("n"))
+    cover = F.greatest(F.lit(float(COVER)), F.try_divide(F.lit(float(LEAST_COVER)), F.col("n")))
+    longer = F.sqrt(F.coalesce(F.try_divide("wh", F.col("w") * F.col("h")), F.lit(1.0)) / cover)
     side = lambda c: F.when(F.col(c) > 0, F.col(c) * longer).otherwise(1.0)
     return F.broadcast(means.select(side("w").alias("wx"), side("h").alias("wy")))
 

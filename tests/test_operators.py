@@ -334,7 +334,7 @@ def test_buckets_follow_the_size_of_the_shapes(spark):
         points = spark.createDataFrame([(k, (k + 0.5) * unit, 0.5 * unit) for k in range(20)] + [(50, 3.0 * unit, 30.0 * unit), (51, 30.0 * unit, 3.0 * unit)], "point_id int, X double, Y double")
         got = {r.point_id: r.poly_id for r in spatial.pip_join(points, polys, "left").collect()}
         assert got == {**{k: k for k in range(20)}, 50: 99, 51: None}
-        assert spatial._covered(spatial.polygon_stats(polys), spatial._sides(spatial.polygon_stats(polys))).count() < 21 * (spatial.COVER + 8)
+        assert spatial._covered(spatial.polygon_stats(polys), spatial._sides(spatial.polygon_stats(polys))).count() < 2 * spatial.LEAST_COVER
 
 
 def test_waiting_times_cross_stretches(spark):
