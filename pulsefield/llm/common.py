@@ -66,3 +66,24 @@ def labelled_sample(table: DataFrame, column: str, keep: Column, bound: int) ->
     rows = rows.groupBy("doc_id").agg(F.max(F.col(column)).cast("int").alias("label"))
     share = min(1.0, bound / max(1, table.count()))
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+#: Keys that `attach` broadcasts at most.
+HEAVY = 1000
+
+
+def attach(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, total: int, spread: Column) -> DataFrame:
+    """`rows` with the columns of their key's row in `stats` (null where there is none); no key burdens a task.
+
+    `stats` has one row per key and the number of rows with that key, `size`; these add up to `total` at most.
+    Keys of more than total / HEAVY rows are fewer than HEAVY, and are broadcast. The other keys are joined by a
+    shuffle, in which the rows that are served already are dealt by `spread`, an integer.
+    """
+    names = [c for c in stats.columns if c not in keys]
+    packed = stats.select(*keys, F.struct(*names).alias("_found"))
+    many = F.col("_found")[size] > max(1, total // HEAVY)
+    heavy = F.broadcast(packed.filter(many).withColumnRenamed("_found", "_heavy"))
+    light = packed.filter(~many).withColumnRenamed("_found", "_light").withColumn("_dealt", F.lit(0).cast("long"))
+    met = rows.join(heavy, keys, "left").withColumn("_dealt", F.when(F.col("_heavy").isNotNull(), 1 + F.abs(spread)).otherwise(0).cast("long"))
+    met = met.join(light, [*keys, "_dealt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    return met.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])

@@ -82,4 +82,10 @@ SELECT doc_id, size, source_size, target, taken, slot AS first_slot
 FROM k LEFT JOIN ranked ON taken > 0 AND ranked.place = k.place AND ranked.block = start // 16384
 """
 
-ORACLES: dict[str, str] = {"op4_mixing_sources": OP4, "op8_quality_rules": OP8}
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST)
+"""
+
+ORACLES: dict[str, str] = {"op13_exact_dedup": OP13, "op4_mixing_sources": OP4, "op8_quality_rules": OP8}

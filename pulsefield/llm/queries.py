@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables, full results."""
+"""The registered queries of the operators: production parameters, whole tables, full results."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import chat, fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from pulsefield.llm import chat, exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -75,6 +75,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -86,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scans": op10_license_scans,
+    "op13_exact_dedup": op13_exact_dedup,
 }
