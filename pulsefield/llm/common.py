@@ -83,7 +83,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: list[str], size: str, total:
     packed = stats.select(*keys, F.struct(*names).alias("_found"))
     many = F.col("_found")[size] > max(1, total // HEAVY)
     heavy = F.broadcast(packed.filter(many).withColumnRenamed("_found", "_heavy"))
-    light = packed.filter(~many).withColumnRenamed("_found", "_light").withColumn("_dealt", F.lit(0).cast("long"))
+    light = packed.filter(~many).withColumnRenamed("_found", "_light").withColumn("_dealt", F.least(F.col("_light")[size].cast("long"), F.lit(0)))  # 0, but no literal: it must stay a key
     met = rows.join(heavy, keys, "left").withColumn("_dealt", F.when(F.col("_heavy").isNotNull(), 1 + F.abs(spread)).otherwise(0).cast("long"))
     met = met.join(light, [*keys, "_dealt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     return met.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])

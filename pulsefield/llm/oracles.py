@@ -88,4 +88,37 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST)
 """
 
-ORACLES: dict[str, str] = {"op13_exact_dedup": OP13, "op4_mixing_sources": OP4, "op8_quality_rules": OP8}
+#: crc32 of the ASCII characters of a decimal number, bit by bit.
+CRC32 = """xor(list_reduce(flatten(list_transform(string_split({}::VARCHAR, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295::BIGINT), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS src, {CRC32.format('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT ids.conv_id, pos, role, text FROM ids JOIN t ON t.conv_id = ids.src AND pos < h
+  UNION ALL SELECT ids.conv_id, pos, role, text FROM ids JOIN t ON t.conv_id = ids.conv_id AND pos >= h
+), lists AS (
+  SELECT ids.conv_id, coalesce(list(md5(md5(role) || md5(text)) || ':' || octet_length(encode(text)) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS l FROM ids LEFT JOIN r USING (conv_id) GROUP BY 1
+), p AS (
+  SELECT conv_id, d, array_to_string(l[1:d], ' ') AS node, array_to_string(l[1:d - 1], ' ') AS parent, d = len(l) AS last,
+    CASE WHEN d > 0 THEN string_split(l[d], ':')[2]::BIGINT ELSE 0 END AS bytes FROM lists, unnest(range(len(l) + 1)) u(d)
+), n AS (
+  SELECT node, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY ALL
+), c AS (
+  SELECT parent, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.parent = n.node AND c.d = n.d
+), above AS (
+  SELECT own.*, u.k, CASE WHEN u.k = 0 THEN '' ELSE array_to_string(string_split(node, ' ')[1:u.k], ' ') END AS top FROM own, unnest(range(d + 1)) u(k)
+), sums AS (
+  SELECT top, k, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above GROUP BY ALL
+)
+SELECT own.conv_id, own.d AS depth, CASE WHEN own.d > 0 THEN o.conv_id END AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+FROM own JOIN sums ON top = own.node AND k = own.d LEFT JOIN own o ON o.node = own.parent AND o.d = own.d - 1
+"""
+
+ORACLES: dict[str, str] = {"op12_conversation_prefix_trie": OP12, "op13_exact_dedup": OP13, "op4_mixing_sources": OP4, "op8_quality_rules": OP8}

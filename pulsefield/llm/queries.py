@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm import chat, exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from pulsefield.llm import chat, conversation_repair, exact_dedup, fingerprints, licenses, mixing, ngram_join, packing, prefix_trie, quality_classifier, quality_rules, substring_dedup, toxicity
 from pulsefield.llm.common import documents, id_bucket, labelled_sample, labels
 
 
@@ -75,6 +75,17 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(rows, F.col("gone"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conv = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.with_shared_starts(turns, conv - conv % 5, id_bucket("conv_id", 9), prefix_trie.BORROWED))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(documents(spark, sf_dir))
 
@@ -90,5 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scans": op10_license_scans,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
