@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ class Kernel:
     def mass(self, *limits: Column, pars: Pars) -> Column:
         raise NotImplementedError
 
+    def exponentials(self, tolerance: float, **pars: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and rates whose sum of w exp(-r t) is the temporal pdf, to `tolerance` of its peak."""
+        raise NotImplementedError(f"{type(self).__name__} is no sum of exponentials here; give a window")
+
 
 class Exponential(Kernel):
     params = ("beta",)
@@ -54,6 +59,9 @@ class Exponential(Kernel):
     def mass(self, upper: Column, pars: Pars) -> Column:
         return 1 - F.exp(-upper / _c(pars["beta"]))
 
+    def exponentials(self, tolerance: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([1 / beta]), np.array([1 / beta])
+
 
 class PowerLaw(Kernel):
     """Lomax: beta / gamma (1 + t / gamma)^(-beta - 1)."""
@@ -68,6 +76,13 @@ class PowerLaw(Kernel):
         b, g = _c(pars["beta"]), _c(pars["gamma"])
         return 1 - F.pow(1 + upper / g, -b)
 
+    def exponentials(self, tolerance: float, beta: float, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+        """A mixture over rates with Gamma(beta + 1) weights, by the trapezoidal rule in the logarithm of the rate."""
+        step = 0.8 * math.pi**2 / (math.log(1 / tolerance) + 4)
+        low, high = math.log(tolerance) / (beta + 1) - 3, math.log(math.log(1 / tolerance) + 8 * (beta + 1))
+        y = np.arange(low, high + step, step)
+        return step * np.exp((beta + 1) * y - np.exp(y) - math.lgamma(beta)) / gamma, np.exp(y) / gamma
+
 
 class Gaussian(Kernel):
     params = ("sigmax_2",)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
 from pulsefield.operators.prepare import grid_rowcol
+from pulsefield.operators.ranks import quantiles
 
 #: Percentiles of hot and cold cells by method.
 METHODS = {"auto": (0.98, 0.02), "98/2": (0.98, 0.02), "90/10": (0.9, 0.1)}
@@ -43,7 +44,7 @@ def hotspots(cells: DataFrame, method: str = "auto") -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; use one of {sorted(METHODS)}")
     hot, cold = METHODS[method]
-    limits = cells.agg(F.percentile("post_mean", F.lit(hot)).alias("hot_at"), F.percentile("post_mean", F.lit(cold)).alias("cold_at"))
+    limits = quantiles(cells, [], "post_mean", {"hot_at": hot, "cold_at": cold})
     rows = cells.crossJoin(limits)  # one row on the right
     kinds = F.array(F.when(F.col("post_mean") >= F.col("hot_at"), "hot"), F.when(F.col("post_mean") <= F.col("cold_at"), "cold"))
     rows = rows.select("cell_id", "post_mean", F.explode(F.array_compact(kinds)).alias("kind"))

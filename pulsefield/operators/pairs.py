@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefield.operators.posterior import ranked_values
+from pulsefield.operators.ranks import _met, quantiles
 
 #: Pair joins above this bound are refused.
 MOST_PAIRS = 4_000_000_000
@@ -80,7 +80,7 @@ def inter_arrival(df: DataFrame, by: str, t: str = "T", span: float = 1.0) -> Da
 
     Events are ordered inside stretches of `span`; the first of a stretch waits since the last event of
     the stretch before, of which a group has one row each. Percentiles come from ranked waiting times, so
-    no task orders all events of a group.
+    no task orders all events of a group. A null group is a group.
     """
     rows = df.select(by, F.col(t).alias("t"), F.floor(F.col(t) / span).alias("b")).filter("t is not null")
     gap = F.col("t") - F.lag("t").over(Window.partitionBy(by, "b").orderBy("t"))
@@ -88,17 +88,5 @@ def inter_arrival(df: DataFrame, by: str, t: str = "T", span: float = 1.0) -> Da
     ends = rows.groupBy(by, "b").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     outer = ends.select(by, (F.col("first") - F.lag("last").over(Window.partitionBy(by).orderBy("b"))).alias("gap"))
     gaps = inner.unionByName(outer).filter("gap is not null")
-    ranks = ranked_values(gaps, [by], "gap")
-    return _interpolated(ranks, by, {"median": 0.5, "p99": 0.99}).join(gaps.groupBy(by).agg(F.count("*").alias("n"), F.avg("gap").alias("mean")), by).select(by, "n", "mean", "median", "p99")
-
-
-def _interpolated(ranks: DataFrame, by: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles of ranked values, between the two values next to (n - 1) * share."""
-    found = []
-    for name, share in shares.items():
-        at = (F.col("n") - 1) * F.lit(share)
-        value = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
-        found += [value(F.floor(at)).alias(name + "_low"), value(F.ceil(at)).alias(name + "_high")]
-    rows = ranks.groupBy(by, "n").agg(*found)
-    part = lambda share: (F.col("n") - 1) * F.lit(share) - F.floor((F.col("n") - 1) * F.lit(share))
-    return rows.select(by, *[(F.col(c + "_low") + part(share) * (F.col(c + "_high") - F.col(c + "_low"))).alias(c) for c, share in shares.items()])
+    means = gaps.groupBy(by).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"))
+    return _met(means, quantiles(gaps, [by], "gap", {"median": 0.5, "p99": 0.99}), [by]).select(by, "n", "mean", "median", "p99")

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
 from pulsefield.functions.kernels import Kernel
-
-#: Buckets of value for each key, and ranks in a block, when values are ranked.
-BUCKETS, SPAN = 4096, 64
+from pulsefield.operators.ranks import hpdi, quantiles
 
 
 def long_draws(draws: DataFrame, params: list[str]) -> DataFrame:
@@ -18,57 +16,21 @@ def long_draws(draws: DataFrame, params: list[str]) -> DataFrame:
 
 
 def summarize_draws(draws: DataFrame, params: list[str]) -> DataFrame:
-    v = F.col("value")
-    q = lambda p: F.percentile("value", F.lit(p))
-    return long_draws(draws, params).groupBy("param").agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.avg((v > 0).cast("double")).alias("p_positive"), q(0.025).alias("q025"), q(0.975).alias("q975")
-    )
+    """param, mean, sd, p_positive, q025, q975 of each parameter, over the draws that have it."""
+    v, rows = F.col("value"), long_draws(draws, params)
+    stats = rows.groupBy("param").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.avg((v > 0).cast("double")).alias("p_positive"))
+    return stats.join(quantiles(rows, ["param"], "value", {"q025": 0.025, "q975": 0.975}), "param", "left")
 
 
 def recovery_table(draws: DataFrame, truth: dict[str, float]) -> DataFrame:
     """mean, sd, 5 and 95 per cent and whether these cover the known value."""
-    q = lambda p: F.percentile("value", F.lit(p))
-    stats = long_draws(draws, list(truth)).groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), q(0.05).alias("q05"), q(0.95).alias("q95"))
+    rows = long_draws(draws, list(truth))
+    stats = rows.groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    stats = stats.join(quantiles(rows, ["param"], "value", {"q05": 0.05, "q95": 0.95}), "param", "left")
     known = draws.sparkSession.createDataFrame([(k, float(v)) for k, v in truth.items()], "param string, truth double")
     return stats.join(known, "param").withColumn("covered", F.col("truth").between(F.col("q05"), F.col("q95")))
 
 
-def ranked_values(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The keys, v, first, last, n: the ranks (from 0) that each distinct value has among the rows of its keys.
-
-    Equal values are counted before anything is ordered. A value's rank is the count of the buckets of
-    value before its own plus that inside it, so no task orders all values of a key.
-    """
-    counts = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ends = counts.groupBy(*keys).agg(F.min("v").alias("_low"), F.max("v").alias("_high"), F.sum("c").alias("n"))
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
-    placed = counts.join(ends, keys).withColumn("_bucket", F.floor(share * BUCKETS))
-    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("c").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = placed.withColumn("_upto", F.sum("c").over(inside)).join(sums, [*keys, "_bucket"])
-    last = F.col("_before") + F.col("_upto") - 1
-    return ranks.select(*keys, "v", (last - F.col("c") + 1).alias("first"), last.alias("last"), "n")
-
-
-def hpdi(rows: DataFrame, keys: list[str], value: str = "value", prob: float = 0.9) -> DataFrame:
-    """The keys, low, high: the shortest interval of sorted values that spans floor(prob * n) steps; the lowest on ties.
-
-    An interval that starts in a run of equal values is shortest from the first of them. The value at its
-    end is found by blocks of `SPAN` ranks.
-    """
-    ranks = ranked_values(rows, keys, value)
-    steps = F.least(F.floor(F.col("n") * prob), F.col("n") - 1)
-    starts = ranks.select(*keys, F.col("v").alias("low"), (F.col("first") + steps).alias("end")).withColumn("_block", F.floor(F.col("end") / SPAN))
-    starts = starts.join(ranks.groupBy(*keys).agg(F.max("n").alias("_n")), keys).filter(F.col("end") < F.col("_n")).drop("_n")
-    over = F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN)))
-    ends = ranks.select(*keys, F.col("v").alias("high"), "first", "last", over.alias("_block"))
-    both = starts.join(ends, [*keys, "_block"]).filter(F.col("end").between(F.col("first"), F.col("last")))
-    best = both.groupBy(*keys).agg(F.min(F.struct((F.col("high") - F.col("low")).alias("width"), "low", "high")).alias("b"))
-    return best.select(*keys, F.col("b.low").alias("low"), F.col("b.high").alias("high"))
-
-
 def field_summary(fields: DataFrame, d: Domain, prob: float = 0.9) -> DataFrame:
     """field, idx, day, mean, low, high: the mean and interval of each cell; day is the cell's start in days."""
     means = fields.groupBy("field", "idx").agg(F.avg("value").alias("mean"))

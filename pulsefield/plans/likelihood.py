@@ -21,6 +21,7 @@ from pulsefield.functions.priors import Beta, HalfNormal, Normal
 from pulsefield.operators import pairs as pair_ops
 from pulsefield.operators import spatial
 from pulsefield.operators.prepare import clean_events, prepare, season_of_time, space_grid
+from pulsefield.plans.history import full_excitation
 
 #: Draws that a row of pairs or events meets at once.
 DRAWS = 8
@@ -108,9 +109,10 @@ def excitation(pairs: DataFrame, draws: DataFrame, t_kernel: Kernel, s_kernel: K
     return _by_draw(pairs.select("i", "dt", "dx", "dy"), _in_blocks(draws, names), ["i"], value, "excitation")
 
 
-def excitation_integral(ev: DataFrame, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float) -> DataFrame:
-    """draw_id, itot_excite: alpha times the mass that each event's kernel has inside the domain."""
-    upper = F.least(d.n_t - F.col("u"), F.lit(float(window)))
+def excitation_integral(ev: DataFrame, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float | None = None) -> DataFrame:
+    """draw_id, itot_excite: alpha times the mass that each event's kernel has inside the domain (and the window)."""
+    upper = d.n_t - F.col("u")
+    upper = upper if window is None else F.least(upper, F.lit(float(window)))
     sides = (1 - F.col("sx"), F.col("sx"), 1 - F.col("sy"), F.col("sy"))
     names = ["alpha", *t_kernel.params, *s_kernel.params]
 
@@ -173,13 +175,14 @@ def marginal_rates(fields: DataFrame, draws: DataFrame, d: Domain) -> DataFrame:
     return rates(fields, draws, d).groupBy("draw_id").agg(of("f_t").alias("itot_t"), of("f_a").alias("itot_a"), of("f_xy").alias("itot_xy"))
 
 
-def hawkes_scores(ev: DataFrame, pairs: DataFrame, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float, background: DataFrame | None = None, integral: DataFrame | None = None) -> DataFrame:
+def hawkes_scores(ev: DataFrame, pairs: DataFrame | None, draws: DataFrame, d: Domain, t_kernel: Kernel, s_kernel: Kernel, window: float | None = None, background: DataFrame | None = None, integral: DataFrame | None = None) -> DataFrame:
     """draw_id, event_term, itot_back, itot_excite, loglik of every draw.
 
     Without `background` the background is exp(a_0) and events without a pair need no row of their own:
-    their term is their number times a_0.
+    their term is their number times a_0. Without a window (and pairs) all earlier events excite.
     """
-    excite = excitation(pairs, draws, t_kernel, s_kernel).withColumnRenamed("i", "point_id")
+    excite = full_excitation(ev, draws, t_kernel, s_kernel) if window is None else excitation(pairs, draws, t_kernel, s_kernel)
+    excite = excite.withColumnRenamed("i", "point_id")
     if background is None:
         hit = excite.join(draws.select("draw_id", "a_0"), "draw_id")
         hit = hit.groupBy("draw_id").agg(F.sum(F.log(F.col("excitation") + F.exp("a_0"))).alias("some"), F.count("*").alias("n"))
@@ -239,7 +242,7 @@ class Model:
     pairs: DataFrame | None = None
     t_kernel: Kernel = field(default_factory=Exponential)
     s_kernel: Kernel = field(default_factory=Gaussian)
-    window: float = 0.0
+    window: float | None = None
     radius: float | None = None
     covariates: dict[str, str] = field(default_factory=dict)
     cov: DataFrame | None = None
@@ -292,7 +295,7 @@ class Model:
     def for_events(self, events: DataFrame, d: Domain | None = None) -> Model:
         """The same model over other events, such as held-out ones: cleaned, prepared, and paired anew."""
         new = prepare(clean_events(events), d or self.domain)
-        pairs = pair_ops.checked_pairs(new, self.window, self.radius, self.most_pairs) if self.kind != "lgcp" else None
+        pairs = pair_ops.checked_pairs(new, self.window, self.radius, self.most_pairs) if self.kind != "lgcp" and self.window is not None else None
         return replace(self, domain=d or self.domain, events=new, pairs=pairs)
 
     def heldout(self, events: DataFrame, draws: DataFrame, fields: DataFrame | None = None, d: Domain | None = None) -> DataFrame:
@@ -305,14 +308,15 @@ def lgcp(events: DataFrame, d: Domain, covariates: dict[str, str] | None = None,
     return Model("lgcp", d, prepare(ev, d), covariates=covariates or {}, cov=cov, polygons=polygons, priors=priors or {})
 
 
-def hawkes(events: DataFrame, d: Domain, window: float, radius: float | None = None, cox_background: bool = False, t_kernel: Kernel | None = None, s_kernel: Kernel | None = None, covariates: dict[str, str] | None = None, cov: DataFrame | None = None, priors: dict | None = None, most_pairs: int = pair_ops.MOST_PAIRS) -> Model:
-    """A Hawkes or Cox-Hawkes model; refuses a window whose pairs exceed `most_pairs`.
+def hawkes(events: DataFrame, d: Domain, window: float | None = None, radius: float | None = None, cox_background: bool = False, t_kernel: Kernel | None = None, s_kernel: Kernel | None = None, covariates: dict[str, str] | None = None, cov: DataFrame | None = None, priors: dict | None = None, most_pairs: int = pair_ops.MOST_PAIRS) -> Model:
+    """A Hawkes or Cox-Hawkes model. Without a window, all earlier events excite, and no pairs are made.
 
+    With one, pairs are rows; a window whose pairs exceed `most_pairs` is refused, as none at all is cheaper.
     A radius drops far pairs from the excitation but not their share of the integral, so it should
     cover nearly all of the spatial kernel.
     """
     ev = prepare(events, d)
-    pairs = pair_ops.checked_pairs(ev, window, radius, most_pairs)
+    pairs = None if window is None else pair_ops.checked_pairs(ev, window, radius, most_pairs)
     kind = "cox_hawkes" if cox_background else "hawkes"
     return Model(kind, d, ev, pairs, t_kernel or Exponential(), s_kernel or Gaussian(), window, radius, covariates or {}, cov, None, priors or {}, most_pairs)
 

@@ -280,9 +280,20 @@ def _newton(steps: int) -> str:
     return f"WITH {', '.join(ctes)} {one('intercept', 'a')} UNION ALL {one('c1', 'b')} UNION ALL {one('c2', 'c')}"
 
 
+_VALUES = "SELECT CASE WHEN event_id % 11 > 0 THEN event_type END AS event_type, pow(value::DOUBLE, 4) AS value FROM events WHERE event_id % 7 > 0"
+
 _BELOW = lambda y: f"(pow(greatest(y_min, least({y}, y_max)) - y_min, 2)/2 + greatest({y} - y_max, 0)*(y_max - y_min))"
 
+_EVERY = "(SELECT a.point_id AS i, a.u - b.u AS dt, a.sx - b.sx AS dx, a.sy - b.sy AS dy FROM eb a JOIN eb b ON b.u < a.u) pairs"
+_FULL_SCORES = _scores("draws4").replace("FROM pairs", f"FROM {_EVERY}").replace("least(50-u, 0.4)", "(50-u)")
+
 ORACLES |= {
+    "excitation_full_history": _sql("eb", f"""SELECT point_id AS i, round(coalesce(e, 0), 2) AS excitation FROM eb LEFT JOIN (
+      SELECT i, sum(0.3 * exp(-dt/0.05)/0.05 * exp(-(dx*dx+dy*dy)/0.02)/(2*pi()*0.01)) AS e FROM {_EVERY} GROUP BY 1) ON i = point_id"""),
+    "hawkes_loglik_full": _sql("eb draws4", f"WITH {_FULL_SCORES} SELECT draw_id, round(event_term,3) AS event_term, round(itot_back,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(loglik,3) AS loglik FROM scores"),
+    "power_law_full_history": _sql("eb draws4", f"""SELECT draw_id, (SELECT count(*) FROM eb) AS n, round(sum(alpha * beta/gamma*pow(1+dt/gamma, -beta-1) * exp(-(dx*dx+dy*dy)/(2*sigmax_2))/(2*pi()*sigmax_2)),2) AS excitation FROM {_EVERY}, draws4 GROUP BY 1"""),
+    "value_quantiles": f"SELECT event_type, round(quantile_cont(value, 0.01), 4) AS q01, round(quantile_cont(value, 0.5), 4) AS q50, round(quantile_cont(value, 0.999), 4) AS q999 FROM ({_VALUES}) GROUP BY 1",
+    "value_hpdi": "WITH " + _hpdi(_VALUES, "event_type").replace("a.n*0.9", "a.n*0.5").replace("a.event_type = b.event_type", "a.event_type IS NOT DISTINCT FROM b.event_type") + " SELECT event_type, round(s.low,4) AS low, round(s.high,4) AS high FROM h",
     "fit_hawkes_em": _sql("pairs", _em_path(4)),
     "fit_background": _sql("over ncell", _newton(8)),
     "overlay_polygons": _sql("sgrid ncell ring", f"""WITH e AS (SELECT cell_id, poly_id, y_min, y_max, x1, y1, x2, y2, greatest(x_min, least(x1, x_max)) AS b, greatest(x_min, least(x2, x_max)) AS e FROM sgrid, ring WHERE x1 <> x2),

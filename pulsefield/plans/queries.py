@@ -14,8 +14,9 @@ from pulsefield.operators import hotspots as hot
 from pulsefield.operators import pairs as pr
 from pulsefield.operators import posterior as po
 from pulsefield.operators import prepare as pp
+from pulsefield.operators import ranks as rk
 from pulsefield.operators import spatial as sp
-from pulsefield.plans import fit
+from pulsefield.plans import fit, history
 from pulsefield.plans import likelihood as lk
 from pulsefield.sources import fixtures as fx
 
@@ -263,6 +264,23 @@ def score_draws(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     return _rounded(_hawkes(s, sf, fx.draws(s, n_draws), radius), 3)
 
 
+def excitation_full_history(s, sf):
+    """Excitation of every event by all earlier ones."""
+    rows = history.full_excitation(_ev(s, sf), lk.one_draw(s, **HAWKES), Exponential(), Gaussian())
+    return rows.select("i", _r("excitation", 2).alias("excitation"))
+
+
+def hawkes_loglik_full(s, sf, n_draws=N_DRAWS):
+    """A Hawkes model without a window, as it is by default."""
+    return _rounded(lk.hawkes(fx.events_e(s, sf), E).score(fx.draws(s, n_draws)), 3)
+
+
+def power_law_full_history(s, sf, n_draws=N_DRAWS):
+    """A heavy tail in time, as a sum of exponentials, over all earlier events."""
+    rows = history.full_excitation(_ev(s, sf), fx.draws(s, n_draws), PowerLaw(), Gaussian(), tolerance=1e-9)
+    return rows.groupBy("draw_id").agg(F.count("*").alias("n"), _r(F.sum("excitation"), 2).alias("excitation"))
+
+
 def power_law_excitation(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     rows = lk.excitation(_pairs(s, sf, radius), fx.draws(s, n_draws).withColumn("Lambda", F.col("sigmax_2") * 5), PowerLaw(), DoubleExponential())
     return rows.groupBy("draw_id").agg(F.count("*").alias("n"), _r(F.sum("excitation"), 2).alias("excitation"))
@@ -430,6 +448,22 @@ def hpdi(s, sf):
     return _rounded(po.hpdi(ev, ["event_type"]))
 
 
+def _values(s, sf):
+    """Event values with a heavy upper tail; some are null, and some have no type."""
+    ev = s.read.parquet(f"{sf}/events.parquet")
+    value = F.when(F.col("event_id") % 7 > 0, F.pow(F.col("value").cast("double"), F.lit(4)))
+    return ev.select(F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("event_type"), value.alias("value"))
+
+
+def value_quantiles(s, sf):
+    """Exact quantiles of values by type, where values and types have nulls and a few values are far out."""
+    return _rounded(rk.quantiles(_values(s, sf), ["event_type"], "value", {"q01": 0.01, "q50": 0.5, "q999": 0.999}), 4)
+
+
+def value_hpdi(s, sf):
+    return _rounded(po.hpdi(_values(s, sf), ["event_type"], prob=0.5), 4)
+
+
 def field_summary(s, sf):
     fields = fx.fields(s, 20)
     n = lk.sufficient_counts(_ev(s, sf))
@@ -515,9 +549,9 @@ def check_events(s, sf):
 _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
-    nearest_index, nearest_index_1d, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
+    nearest_index, nearest_index_1d, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
     hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, triggered_probability,
-    fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
+    fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
 #: Queries on pairs, registered as <name>_all on the pairs of the window at any distance: RADIUS is half a sigma of the kernel.

@@ -3,14 +3,19 @@
 import json
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
 from pulsefield.functions.kernels import KERNELS, DoubleExponential, Exponential, Gaussian, PowerLaw, erf
 from pulsefield.functions.priors import Beta, HalfNormal, Normal, log_prior
-from pulsefield.operators import hotspots, pairs, posterior, prepare, spatial
+from pulsefield.operators import hotspots, pairs, posterior, prepare, ranks, spatial
+from pulsefield.operators.pairs import inter_arrival
 from pulsefield.plans import fit, likelihood
+from pulsefield.plans.history import full_excitation
+from pulsefield.plans.likelihood import hawkes, one_draw
 from pulsefield.sources import fixtures, tables
 
 SF = "/root/testdata/sf0.001"
@@ -344,3 +349,77 @@ def test_waiting_times_cross_stretches(spark):
     assert [r.k for r in row] == ["a"] and row[0].n == 5
     assert row[0].median == pytest.approx(gaps[2]) and row[0].mean == pytest.approx(sum(gaps) / 5)
     assert row[0].p99 == pytest.approx(gaps[3] + 0.96 * (gaps[4] - gaps[3]))
+
+
+def _clustered(n=3000, seed=1):
+    rng = np.random.default_rng(seed)
+    u = np.sort(np.round(rng.random(n) * 20, 2))  # many equal times
+    u[n // 3 : n // 2] = 7.0  # a sixth of all rows at one time
+    return u, rng.random(n), rng.random(n)
+
+
+def _by_pairs(u, x, y, pdf, variance, alpha=0.3):
+    dt = u[:, None] - u[None]
+    near = np.exp(-((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2) / 2 / variance) / (2 * math.pi * variance)
+    return alpha * (np.where(dt > 0, pdf(np.maximum(dt, 0)), 0) * near).sum(axis=1)
+
+
+@pytest.mark.parametrize(("variance", "per_stretch"), [(0.01, 100), (0.0004, 20_000), (0.3, 1000)])
+def test_full_history_equals_all_pairs(spark, variance, per_stretch):
+    u, x, y = _clustered()
+    ev = spark.createDataFrame(pd.DataFrame({"point_id": range(len(u)), "u": u, "sx": x, "sy": y}))
+    draw = one_draw(spark, alpha=0.3, beta=0.7, sigmax_2=variance)
+    found = full_excitation(ev, draw, Exponential(), Gaussian(), per_stretch=per_stretch).toPandas().set_index("i").sort_index()["excitation"].to_numpy()
+    np.testing.assert_allclose(found, _by_pairs(u, x, y, lambda t: np.exp(-t / 0.7) / 0.7, variance), atol=1e-7)
+
+
+def test_full_history_of_a_power_law(spark):
+    u, x, y = _clustered(800)
+    ev = spark.createDataFrame(pd.DataFrame({"point_id": range(len(u)), "u": u, "sx": x, "sy": y}))
+    draw = one_draw(spark, alpha=0.3, beta=0.6, gamma=0.2, sigmax_2=0.02)
+    found = full_excitation(ev, draw, PowerLaw(), Gaussian(), per_stretch=90).toPandas().set_index("i").sort_index()["excitation"].to_numpy()
+    np.testing.assert_allclose(found, _by_pairs(u, x, y, lambda t: 3 * (1 + t / 0.2) ** -1.6, 0.02), atol=1e-6)
+
+
+def test_full_history_without_rows_and_for_other_kernels(spark):
+    ev = spark.createDataFrame([], "point_id long, u double, sx double, sy double")
+    assert full_excitation(ev, one_draw(spark, alpha=0.3, beta=0.7, sigmax_2=0.1), Exponential(), Gaussian()).count() == 0
+    with pytest.raises(TypeError):
+        full_excitation(ev, one_draw(spark, alpha=0.3, beta=0.7, Lambda=0.1), Exponential(), DoubleExponential())
+
+
+def test_no_window_is_the_limit_of_wide_windows(spark):
+    """The default takes all history; a smaller window lowers the compensator."""
+    u, x, y = _clustered(300)
+    events = spark.createDataFrame(pd.DataFrame({"point_id": range(len(u)), "X": x, "Y": y, "T": u}))
+    d, draw = Domain(t_max=20.0), one_draw(spark, a_0=1.0, alpha=0.3, beta=2.0, sigmax_2=0.05)
+    score = lambda w: hawkes(events, d, w).score(draw).first()
+    full, wide, small = score(None), score(50.0), score(1.0)
+    assert full["loglik"] == pytest.approx(wide["loglik"], abs=1e-6)
+    assert small["itot_excite"] < full["itot_excite"] - 1e-6
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "outlier", "cluster"])
+def test_quantiles_and_buckets_follow_any_spread(spark, kind):
+    rng = np.random.default_rng(7)
+    v = {"lognormal": np.exp(4 * rng.standard_normal(60_000)), "outlier": np.append(rng.random(60_000), 1e300), "cluster": 1 + 1e-9 * rng.random(60_000)}[kind]
+    rows = spark.createDataFrame(pd.DataFrame({"k": "a", "value": v}))
+    found = ranks.quantiles(rows, ["k"], "value", {"q1": 0.1, "q2": 0.5, "q3": 0.999}).first()
+    np.testing.assert_allclose([found["q1"], found["q2"], found["q3"]], np.quantile(v, [0.1, 0.5, 0.999]), rtol=1e-12)
+    sizes = [r["count"] for r in ranks.bucketed(rows, ["k"], "value").groupBy("bucket").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 2 * len(v) / 256
+
+
+def test_ranks_set_nulls_apart_and_know_nan_and_infinity(spark):
+    v = [float(k) for k in range(1, 11)]
+    rows = spark.createDataFrame([("a", x) for x in v] + [("a", None)] * 10 + [(None, x) for x in v] + [("n", None)] + [("i", float("-inf")), ("i", 1.0), ("i", float("inf")), ("i", float("nan"))], "k string, value double")
+    found = {r["k"]: (r["low"], r["high"]) for r in ranks.hpdi(rows, ["k"]).collect()}
+    assert found["a"] == found[None] == (1.0, 10.0) and set(found) == {"a", None, "i"}
+    q = {r["k"]: r["m"] for r in ranks.quantiles(rows, ["k"], "value", {"m": 1 / 3}).collect()}
+    assert q["a"] == q[None] == 4.0 and q["i"] == 1.0
+    assert ranks.quantiles(rows.filter("k = 'n'"), ["k"], "value", {"m": 0.5}).count() == 0
+
+
+def test_waiting_times_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 0.0), (None, 2.0), (None, None), ("a", 1.0), ("a", 4.0), ("a", 5.0)], "k string, T double")
+    assert {r["k"]: (r["n"], r["mean"], r["median"]) for r in inter_arrival(df, "k").collect()} == {None: (1, 2.0, 2.0), "a": (2, 2.0, 2.0)}
