@@ -288,6 +288,7 @@ _EVERY = "(SELECT a.point_id AS i, a.u - b.u AS dt, a.sx - b.sx AS dx, a.sy - b.
 _FULL_SCORES = _scores("draws4").replace("FROM pairs", f"FROM {_EVERY}").replace("least(50-u, 0.4)", "(50-u)")
 
 ORACLES |= {
+    "nearest_order": _sql("ev ov", "SELECT e.point_id, arg_min(o.point_id, struct_pack(d := (e.X-o.X)*(e.X-o.X)+(e.Y-o.Y)*(e.Y-o.Y), i := o.point_id)) AS idx FROM ev e, ov o GROUP BY 1"),
     "excitation_full_history": _sql("eb", f"""SELECT point_id AS i, round(coalesce(e, 0), 2) AS excitation FROM eb LEFT JOIN (
       SELECT i, sum(0.3 * exp(-dt/0.05)/0.05 * exp(-(dx*dx+dy*dy)/0.02)/(2*pi()*0.01)) AS e FROM {_EVERY} GROUP BY 1) ON i = point_id"""),
     "hawkes_loglik_full": _sql("eb draws4", f"WITH {_FULL_SCORES} SELECT draw_id, round(event_term,3) AS event_term, round(itot_back,3) AS itot_back, round(itot_excite,3) AS itot_excite, round(loglik,3) AS loglik FROM scores"),

@@ -225,6 +225,12 @@ def nearest_index_1d(s, sf):
     return sp.nearest_index(fx.events_e(s, sf).select("point_id", "T"), grid, ("T",))
 
 
+def nearest_order(s, sf):
+    """The order placed nearest to each event."""
+    orders = fx.events_o(s, sf).select(F.col("point_id").alias("idx"), "X", "Y")
+    return sp.nearest_index(fx.events_e(s, sf).select("point_id", "X", "Y"), orders, ("X", "Y"))
+
+
 def standardized_cov(s, sf):
     """Standardised covariates of the cell that each event lies in, summed by cell."""
     cov = lk.standardize(fx.covariates(s), ["c1", "c2", "c3"])
@@ -549,7 +555,7 @@ def check_events(s, sf):
 _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
-    nearest_index, nearest_index_1d, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
+    nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
     hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, triggered_probability,
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,

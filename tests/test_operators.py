@@ -314,12 +314,10 @@ def test_far_pairs_count_in_fits_and_scores(spark):
     assert all(far[d] > near[d] for d in near)
 
 
-def test_nearest_index_refuses_a_grid_beyond_its_bound(spark):
+def test_nearest_index_answers_for_a_grid_of_a_hundred_thousand(spark):
     grid = spark.range(100_001).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("T"))
-    with pytest.raises(ValueError):
-        spatial.nearest_index(events(spark, [(0, 0, 100_000)]), grid, ("T",))
-    small = grid.filter("idx > 99990")
-    assert spatial.nearest_index(events(spark, [(0, 0, 100_000)]), small, ("T",), most=10).collect() == [(0, 100_000)]
+    points = spark.createDataFrame([(0, 3.4), (1, 99_999.6), (2, 2.5), (3, -9.0), (4, 2e5)], "point_id long, T double")
+    assert {r["point_id"]: r["idx"] for r in spatial.nearest_index(points, grid, ("T",)).collect()} == {0: 3, 1: 100_000, 2: 2, 3: 0, 4: 100_000}
 
 
 def test_fit_background_converges_from_many_zeros(spark):
@@ -399,6 +397,22 @@ def test_no_window_is_the_limit_of_wide_windows(spark):
     assert small["itot_excite"] < full["itot_excite"] - 1e-6
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_nearest_of_a_large_grid_is_exact(spark, dims):
+    """A clustered grid with a far outlier, points inside, on grid points, in gaps and far outside; ties to the lower index."""
+    rng = np.random.default_rng(dims)
+    g = np.concatenate([0.01 * rng.random((500, dims)), np.round(rng.random((700, dims)), 1), np.full((1, dims), 90.0)])
+    p = np.concatenate([rng.random((300, dims)), g[::40], np.full((1, dims), 40.0), np.full((1, dims), -70.0), np.round(rng.random((60, dims)), 1) + 0.05])
+    names = tuple("xyz"[:dims])
+    points = spark.createDataFrame(pd.DataFrame(p, columns=names).assign(point_id=range(len(p))))
+    points = points.withColumn("x", F.when(F.col("point_id") == 0, float("nan")).when(F.col("point_id") == 1, None).otherwise(F.col("x")))
+    grid = spark.createDataFrame(pd.DataFrame(g, columns=names).assign(idx=range(len(g))))
+    found = {r["point_id"]: r["idx"] for r in spatial.nearest_index(points, grid, names, small=10).collect()}
+    d2 = sum((p[:, None, i] - g[None, :, i]) ** 2 for i in range(dims))
+    assert found == {k: int(np.argmin(d2[k])) for k in range(2, len(p))}
+    assert spatial.nearest_index(points.limit(0), grid, names, small=10).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["lognormal", "outlier", "cluster"])
 def test_quantiles_and_buckets_follow_any_spread(spark, kind):
     rng = np.random.default_rng(7)
