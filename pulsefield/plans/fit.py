@@ -5,11 +5,14 @@ These are point estimates and weights, not samples of a posterior.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
-from pulsefield.functions.kernels import Exponential, Gaussian
+from pulsefield.functions.kernels import Exponential, Gaussian, Kernel
 from pulsefield.plans.likelihood import excitation, one_draw
 
 #: Steps of a regression at most.
@@ -68,6 +71,115 @@ def fit_hawkes_em(ev: DataFrame, pairs: DataFrame, d: Domain, window: float, sta
     return ev.sparkSession.createDataFrame(path, "iteration int, a_0 double, alpha double, beta double, sigmax_2 double")
 
 
+#: Steps of a kernel's parameters, in logarithms: for differences, and at most; halvings of a step that lowers the likelihood.
+NEAR, FAR, HALVINGS = 0.01, 0.5, 10
+
+
+def _stencil(now: dict[str, float], kernel: Kernel) -> list[dict[str, float]]:
+    """The kernel's parameters moved by -NEAR, 0 or NEAR in the logarithm, in all combinations; the last moves fastest."""
+    out: list[dict[str, float]] = [{}]
+    for name in kernel.params:
+        out = [o | {name: now[name] * math.exp(k * NEAR)} for o in out for k in (-1, 0, 1)]
+    return out
+
+
+def _newton(q: list[float]) -> list[float]:
+    """The step, in logarithms, from values on a stencil of one or two parameters; uphill by gradient where the form is not concave."""
+    if len(q) == 1:
+        return []
+    if len(q) == 3:
+        slope, bend = (q[2] - q[0]) / (2 * NEAR), (q[2] - 2 * q[1] + q[0]) / NEAR**2
+        step = [-slope / bend if bend < 0 else math.copysign(FAR, slope)]
+    else:
+        a, b = (q[7] - q[1]) / (2 * NEAR), (q[5] - q[3]) / (2 * NEAR)
+        aa, bb, ab = (q[7] - 2 * q[4] + q[1]) / NEAR**2, (q[5] - 2 * q[4] + q[3]) / NEAR**2, (q[8] - q[6] - q[2] + q[0]) / (4 * NEAR**2)
+        det = aa * bb - ab * ab
+        concave = aa < 0 and det > 0
+        step = [-(bb * a - ab * b) / det, -(aa * b - ab * a) / det] if concave else [math.copysign(FAR / 2, a), math.copysign(FAR / 2, b)]
+    return [max(-FAR, min(FAR, x)) for x in step]
+
+
+def gem_sums(pairs: DataFrame, ev: DataFrame, d: Domain, now: dict[str, float], t_kernel: Kernel, s_kernel: Kernel, window: float, background: DataFrame | None = None) -> Row:
+    """What one step of `fit_hawkes_gem` needs, from one pass over the pairs and one over the events.
+
+    n; p, the expected number of triggered events; terms, the sum of log intensities at the events; t_k and s_k, the
+    expected log densities of the lags at the points of both stencils; mt_k and ms_k, the kernels' mass there. `background`
+    (cell_id, mu) takes the place of exp(a_0).
+    """
+    temporal, spatial = _stencil(now, t_kernel), _stencil(now, s_kernel)
+    lag, place = (F.col("dt"),), (F.col("dx"), F.col("dy"))
+    f = now["alpha"] * t_kernel.pdf(*lag, pars=now) * s_kernel.pdf(*place, pars=now)
+    logs = {f"t_{k}": F.log(t_kernel.pdf(*lag, pars=p)) for k, p in enumerate(temporal)} | {f"s_{k}": F.log(s_kernel.pdf(*place, pars=p)) for k, p in enumerate(spatial)}
+    per_event = pairs.select("i", f.alias("f"), *[v.alias(k) for k, v in logs.items()]).groupBy(F.col("i").alias("point_id")).agg(F.sum("f").alias("f"), *[F.sum(F.col("f") * F.col(k)).alias(k) for k in logs])
+    sides = (1 - F.col("sx"), F.col("sx"), 1 - F.col("sy"), F.col("sy"))
+    t_mass = lambda p: t_kernel.mass(F.least(d.n_t - F.col("u"), F.lit(float(window))), pars=p)
+    s_mass = lambda p: s_kernel.mass(*sides, pars=p)
+    masses = {f"mt_{k}": t_mass(p) * s_mass(now) for k, p in enumerate(temporal)} | {f"ms_{k}": t_mass(now) * s_mass(p) for k, p in enumerate(spatial)}
+    events = ev.select("point_id", "cell_id", *[v.alias(k) for k, v in masses.items()])
+    events = events.withColumn("mu", F.lit(math.exp(now["a_0"]))) if background is None else events.join(background, "cell_id")
+    rows = events.join(per_event, "point_id", "left").withColumn("all", F.coalesce("f", F.lit(0.0)) + F.col("mu"))
+    share = lambda c: F.sum(F.col(c) / F.col("all"))
+    return rows.agg(F.count("*").alias("n"), share("f").alias("p"), F.sum(F.log("all")).alias("terms"), *[share(k).alias(k) for k in logs], *[F.sum(k).alias(k) for k in masses]).first()
+
+
+def declustered_background(pairs: DataFrame, ev: DataFrame, d: Domain, now: dict[str, float], t_kernel: Kernel, s_kernel: Kernel, background: DataFrame, length: float) -> DataFrame:
+    """cell_id, mu: the events, each by its share of background, smoothed over the cells by a Gaussian of `length`.
+
+    Every cell's share is dealt out whole, so the integral over space and time is the expected number of background events.
+    """
+    f = now["alpha"] * t_kernel.pdf(F.col("dt"), pars=now) * s_kernel.pdf(F.col("dx"), F.col("dy"), pars=now)
+    per_event = pairs.select(F.col("i").alias("point_id"), f.alias("f")).groupBy("point_id").agg(F.sum("f").alias("f"))
+    rows = ev.select("point_id", "cell_id").join(background, "cell_id").join(per_event, "point_id", "left")
+    held = {r["cell_id"]: r["m"] for r in rows.groupBy("cell_id").agg(F.sum(F.col("mu") / (F.coalesce("f", F.lit(0.0)) + F.col("mu"))).alias("m")).collect()}  # a row for each cell
+    at = (np.arange(d.n_xy) + 0.5) / d.n_xy
+    k = np.exp(-0.5 * ((at[:, None] - at) / length) ** 2)
+    k /= k.sum(axis=0)  # column by column: what a source deals out
+    m = np.zeros((d.n_xy, d.n_xy))
+    for cell, value in held.items():
+        m[divmod(cell, d.n_xy)] = value
+    mu = (k @ m @ k.T) * d.n_xy**2 / d.n_t
+    return ev.sparkSession.createDataFrame([(int(c), float(v)) for c, v in enumerate(mu.ravel())], "cell_id int, mu double")
+
+
+def fit_hawkes_gem(ev: DataFrame, pairs: DataFrame, d: Domain, window: float, start: dict[str, float], t_kernel: Kernel, s_kernel: Kernel, iterations: int = 10, smoothing: float | None = None) -> DataFrame:
+    """iteration, a_0, alpha, the kernels' parameters, loglik: generalised EM for any kernels of one or two parameters.
+
+    The E-step weighs each pair by its share of the later event's intensity. The M-step moves the kernels' parameters
+    by a Newton step, in logarithms, on the expected log density less the logarithm of the kernels' mass in window and
+    domain; its differences come from one Spark aggregate, so a kernel gives only its density and mass. A step that
+    lowers the likelihood is halved, so the likelihood never falls, up to `HALVINGS` times, after which the fit ends.
+    With `smoothing` the background is not exp(a_0) but the declustered events smoothed by that length, estimated
+    anew each round (the grid's n_xy^2 numbers visit the driver); a smoothed background can lower the likelihood, and
+    its steps are not halved. a_0 is then the logarithm of its mean. Persist `pairs` before.
+    """
+    names = ["a_0", "alpha", *t_kernel.params, *s_kernel.params]
+    spark, path, before = ev.sparkSession, [], None
+    now = {n: float(start[n]) for n in names}
+    background = None
+    if smoothing is not None:
+        background = spark.range(d.n_xy**2).select(F.col("id").cast("int").alias("cell_id"), F.lit(math.exp(now["a_0"])).alias("mu"))
+    while len(path) <= iterations:
+        for _ in range(HALVINGS + 1):
+            row = gem_sums(pairs, ev, d, now, t_kernel, s_kernel, window, background)
+            mass = row[f"mt_{3 ** len(t_kernel.params) // 2}"]
+            loglik = row["terms"] - math.exp(now["a_0"]) * d.n_t * d.area - now["alpha"] * mass
+            if before is None or smoothing is not None or loglik >= before[1] - 1e-9 * abs(loglik):
+                break
+            now = {n: (now[n] + before[0][n]) / 2 if n == "a_0" else math.sqrt(now[n] * before[0][n]) for n in names}
+        else:
+            break
+        path.append((len(path), *[now[n] for n in names], loglik))
+        before = (now, loglik)
+        after = {"a_0": math.log((row["n"] - row["p"]) / (d.n_t * d.area)), "alpha": row["p"] / mass}
+        for kernel, q, m in ((t_kernel, "t", "mt"), (s_kernel, "s", "ms")):
+            values = [row[f"{q}_{k}"] - row["p"] * math.log(row[f"{m}_{k}"]) for k in range(3 ** len(kernel.params))]
+            after |= {n: now[n] * math.exp(x) for n, x in zip(kernel.params, _newton(values), strict=True)}
+        if background is not None:
+            background = declustered_background(pairs, ev, d, now, t_kernel, s_kernel, background, smoothing)
+        now = after
+    return spark.createDataFrame(path, "iteration int, " + ", ".join(f"{n} double" for n in [*names, "loglik"]))
+
+
 def triggered_probability(pairs: DataFrame, ev: DataFrame, draw: dict[str, float], t_kernel=None, s_kernel=None) -> DataFrame:
     """point_id, p_triggered: the share of an event's intensity that earlier events explain."""
     one = one_draw(ev.sparkSession, **draw)

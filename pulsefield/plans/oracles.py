@@ -280,14 +280,68 @@ def _newton(steps: int) -> str:
     return f"WITH {', '.join(ctes)} {one('intercept', 'a')} UNION ALL {one('c1', 'b')} UNION ALL {one('c2', 'c')}"
 
 
+_NEAR_STEP = 0.01
+
+
+def _gem_path(steps: int, t: tuple, s: tuple, start: str, smoothing: float | None = None) -> str:
+    """Unrolled steps of generalised EM. A kernel is (parameters, log density, mass) with its parameters in braces."""
+    names, shown = ["a_0", "alpha", *t[0], *s[0]], {"lam": '"Lambda"'}  # a key word
+    grid = lambda k: [[]] if not k else [o + [x] for o in grid(k - 1) for x in (-1, 0, 1)]
+    at = lambda expr, params, move: expr.format(**{n: f"({n}*exp({m * _NEAR_STEP}e0))" for n, m in zip(params, move, strict=True)})
+    ts, ss = grid(len(t[0])), grid(len(s[0]))
+    zero = lambda k: [0] * len(k[0])
+
+    def step(q: list[str]) -> list[str]:
+        h = _NEAR_STEP
+        held = lambda x: f"greatest(-0.5, least(0.5, {x}))"
+        if len(q) == 3:
+            slope, bend = f"(({q[2]}-{q[0]})/{2 * h})", f"(({q[2]}-2*{q[1]}+{q[0]})/{h * h})"
+            return [held(f"CASE WHEN {bend} < 0 THEN -{slope}/{bend} ELSE sign({slope})*0.5 END")]
+        a, b = f"(({q[7]}-{q[1]})/{2 * h})", f"(({q[5]}-{q[3]})/{2 * h})"
+        aa, bb, ab = f"(({q[7]}-2*{q[4]}+{q[1]})/{h * h})", f"(({q[5]}-2*{q[4]}+{q[3]})/{h * h})", f"(({q[8]}-{q[6]}-{q[2]}+{q[0]})/{4 * h * h})"
+        det = f"({aa}*{bb}-{ab}*{ab})"
+        return [held(f"CASE WHEN {aa} < 0 AND {det} > 0 THEN -({x})/{det} ELSE sign({g})*0.25 END") for x, g in ((f"{bb}*{a}-{ab}*{b}", a), (f"{aa}*{b}-{ab}*{a}", b))]
+
+    back = "exp(a_0)" if smoothing is None else "mu"
+    ctes = [f"p0 AS (SELECT {start})", f"b0 AS (SELECT cell_id, exp(a_0) AS mu FROM sgrid, p0)"]
+    if smoothing is not None:
+        w = f"exp(-0.5*((a.x_min-b.x_min)*(a.x_min-b.x_min)+(a.y_min-b.y_min)*(a.y_min-b.y_min))/{smoothing * smoothing})"
+        ctes.append(f"w AS MATERIALIZED (SELECT a.cell_id, b.cell_id AS src, {w} / sum({w}) OVER (PARTITION BY b.cell_id) AS w FROM sgrid a, sgrid b)")
+    for k in range(steps + 1):
+        logs = [f"sum(f*ln({at(t[1], t[0], m)})) AS t{i}" for i, m in enumerate(ts)] + [f"sum(f*ln({at(s[1], s[0], m)})) AS s{i}" for i, m in enumerate(ss)]
+        mass = [f"sum({at(t[2], t[0], m)}*{at(s[2], s[0], zero(s))}) AS mt{i}" for i, m in enumerate(ts)] + [f"sum({at(t[2], t[0], zero(t))}*{at(s[2], s[0], m)}) AS ms{i}" for i, m in enumerate(ss)]
+        columns = [f"t{i}" for i in range(len(ts))] + [f"s{i}" for i in range(len(ss))]
+        ctes += [
+            f"g{k} AS MATERIALIZED (SELECT i, sum(f) AS f, {', '.join(logs)} FROM (SELECT *, alpha*{at(t[1], t[0], zero(t))}*{at(s[1], s[0], zero(s))} AS f FROM pairs, p{k}) GROUP BY 1)",
+            f"e{k} AS MATERIALIZED (SELECT eb.cell_id, {back} AS mu, coalesce(f, 0) + {back} AS al, f, {', '.join(columns)} FROM eb JOIN b{k} USING (cell_id) CROSS JOIN p{k} LEFT JOIN g{k} ON i = point_id)",
+            f"m{k} AS (SELECT {', '.join(mass)} FROM eb, p{k})",
+            f"q{k} AS MATERIALIZED (SELECT (SELECT count(*) FROM eb) AS n, sum(f/al) AS p, sum(ln(al)) AS terms, {', '.join(f'sum({c}/al) AS {c}' for c in columns)} FROM e{k})",
+        ]
+        tq, sq = [f"(t{i}-p*ln(mt{i}))" for i in range(len(ts))], [f"(s{i}-p*ln(ms{i}))" for i in range(len(ss))]
+        values = [f"{n}*exp({x}) AS {n}" for n, x in zip([*t[0], *s[0]], step(tq) + step(sq), strict=True)]
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT {', '.join(names)}, terms - exp(a_0)*50 - alpha*mt{len(ts) // 2} AS loglik, ln((n-p)/50) AS na, p/mt{len(ts) // 2} AS nalpha, {', '.join(v.replace(' AS ', ' AS n') for v in values)} FROM q{k}, m{k}, p{k})")
+        ctes.append(f"p{k + 1} AS (SELECT na AS a_0, nalpha AS alpha, {', '.join(f'n{n} AS {n}' for n in [*t[0], *s[0]])} FROM r{k})")
+        ctes.append(f"b{k + 1} AS (SELECT cell_id, exp(a_0) AS mu FROM sgrid, p{k + 1})" if smoothing is None else f"b{k + 1} AS MATERIALIZED (SELECT w.cell_id, sum(w*m)*625/50 AS mu FROM w JOIN (SELECT cell_id AS src, sum(mu/al) AS m FROM e{k} GROUP BY 1) USING (src) GROUP BY 1)")
+    rows = " UNION ALL ".join(f"SELECT {k}::INT AS iteration, {', '.join(f'round({n},4) AS {shown.get(n, n)}' for n in names)}, round(loglik,2) AS loglik FROM r{k}" for k in range(steps + 1))
+    return f"WITH {', '.join(ctes)} {rows}"
+
+
+_EXPONENTIAL = (("beta",), "(exp(-dt/{beta})/{beta})", "(1-exp(-least(50-u, 0.4)/{beta}))")
+_POWER_LAW = (("beta", "gamma"), "({beta}/{gamma}*pow(1+dt/{gamma}, -{beta}-1))", "(1-pow(1+least(50-u, 0.4)/{gamma}, -{beta}))")
+_GAUSSIAN = (("sigmax_2",), "(exp(-(dx*dx+dy*dy)/(2*{sigmax_2}))/(2*pi()*{sigmax_2}))", _gauss_mass("{sigmax_2}"))
+_DOUBLE = (("lam",), "(exp(-(abs(dx)+abs(dy))/{lam})/pow(2*{lam}, 2))", "((1-(exp(-(1-sx)/{lam})+exp(-sx/{lam}))/2)*(1-(exp(-(1-sy)/{lam})+exp(-sy/{lam}))/2))")
+
 _VALUES = "SELECT CASE WHEN event_id % 11 > 0 THEN event_type END AS event_type, pow(value::DOUBLE, 4) AS value FROM events WHERE event_id % 7 > 0"
 
 _BELOW = lambda y: f"(pow(greatest(y_min, least({y}, y_max)) - y_min, 2)/2 + greatest({y} - y_max, 0)*(y_max - y_min))"
 
+_FAR = " AND sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) <= 0.05"
 _EVERY = "(SELECT a.point_id AS i, a.u - b.u AS dt, a.sx - b.sx AS dx, a.sy - b.sy AS dy FROM eb a JOIN eb b ON b.u < a.u) pairs"
 _FULL_SCORES = _scores("draws4").replace("FROM pairs", f"FROM {_EVERY}").replace("least(50-u, 0.4)", "(50-u)")
 
 ORACLES |= {
+    "fit_power_law": _sql("pairs sgrid", _gem_path(3, _POWER_LAW, _DOUBLE, "3e0 AS a_0, 0.3e0 AS alpha, 0.8e0 AS beta, 0.1e0 AS gamma, 0.1e0 AS lam")).replace(_FAR, ""),
+    "fit_declustered": _sql("pairs sgrid", _gem_path(3, _EXPONENTIAL, _GAUSSIAN, "3e0 AS a_0, 0.3e0 AS alpha, 0.05e0 AS beta, 0.01e0 AS sigmax_2", 0.1)).replace(_FAR, ""),
     "nearest_order": _sql("ev ov", "SELECT e.point_id, arg_min(o.point_id, struct_pack(d := (e.X-o.X)*(e.X-o.X)+(e.Y-o.Y)*(e.Y-o.Y), i := o.point_id)) AS idx FROM ev e, ov o GROUP BY 1"),
     "excitation_full_history": _sql("eb", f"""SELECT point_id AS i, round(coalesce(e, 0), 2) AS excitation FROM eb LEFT JOIN (
       SELECT i, sum(0.3 * exp(-dt/0.05)/0.05 * exp(-(dx*dx+dy*dy)/0.02)/(2*pi()*0.01)) AS e FROM {_EVERY} GROUP BY 1) ON i = point_id"""),
@@ -304,7 +358,7 @@ ORACLES |= {
 }
 
 
-_NEAR = " AND sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy)) <= 0.05"
+_NEAR = _FAR
 
 
 def _all(sql: str) -> str:

@@ -404,6 +404,24 @@ def fit_hawkes_em(s, sf):
     return _rounded(found)
 
 
+def _gem(s, sf, start, t_kernel, s_kernel, smoothing=None):
+    ev = _ev(s, sf)
+    pairs = _pairs(s, sf, None).persist()
+    found = fit.fit_hawkes_gem(ev, pairs, E, WINDOW, start, t_kernel, s_kernel, 3, smoothing)
+    pairs.unpersist()
+    return _rounded(found.withColumn("loglik", _r("loglik", 2)), 4)
+
+
+def fit_power_law(s, sf):
+    """Power law in time, double exponential in space, three steps of generalised EM."""
+    return _gem(s, sf, {"a_0": 3.0, "alpha": 0.3, "beta": 0.8, "gamma": 0.1, "Lambda": 0.1}, PowerLaw(), DoubleExponential())
+
+
+def fit_declustered(s, sf):
+    """Exponential and Gaussian kernels over a background that is smoothed from the declustered events."""
+    return _gem(s, sf, HAWKES, Exponential(), Gaussian(), 0.1)
+
+
 def triggered_probability(s, sf, radius=RADIUS):
     return _rounded(fit.triggered_probability(_pairs(s, sf, radius), _ev(s, sf), HAWKES), 5)
 
@@ -556,7 +574,7 @@ _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
     nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
-    hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, triggered_probability,
+    hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )

@@ -437,3 +437,44 @@ def test_ranks_set_nulls_apart_and_know_nan_and_infinity(spark):
 def test_waiting_times_of_a_null_group(spark):
     df = spark.createDataFrame([(None, 0.0), (None, 2.0), (None, None), ("a", 1.0), ("a", 4.0), ("a", 5.0)], "k string, T double")
     assert {r["k"]: (r["n"], r["mean"], r["median"]) for r in inter_arrival(df, "k").collect()} == {None: (1, 2.0, 2.0), "a": (2, 2.0, 2.0)}
+
+
+def test_generalised_em_raises_the_likelihood_and_finds_the_kernels(spark):
+    """Clusters with Lomax lags and Laplace offsets around even background events."""
+    rng = np.random.default_rng(11)
+    n = 400
+    u, x, y = rng.random(n) * 50, rng.random(n), rng.random(n)
+    child = rng.random(n) < 0.5
+    lag = 0.2 * (rng.random(n) ** (-1 / 3.0) - 1)
+    rows = np.concatenate([np.stack([u, x, y]), np.stack([u + lag, x + rng.laplace(0, 0.02, n), y + rng.laplace(0, 0.02, n)])[:, child]], axis=1)
+    rows = rows[:, (rows[0] < 50) & (rows[1:] > 0).all(axis=0) & (rows[1:] < 1).all(axis=0)]
+    d = Domain(t_max=50.0)
+    ev = prepare.prepare(spark.createDataFrame(pd.DataFrame({"point_id": range(rows.shape[1]), "X": rows[1], "Y": rows[2], "T": rows[0]})), d).persist()
+    p = pairs.event_pairs(ev, 5.0).persist()
+    path = fit.fit_hawkes_gem(ev, p, d, 5.0, {"a_0": 2.0, "alpha": 0.2, "beta": 1.5, "gamma": 0.5, "Lambda": 0.1}, PowerLaw(), DoubleExponential(), 8).toPandas()
+    gains = path["loglik"].diff().dropna()
+    assert (gains >= -1e-6 * path["loglik"].abs().max()).all() and gains.iloc[0] > 1
+    last = path.iloc[-1]
+    assert 0.28 < last["alpha"] < 0.42 and 0.014 < last["Lambda"] < 0.028
+    mean_lag = last["gamma"] / max(last["beta"] - 1, 0.1)
+    assert 0.03 < mean_lag < 0.4
+
+
+def test_newton_steps_on_quadratic_forms():
+    h = fit.NEAR
+    one = [-((k * h - 0.2) ** 2) for k in (-1, 0, 1)]
+    assert fit._newton(one) == pytest.approx([0.2])
+    two = [-((i * h - 0.1) ** 2) - 2 * (j * h + 0.3) ** 2 - (i * h - 0.1) * (j * h + 0.3) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert fit._newton(two) == pytest.approx([0.1, -0.3])
+    assert fit._newton([x * x for x in (-h + 1, 1, h + 1)]) == [fit.FAR] and fit._newton([0.0]) == []
+
+
+def test_declustered_background_keeps_its_mass(spark):
+    d = Domain(t_max=50.0, n_xy=5)
+    ev = prepare.prepare(events(spark, [(0.1, 0.1, 1), (0.5, 0.5, 2), (0.9, 0.9, 3), (0.5, 0.52, 2.1)]), d)
+    now = {"a_0": 0.0, "alpha": 0.5, "beta": 1.0, "sigmax_2": 0.01}
+    flat = spark.range(25).select(F.col("id").cast("int").alias("cell_id"), F.lit(0.04).alias("mu"))
+    args = (pairs.event_pairs(ev, 5.0), ev, d, now, Exponential(), Gaussian())
+    found = fit.declustered_background(*args, flat, 0.2).toPandas()
+    sums = fit.gem_sums(*args[:3], now, Exponential(), Gaussian(), 5.0, flat)
+    assert found["mu"].sum() / 25 * 50 == pytest.approx(sums["n"] - sums["p"]) and sums["p"] > 0.1
