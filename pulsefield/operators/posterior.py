@@ -109,8 +109,3 @@ def decay_means(summary: DataFrame) -> DataFrame:
     """One row: mean and deviation of each characteristic."""
     names = ("peak", "half_life", "to_1_percent", "time_constant")
     return summary.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
-
-
-def bootstrap(draws: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """About n draws with replacement."""
-    return draws.sample(withReplacement=True, fraction=n / max(1, draws.count()), seed=seed)

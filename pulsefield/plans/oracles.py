@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pulsefield.sources.fixtures import POLYGONS
 
 _RINGS = " UNION ALL ".join(
@@ -372,3 +374,42 @@ def _all(sql: str) -> str:
 ORACLES |= {f"{k}_all": _all(v) for k, v in ORACLES.items() if "draws4" in v or k in ("excitation", "em_step", "triggered_probability")}
 #: EM takes every pair of the window.
 ORACLES["fit_hawkes_em"] = ORACLES["fit_hawkes_em"].replace(_NEAR, "")
+#: All draws at all events are millions of rows: their mean and deviation at each event.
+ORACLES["background_at_events_all"] = _sql("eb fields200 draws200", """SELECT point_id, round(avg(b),5) AS mean, round(stddev_pop(b),5) AS sd, count(*) AS n FROM (SELECT point_id, exp(a_0 + t.value + a.value + x.value) AS b FROM eb CROSS JOIN draws200 d
+  JOIN fields200 t ON t.draw_id = d.draw_id AND t.field = 'f_t' AND t.idx = time_bin JOIN fields200 a ON a.draw_id = d.draw_id AND a.field = 'f_a' AND a.idx = season_bin JOIN fields200 x ON x.draw_id = d.draw_id AND x.field = 'f_xy' AND x.idx = cell_id) GROUP BY 1""")
+
+
+def _uniform(counter: str, name: str, seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {counter} || ':{name}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496e0)"
+
+
+def _z(name: str, seed: int) -> str:
+    return f"(sqrt(-2*ln({_uniform('i', name + '/1', seed)}))*cos(2*pi()*{_uniform('i', name + '/2', seed)}))"
+
+
+_ON_SCALE = {"a_0": ("{y}", "a_0", "0"), "alpha": ("1/(1+exp(-({y})))", "ln(alpha/(1-alpha))", "ln(alpha)+ln(1-alpha)"), "beta": ("exp({y})", "ln(beta)", "ln(beta)"), "sigmax_2": ("exp({y})", "ln(sigmax_2)", "ln(sigmax_2)")}
+_MEANS = {"a_0": 3.0, "alpha": -0.85, "beta": -3.0, "sigmax_2": -4.6}
+_CTE["pd"] = f"""SELECT *, {" + ".join(f"(-(({y})-({_MEANS[n]}))*(({y})-({_MEANS[n]}))/(2*0.05*0.05) - ln(0.05e0) - ln(2*pi())/2 - ({j}))" for n, (_, y, j) in _ON_SCALE.items())} AS log_proposal
+  FROM (SELECT i AS draw_id, {", ".join(f"{v.format(y=f'{_MEANS[n]}e0 + 0.05e0*{_z(n, 7)}')} AS {n}" for n, (v, _, _) in _ON_SCALE.items())} FROM range(100) r(i))"""
+_SUMMARY = " UNION ALL ".join(f"SELECT '{p}' AS param, sum(weight*{p}) AS mean, sqrt(greatest(sum(weight*{p}*{p}) - sum(weight*{p})*sum(weight*{p}), 0)) AS sd, 1/sum(weight*weight) AS effective_size, max(k) AS pareto_k FROM wt JOIN pd USING (draw_id)" for p in _MEANS)
+ORACLES |= {
+    "proposal_draws": _sql("pairs pd", f"WITH {_scores('pd')} SELECT draw_id, round(a_0,6) AS a_0, round(alpha,6) AS alpha, round(beta,6) AS beta, round(sigmax_2,6) AS sigmax_2, round(log_proposal,6) AS log_proposal, round(loglik,2) AS loglik FROM pd JOIN scores USING (draw_id)"),
+    "importance_summary": _sql("pairs pd", f"""WITH {_scores('pd')}, lw AS MATERIALIZED (SELECT draw_id, loglik*100/(SELECT count(*) FROM eb) + {_PRIOR} - log_proposal AS lw FROM scores JOIN pd USING (draw_id)),
+      rk AS MATERIALIZED (SELECT draw_id, exp(lw - max(lw) OVER ()) AS w, row_number() OVER (ORDER BY lw) - 1 AS r, count(*) OVER () AS n FROM lw), ms AS (SELECT any_value(n) AS n, ceil(least(any_value(n)/5, 3*sqrt(any_value(n)))) AS m FROM rk),
+      tl AS MATERIALIZED (SELECT draw_id, w - base AS x, base, r - (ms.n - m) AS pos, m FROM rk, ms, (SELECT max(w) AS base FROM rk, ms WHERE r < ms.n - m) WHERE r >= ms.n - m),
+      st AS (SELECT max(x) AS most, min(x) FILTER (WHERE pos >= floor(m/4 + 0.5) - 1) AS quarter, any_value(m) AS m, 30 + floor(sqrt(any_value(m))) AS g FROM tl),
+      gr AS (SELECT j, m, (1 - sqrt(g/(j-0.5)))/(3*quarter) + 1/most AS theta FROM st, range(1, 60) r(j) WHERE j <= g), pf AS (SELECT j, theta, any_value(gr.m) AS m, avg(ln(1 - theta*x)) AS k FROM gr, tl GROUP BY 1, 2),
+      ll AS (SELECT theta, m*(ln(-theta/k) - k - 1) AS l FROM pf), th AS (SELECT sum(theta*exp(l-b))/sum(exp(l-b)) AS theta FROM ll, (SELECT max(l) AS b FROM ll)),
+      sh AS (SELECT theta, avg(ln(1 - theta*x)) AS k0, any_value(m) AS m FROM th, tl GROUP BY 1), sp AS (SELECT -k0/theta AS sigma, (m*k0 + 5)/(m + 10) AS k FROM sh),
+      raw AS (SELECT draw_id, least(base + sigma/k*(pow(1 - (pos+0.5)/m, -k) - 1), 1) AS w, k FROM tl, sp UNION ALL SELECT draw_id, w, k FROM rk, ms, sp WHERE r < ms.n - ms.m), wt AS MATERIALIZED (SELECT draw_id, w/sum(w) OVER () AS weight, k FROM raw)
+      SELECT param, round(mean,5) AS mean, round(sd,5) AS sd, round(effective_size,5) AS effective_size, round(pareto_k,5) AS pareto_k FROM ({_SUMMARY})"""),
+}
+_DECAY = ORACLES["decay_summary"].replace("round(peak,6) AS peak, round(half_life,6) AS half_life, round(to1,6) AS to_1_percent, round(CASE", "peak, half_life, to1 AS to_1_percent, (CASE").replace("END,6) AS time_constant", "END) AS time_constant")
+_BELOW_COPIES = [sum(2.718281828459045**-1 / math.factorial(k) for k in range(n + 1)) for n in range(17)]
+_COPIES = " + ".join(f"(u >= {b!r}e0)::INT" for b in _BELOW_COPIES)
+ORACLES |= {
+    "decay_means": f"SELECT {', '.join(f'round(avg({c}),6) AS {c}_mean, round(stddev_pop({c}),6) AS {c}_sd' for c in ('peak', 'half_life', 'to_1_percent', 'time_constant'))} FROM ({_DECAY})",
+    "decay_bootstrap": f"""WITH sm AS MATERIALIZED ({_DECAY}), lg AS ({" UNION ALL ".join(f"SELECT draw_id, '{c}' AS name, {c} AS value FROM sm WHERE {c} IS NOT NULL" for c in ("peak", "half_life", "to_1_percent", "time_constant"))}),
+      dl AS (SELECT name, value, b, {_uniform("draw_id || '/' || b", "poisson", 3)} AS u FROM lg, range(100) r(b)), mn AS (SELECT name, b, sum(({_COPIES})*value)/sum({_COPIES}) AS m FROM dl GROUP BY 1, 2)
+      SELECT name, round((SELECT avg(value) FROM lg WHERE lg.name = mn.name),6) AS mean, round(stddev_pop(m),6) AS sd, round(quantile_cont(m, 0.05),6) AS low, round(quantile_cont(m, 0.95),6) AS high FROM mn GROUP BY 1""",
+}

@@ -16,8 +16,9 @@ from pulsefield.operators import posterior as po
 from pulsefield.operators import prepare as pp
 from pulsefield.operators import ranks as rk
 from pulsefield.operators import spatial as sp
-from pulsefield.plans import fit, history
+from pulsefield.plans import fit, history, proposals
 from pulsefield.plans import likelihood as lk
+from pulsefield.plans.proposals import Proposal
 from pulsefield.sources import fixtures as fx
 
 E, O = fx.E_DOMAIN, fx.O_DOMAIN
@@ -28,6 +29,7 @@ PRIORS = {"a_0": Normal(0, 5), "alpha": Beta(2, 2), "beta": HalfNormal(1), "sigm
 WEIGHTS = {"c1": "w1", "c2": "w2", "c3": "w3"}
 #: Draws of the queries held to their SQL at four; each runs over every draw too, as <name>_all.
 N_DRAWS, ALL_DRAWS = 4, 200
+PROPOSAL_DRAWS = 100
 
 
 def _r(c: str | Column, n: int = 6) -> Column:
@@ -249,6 +251,12 @@ def background_at_events(s, sf, n_draws=N_DRAWS):
     return _rounded(lk.background_at_events(_ev(s, sf), fx.fields(s, n_draws), fx.draws(s, n_draws)), 5)
 
 
+def background_over_draws(s, sf):
+    """Mean and deviation of the background at each event over all draws."""
+    rows = lk.background_at_events(_ev(s, sf), fx.fields(s, ALL_DRAWS), fx.draws(s, ALL_DRAWS))
+    return _rounded(rows.groupBy("point_id").agg(F.avg("background").alias("mean"), F.stddev_pop("background").alias("sd"), F.count("*").alias("n")), 5)
+
+
 def sufficient_counts(s, sf):
     return lk.sufficient_counts(_ev(s, sf))
 
@@ -392,6 +400,25 @@ def posterior_weights(s, sf, n_draws=N_DRAWS, radius=RADIUS):
     return _rounded(fit.posterior_weights(_hawkes(s, sf, d, radius), log_prior(d, PRIORS)), 5)
 
 
+#: Around the parameters of HAWKES, each on the scale that keeps it legal.
+PROPOSALS = {"a_0": Proposal(3.0, 0.05), "alpha": Proposal(-0.85, 0.05, "logit"), "beta": Proposal(-3.0, 0.05, "log"), "sigmax_2": Proposal(-4.6, 0.05, "log")}
+
+
+def proposal_draws(s, sf):
+    """Draws of one's own, with their proposal's density and their likelihood."""
+    d = proposals.proposal_draws(s, PROPOSAL_DRAWS, PROPOSALS, seed=7)
+    return _rounded(d.join(_hawkes(s, sf, d).select("draw_id", _r("loglik", 2).alias("loglik")), "draw_id"))
+
+
+def importance_summary(s, sf):
+    """The posterior from those draws, by Pareto-smoothed weights; the likelihood is tempered to a hundred events' worth."""
+    d = proposals.proposal_draws(s, PROPOSAL_DRAWS, PROPOSALS, seed=7)
+    ev = _ev(s, sf).agg(F.count("*").alias("events"))
+    lw = _hawkes(s, sf, d).select("draw_id", "loglik").join(d.select("draw_id", "log_proposal"), "draw_id").join(log_prior(d, PRIORS), "draw_id").crossJoin(ev)
+    lw = lw.select("draw_id", (F.col("loglik") * 100 / F.col("events") + F.col("log_prior") - F.col("log_proposal")).alias("lw"))
+    return _rounded(proposals.importance_summary(proposals.smoothed_weights(lw), d, list(PROPOSALS)), 5)
+
+
 def em_step(s, sf, radius=RADIUS):
     return _rounded(fit.em_step(_pairs(s, sf, radius), _ev(s, sf), E, window=WINDOW, **HAWKES))
 
@@ -533,6 +560,16 @@ def decay_summary(s, sf):
     return _rounded(po.decay_summary(po.decay_curve(_scaled_draws(s, sf), Exponential(), E)))
 
 
+def decay_bootstrap(s, sf):
+    """Mean, deviation and interval of the decay's characteristics over replicates of the draws."""
+    summary = po.decay_summary(po.decay_curve(_scaled_draws(s, sf), Exponential(), E))
+    return _rounded(proposals.bootstrap_means(summary, ["peak", "half_life", "to_1_percent", "time_constant"], 100, seed=3))
+
+
+def decay_means(s, sf):
+    return _rounded(po.decay_means(po.decay_summary(po.decay_curve(_scaled_draws(s, sf), Exponential(), E))))
+
+
 def _hot_cells(s, sf):
     n = _ev(s, sf).groupBy("cell_id").agg(F.count("*").alias("n"))
     cells = pp.space_grid(s, E).join(n, "cell_id", "left")
@@ -574,19 +611,20 @@ _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
     nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
-    hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
-    fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary,
+    hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, proposal_draws, importance_summary, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
+    fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary, decay_bootstrap, decay_means,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
 #: Queries on pairs, registered as <name>_all on the pairs of the window at any distance: RADIUS is half a sigma of the kernel.
 _OF_PAIRS = (excitation, em_step, triggered_probability, score_draws, power_law_excitation, cox_hawkes_loglik, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, hawkes_cov_loglik, cox_hawkes_cov_loglik, heldout_loglik)
 #: Queries over draws, registered over all of them as <name>_all.
 _OF_DRAWS = (
-    covariate_effect, background_at_events, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates,
+    covariate_effect, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates,
     log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED} | {
     "hotspots_90": partial(hotspots, method="90/10"),
+    "background_at_events_all": background_over_draws,
     "daily_counts_top5": partial(daily_counts, mode="top5"),
 } | {
     f"{f.__name__}_all": partial(f, **({"n_draws": ALL_DRAWS} if f in _OF_DRAWS else {}), **({"radius": None} if f in _OF_PAIRS else {})) for f in dict.fromkeys(_OF_DRAWS + _OF_PAIRS)

@@ -13,7 +13,7 @@ from pulsefield.functions.kernels import KERNELS, DoubleExponential, Exponential
 from pulsefield.functions.priors import Beta, HalfNormal, Normal, log_prior
 from pulsefield.operators import hotspots, pairs, posterior, prepare, ranks, spatial
 from pulsefield.operators.pairs import inter_arrival
-from pulsefield.plans import fit, likelihood
+from pulsefield.plans import fit, likelihood, proposals
 from pulsefield.plans.history import full_excitation
 from pulsefield.plans.likelihood import hawkes, one_draw
 from pulsefield.sources import fixtures, tables
@@ -478,3 +478,41 @@ def test_declustered_background_keeps_its_mass(spark):
     found = fit.declustered_background(*args, flat, 0.2).toPandas()
     sums = fit.gem_sums(*args[:3], now, Exponential(), Gaussian(), 5.0, flat)
     assert found["mu"].sum() / 25 * 50 == pytest.approx(sums["n"] - sums["p"]) and sums["p"] > 0.1
+
+
+def test_proposals_are_reproducible_and_state_their_density(spark):
+    spec = {"a": proposals.Proposal(1.0, 0.5), "b": proposals.Proposal(-1.0, 0.3, "log"), "c": proposals.Proposal(0.5, 0.8, "logit")}
+    one = proposals.proposal_draws(spark, 4000, spec, seed=3)
+    assert one.repartition(7).orderBy("draw_id").collect() == proposals.proposal_draws(spark, 4000, spec, seed=3).orderBy("draw_id").collect()
+    d = one.toPandas()
+    z = np.stack([(d.a - 1) / 0.5, (np.log(d.b) + 1) / 0.3, (np.log(d.c / (1 - d.c)) - 0.5) / 0.8])
+    assert abs(z.mean(axis=1)).max() < 0.06 and abs(z.std(axis=1) - 1).max() < 0.05 and abs(np.corrcoef(z) - np.eye(3)).max() < 0.06
+    density = (-(z**2) / 2 - np.log(2 * np.pi) / 2).sum(axis=0) - np.log(0.5 * 0.3 * 0.8) - np.log(d.b) - np.log(d.c * (1 - d.c))
+    np.testing.assert_allclose(d.log_proposal, density, atol=1e-9)
+    with pytest.raises(ValueError):
+        proposals.Proposal(0.0, 1.0, "square")
+
+
+def test_smoothed_weights_find_a_posterior_and_its_shape(spark):
+    """Normal target under a wider and under a narrower normal proposal; few and equal weights stay raw."""
+    rng = np.random.default_rng(2)
+    found = {}
+    for sd in (1.5, 0.5):
+        x = sd * rng.standard_normal(2000)
+        df = spark.createDataFrame(pd.DataFrame({"draw_id": range(2000), "x": x, "lw": -(x**2) / 2 + x**2 / 2 / sd**2}))
+        found[sd] = proposals.importance_summary(proposals.smoothed_weights(df.select("draw_id", "lw")), df, ["x"]).first()
+    assert abs(found[1.5]["mean"]) < 0.1 and found[1.5]["sd"] == pytest.approx(1, abs=0.08) and found[1.5]["pareto_k"] < 0.5
+    assert found[0.5]["pareto_k"] > 0.6 and found[0.5]["effective_size"] < found[1.5]["effective_size"]
+    flat = spark.range(50).select(F.col("id").alias("draw_id"), F.lit(2.0).alias("lw"))
+    assert {tuple(r) for r in proposals.smoothed_weights(flat).select("weight", "pareto_k").collect()} == {(0.02, None)}
+
+
+def test_bootstrap_weights_are_poisson_and_give_the_standard_error(spark):
+    rng = np.random.default_rng(4)
+    v = rng.gamma(2.0, 1.0, 1500)
+    df = spark.createDataFrame(pd.DataFrame({"draw_id": range(1500), "v": v, "w": np.nan})).withColumn("w", F.when(F.col("draw_id") == 3, 1.0))
+    found = {r["name"]: r for r in proposals.bootstrap_means(df, ["v", "w"], 150).collect()}
+    assert found["v"]["sd"] == pytest.approx(v.std() / math.sqrt(1500), rel=0.25) and found["v"]["low"] < v.mean() < found["v"]["high"]
+    assert found["w"]["mean"] == 1.0 and found["w"]["sd"] == 0.0
+    counts = spark.range(20_000).select(proposals.poisson_weight(F.col("id"), F.lit(0), 0).alias("c"))
+    assert counts.agg(F.avg("c"), F.var_samp("c")).first() == pytest.approx((1, 1), abs=0.04)
