@@ -51,6 +51,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with a caller's columns of these names (in any case) renamed, and how to name them back."""
+    taken = {c.lower() for c in docs.columns}
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            other = f"{c}_aside"
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+            moved[c] = other
+    return docs.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

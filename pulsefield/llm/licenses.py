@@ -23,12 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsefield.llm.common import set_aside
+
 #: Most sentences between two neighbours of a rule's list.
 MAX_GAP = 3
 
 #: Fixed values: (identifier, pattern of the normalised sentence). Wording of public licence texts.
 _UNDER = r"^((this|all|the) \w+ is |also )*(released|licensed|distributed) under (a |the )?(terms of the )?"
 _NO_MORE = r"\b(?! (nc|nd|sa|non ?commercial|no ?deriv\w*|share ?alike)\b)"
+_TAG = r"(spdx )?license( identifier)? "
 SENTENCES = (
     ("apache2-licensed", _UNDER + r"apache( software)? license( the license)?( version)? 2(?! [1-9]\b)\b"),
     ("apache2-compliance", r"^you may not use this (file|work|software) except in compliance with the license$"),
@@ -58,6 +61,30 @@ SENTENCES = (
     ("cc0-dedicated", _UNDER + r"(creative commons zero|cc0).*$"),
     ("unlicense-domain", r"^this is free and unencumbered software released into the public domain$"),
     ("rights-reserved", r"^(copyright .* )?all rights reserved$"),
+    ("lgpl-free", r"^this (library|program) is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license as published by the free software foundation.*$"),
+    ("lgpl-hope", r"^this library is distributed in the hope that it will be useful but without any warranty.*$"),
+    ("boost-grant", r"^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*$"),
+    ("boost-licensed", _UNDER + r"boost software license\b"),
+    ("epl2-licensed", _UNDER + r"eclipse public license( version| v)? ?2(?! [1-9]\b)\b"),
+    ("eupl-licensed", _UNDER + r"(eupl|european union public licen[sc]e)\b"),
+    ("ccbynd-licensed", _UNDER + r"(creative commons attribution noderivatives|cc by nd)" + _NO_MORE),
+    ("mit-tag", r"^(" + _TAG + r"mit|(the )?mit license)$"),
+    ("apache2-tag", r"^(" + _TAG + r"apache( license)?( version)? 2( 0)?|apache license( version 2 0)?)$"),
+    ("isc-tag", r"^(" + _TAG + r"isc|isc license)$"),
+    ("bsd2-tag", r"^(" + _TAG + r"|)(bsd 2 clause|2 clause bsd)( license)?$"),
+    ("bsd3-tag", r"^(" + _TAG + r"|)(bsd 3 clause|3 clause bsd)( license)?$"),
+    ("gpl2-tag", r"^" + _TAG + r"gpl v?2( 0)?( only| or later)?$"),
+    ("gpl3-tag", r"^" + _TAG + r"gpl v?3( 0)?( only| or later)?$"),
+    ("lgpl-tag", r"^(" + _TAG + r"lgpl( v?[23]( [01])?)?( only| or later)?|gnu lesser general public license)$"),
+    ("agpl-tag", r"^(" + _TAG + r"agpl( v?3( 0)?)?( only| or later)?|gnu affero general public license)$"),
+    ("mpl2-tag", r"^(" + _TAG + r"mpl 2 0|mozilla public license( version 2 0)?)$"),
+    ("boost-tag", r"^(" + _TAG + r"bsl 1 0|boost software license( version 1 0)?)$"),
+    ("epl2-tag", r"^(" + _TAG + r"epl 2 0|eclipse public license( version| v)? 2 0)$"),
+    ("eupl-tag", r"^(" + _TAG + r"|)eupl( v?1 [12])?$"),
+    ("ccby-tag", r"^" + _TAG + r"cc by( [0-9] [0-9])?$"),
+    ("ccbysa-tag", r"^" + _TAG + r"cc by sa( [0-9] [0-9])?$"),
+    ("ccbynd-tag", r"^" + _TAG + r"cc by nd( [0-9] [0-9])?$"),
+    ("cc0-tag", r"^" + _TAG + r"cc0( 1 0)?$"),
 )
 
 #: Fixed values: (licence, identifiers in order), the more specific rules first.
@@ -69,6 +96,7 @@ RULES = (
     ("ISC", ("isc-grant", "isc-asis")),
     ("ISC", ("isc-grant", "mit-asis")),
     ("GPL", ("gpl-free", "gpl-hope")),
+    ("LGPL", ("lgpl-free", "lgpl-hope")),
     ("Apache-2.0", ("apache2-licensed",)),
     ("MIT", ("mit-licensed",)),
     ("MIT", ("mit-grant",)),
@@ -87,12 +115,35 @@ RULES = (
     ("CC0-1.0", ("cc0-dedicated",)),
     ("Unlicense", ("unlicense-domain",)),
     ("All-Rights-Reserved", ("rights-reserved",)),
+    ("LGPL", ("lgpl-free",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-licensed",)),
+    ("EPL-2.0", ("epl2-licensed",)),
+    ("EUPL", ("eupl-licensed",)),
+    ("CC-BY-ND", ("ccbynd-licensed",)),
+    ("MIT", ("mit-tag",)),
+    ("Apache-2.0", ("apache2-tag",)),
+    ("ISC", ("isc-tag",)),
+    ("BSD-2-Clause", ("bsd2-tag",)),
+    ("BSD-3-Clause", ("bsd3-tag",)),
+    ("GPL-2.0", ("gpl2-tag",)),
+    ("GPL-3.0", ("gpl3-tag",)),
+    ("LGPL", ("lgpl-tag",)),
+    ("AGPL", ("agpl-tag",)),
+    ("MPL-2.0", ("mpl2-tag",)),
+    ("BSL-1.0", ("boost-tag",)),
+    ("EPL-2.0", ("epl2-tag",)),
+    ("EUPL", ("eupl-tag",)),
+    ("CC-BY", ("ccby-tag",)),
+    ("CC-BY-SA", ("ccbysa-tag",)),
+    ("CC-BY-ND", ("ccbynd-tag",)),
+    ("CC0-1.0", ("cc0-tag",)),
 )
 #: Words of which every known sentence has at least one; only sentences with one are normalised.
-TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public\W+domain|creative\W+commons|\bcc\W+by|compliance|as\W+is|\bcc0\b|free\W+software|rights\W+reserved|hope\W+that"
+TRIGGER = r"(?i)licen[sc]|permi|warrant|redistribut|endorse|copyright|public\W+domain|creative\W+commons|\bcc\W+by|compliance|as\W+is|\bcc0\b|free\W+software|rights\W+reserved|hope\W+that|\beupl\b|\bbsd\b"
 #: Words with which every known sentence begins.
-START = r"^(released|licensed|distributed|this|all|the|also|you may|unless|permission|redistribution|neither|copyright)\b"
-#: Words of the longest known sentence and more; a line has a word at least, so no sentence takes more lines.
+START = r"^(released|licensed|distributed|this|all|the|also|you may|unless|permission|redistribution|neither|copyright|spdx|license|mit|apache|isc|bsd|[23] clause|gnu|mozilla|boost|eclipse|eupl)\b"
+#: Words of the longest known sentence of a fixed number of words, and more; a line has a word at least, so none takes more lines.
 REACH = 100
 #: A sentence ends at . ! ? ; before white space (a dot inside 2.0 or before it, as in "v. 2.0", ends nothing, nor does the mark in "free software; you can").
 _MARK = r"(?<=[.!?;])(?<!(?i:free\W{1,8}software;))(?!(?<=\b[vV]\.)\W{1,8}[0-9])[\x20\x09-\x0D]+"
@@ -135,8 +186,10 @@ def known_sentences(text: Column) -> Column:
     cut = F.transform(asked, lambda p: F.struct(p["place"].alias("place"), _lines(p["sentence"]).alias("lines")))
 
     def named(p: Column) -> Column:
-        at = lambda k: F.transform(F.array(F.concat_ws("\n", F.slice(p["lines"], k + 1, REACH))), identifier)[0]
-        return F.transform(p["lines"], lambda x, k: F.struct(p["place"].alias("place"), k.alias("line"), F.when(x.rlike(START), at(k)).alias("hit")))
+        # All of the sentence's lines for the one pattern that may run over any number of them.
+        reach = lambda x: F.when(x.rlike(r"^neither\b"), F.size(p["lines"])).otherwise(REACH)
+        at = lambda x, k: F.transform(F.array(F.concat_ws("\n", F.slice(p["lines"], k + 1, reach(x)))), identifier)[0]
+        return F.transform(p["lines"], lambda x, k: F.struct(p["place"].alias("place"), k.alias("line"), F.when(x.rlike(START), at(x, k)).alias("hit")))
 
     hits = F.filter(F.flatten(F.transform(cut, named)), lambda h: h["hit"].isNotNull())
 
@@ -183,6 +236,7 @@ def _inside(k: int) -> list[int]:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with sentence_ids, licenses (in rule order, distinct) and spans (licence, rule, first place)."""
+    docs, back = set_aside(docs, ("_seq", "_fired"))
     hits = [F.struct(F.lit(licence).alias("license"), F.lit(k).alias("rule"), _fires(F.col("_seq"), ids).alias("place")) for k, (licence, ids) in enumerate(RULES)]
     fired = F.when(F.size("_seq") > 0, F.filter(F.array(*hits), lambda h: h["place"].isNotNull())).otherwise(F.array().cast("array<struct<license:string,rule:int,place:int>>"))
     # A rule goes where one that contains it begins at the same sentence, or a former one of its licence does.
@@ -193,7 +247,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             "sentence_ids": F.transform("_seq", lambda e: e["sentence_id"]),
             "licenses": F.array_distinct(F.transform("spans", lambda h: h["license"])),
         }
-    ).drop("_seq", "_fired")
+    ).drop("_seq", "_fired").withColumnsRenamed(back)
 
 
 def _drops(o: Column, h: Column) -> Column:

@@ -238,6 +238,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = placed.agg(F.sum(F.size("others"))).first()[0] or 0
     tasks = 1 + copies // PER_TASK
     with_text = texts.filter("doc_id is not null").join(placed, ["doc_id", "tie"])
+    if not known.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        with_text = with_text.dropDuplicates(["node"])  # rows repeated with one id: one text goes to the tiles
     tiled = with_text.withColumn("other", F.explode("others"))
     tiled = tiled.select("component", "node", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "text")
     tiled = tiled.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks)))

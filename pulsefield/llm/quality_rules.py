@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import WORD, words
+from pulsefield.llm.common import WORD, set_aside, words
 
 #: Words in a window, for repetition inside one text.
 WINDOW = 8
@@ -59,6 +59,7 @@ def _size(array: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words, n_shouted."""
+    docs, back = set_aside(docs, ("_words", "_lines", "_windows", "_ranked", "_at"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     split = docs.withColumns({"_words": words(text), "_lines": lines})
@@ -95,7 +96,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": _size(F.filter("_words", lambda w: w.isin(listed))),
             "n_shouted": F.regexp_count(t, F.lit(SHOUT)).cast("long"),
         }
-    ).drop("_words", "_lines", "_windows", "_ranked", "_at")
+    ).drop("_words", "_lines", "_windows", "_ranked", "_at").withColumnsRenamed(back)
 
 
 def base_failed() -> Column:

@@ -139,7 +139,31 @@ Released under CC BY-NC 4.0
 Released under CC BY-NC-ND 4.0
 Released under CC0
 This is free and unencumbered software released into the public domain
-All rights reserved""".split("\n")
+All rights reserved
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+Distributed under the Boost Software License, Version 1.0
+Licensed under the Eclipse Public License 2.0
+Licensed under the EUPL
+Licensed under CC BY-ND 4.0
+MIT License
+SPDX-License-Identifier: Apache-2.0
+License: ISC
+BSD-2-Clause
+SPDX-License-Identifier: BSD-3-Clause
+SPDX-License-Identifier: GPL-2.0-or-later
+SPDX-License-Identifier: GPL-3.0-only
+GNU Lesser General Public License
+License: AGPL-3.0
+Mozilla Public License, version 2.0
+License: BSL-1.0
+License: EPL-2.0
+EUPL
+License: CC-BY-4.0
+License: CC-BY-SA-4.0
+License: CC-BY-ND-4.0
+License: CC0-1.0""".split("\n")
 
 
 def test_every_known_sentence_is_found(spark):
@@ -477,3 +501,19 @@ def test_turns_beyond_a_block_and_nested_branches(spark, monkeypatch):
     assert {r.turn: r.parent_turn for r in got if r.turn in (5, 8, 9)} == {5: 2, 8: 6, 9: 1}
     assert [r.turn for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]
     assert [r.position for r in got] == list(range(12))
+
+
+def test_a_name_far_below_its_line_and_columns_of_the_caller(spark):
+    text = "neither the name of\n" + "x y\n" * 300 + "nor the names of its contributors may be used to endorse or promote products derived from this software"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("_seq", "_FIRED", "_words", "_lines", "_windows", "_ranked", "_at")})
+    row = licenses.scan(df).first()
+    assert row.sentence_ids == ["bsd-endorse"] and row["_seq"] == row["_FIRED"] == 7
+    judged = quality_rules.apply_rules(df)
+    assert judged.columns[: len(df.columns)] == df.columns and all(judged.first()[c] == 7 for c in df.columns[2:])
+
+
+def test_headers_tags_and_headings_name_one_licence_each(spark):
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    texts = {"// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", lgpl: "LGPL", "Licensed under the Eclipse Public License 2.0": "EPL-2.0", "EUPL": "EUPL", "Shared under\nlicensed under CC BY-ND 4.0": "CC-BY-ND", "License: MIT": "MIT", "MIT License\n\nCopyright notice.": "MIT"}
+    got = {r.text: r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {t: [n] for t, n in texts.items()}
