@@ -79,13 +79,130 @@ def _covered(df: DataFrame, sides: DataFrame, prefix: str = "") -> DataFrame:
     return df.crossJoin(sides).withColumn("bx", span("x")).withColumn("by", span("y"))  # one row
 
 
+#: A covering of up to so many bytes is sent to the points.
+SMALL_COVER = 64 << 20
+#: Corners of all polygons together that are sent to the points as they are, a ring in each of some 4,096 buckets.
+FEW_CORNERS = 256
+_EDGE_TYPE = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
+
+def _edges(ring: str) -> Column:
+    """The edges of a ring, each from its lower end, as `inside` reads them."""
+    def edge(a: Column, i: Column) -> Column:
+        b = _next(ring, i)
+        up = (a["y"] < b["y"]) | ((a["y"] == b["y"]) & (a["x"] <= b["x"]))
+        p, q = F.when(up, a).otherwise(b), F.when(up, b).otherwise(a)
+        return F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+
+    return F.transform(ring, edge)
+
+
+def _x_at(e, y: Column) -> Column:
+    """Where an edge is at height y; null for a level one."""
+    return e["x1"] + (y - e["y1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
+
+
+def _y_at(e, x: Column) -> Column:
+    return e["y1"] + (x - e["x1"]) / F.when(e["x2"] != e["x1"], e["x2"] - e["x1"]) * (e["y2"] - e["y1"])
+
+
+class Cover:
+    """Polygons cut into cells: a cell is inside its polygon, or has the edges that touch it.
+
+    `cells` has bx, by, _odd (whether the cell's lower left corner is inside), _edges and the polygon's columns but its
+    ring; cells that are outside are left out. Cells follow the mean size of a polygon, so that there are about four for
+    each, `LEAST_COVER` in all, and as many as there are corners, so that a polygon of very many corners has few edges
+    in each. Edges are dealt to cells row by row; no ring meets a point. `of` says where a point is by its own cell alone:
+    the corner, and the edges crossed on the way from the corner up and then across. Cells' sides lie where no corner
+    does, and ties go as in `inside`, so the answers are those of the whole ring.
+    """
+
+    def __init__(self, polys: DataFrame, ring: str = "ring"):
+        self.columns = [c for c in polys.columns if c != ring]
+        self.spark = polys.sparkSession
+        shapes = polygon_stats(polys.filter(F.size(ring) > 0), ring).withColumn("_n", F.size(ring))
+        w, h = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")
+        row = shapes.agg(F.count("*").alias("n"), F.sum("_n").alias("edges"), F.avg(w).alias("w"), F.avg(h).alias("h"), F.avg(w * h).alias("wh"), F.min("x_min").alias("x"), F.min("y_min").alias("y")).first()
+        self.empty = not row["n"]
+        if self.empty:
+            return
+        cover = max(COVER, LEAST_COVER / row["n"], row["edges"] / row["n"])
+        longer = math.sqrt((row["wh"] / (row["w"] * row["h"]) if row["w"] * row["h"] > 0 else 1.0) / cover)
+        self.wx, self.wy = (v * longer if v > 0 else 1.0 for v in (row["w"], row["h"]))
+        self.ox, self.oy = row["x"] - 0.6180339887498949 * self.wx, row["y"] - 0.6180339887498949 * self.wy
+        # Equal rows are one shape here and so many in the end.
+        named = polys.filter(F.size(ring) > 0).groupBy(*polys.columns).agg(F.count("*").alias("_times")).withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in polys.columns]))
+        self.cells, self.small = self._cells(named, ring)
+
+    def at(self, v: Column, axis: str) -> Column:
+        return F.floor((v - (self.ox if axis == "x" else self.oy)) / (self.wx if axis == "x" else self.wy))
+
+    def corner(self, b: Column, axis: str) -> Column:
+        return F.lit(self.ox if axis == "x" else self.oy) + b * (self.wx if axis == "x" else self.wy)
+
+    def _cells(self, named: DataFrame, ring: str) -> tuple[DataFrame, bool]:
+        edges = named.select("_key", F.inline(_edges(ring)))
+        low = lambda axis: F.least(axis + "1", axis + "2")
+        high = lambda axis: F.greatest(axis + "1", axis + "2")
+        span = lambda axis: (self.at(low(axis), axis), self.at(high(axis), axis))
+        met = edges.select("*", F.explode(F.sequence(*span("x"))).alias("bx")).select("*", F.explode(F.sequence(*span("y"))).alias("by"))
+        x0, y0 = self.corner(F.col("bx"), "x"), self.corner(F.col("by"), "y")
+        side = lambda x, y: (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
+        sides = F.array(side(x0, y0), side(x0 + self.wx, y0), side(x0, y0 + self.wy), side(x0 + self.wx, y0 + self.wy))
+        near = 1e-9 * (F.abs(F.col("x2") - F.col("x1")) + self.wx) * (F.abs(F.col("y2") - F.col("y1")) + self.wy)
+        touching = met.filter((F.array_min(sides) <= near) & (F.array_max(sides) >= -near))
+        of_cell = touching.groupBy("_key", "bx", "by").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+        # The places at which a row's lower line crosses the polygon.
+        lines = edges.select("*", F.explode(F.sequence(*span("y"))).alias("by")).withColumn("_y", self.corner(F.col("by"), "y"))
+        e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+        crossed = lines.filter((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))).groupBy("_key", "by").agg(F.collect_list(_x_at(e, F.col("_y"))).alias("_xs"))
+        bounds = polygon_stats(named, ring)
+        box = bounds.select("_key", *[f(F.col(f"{v}_{end}"), v).alias(f"{end}_{v}") for v in "xy" for end in ("min", "max") for f in (self.at,)])
+        rows = box.select("_key", "min_x", "max_x", F.explode(F.sequence("min_y", "max_y")).alias("by")).join(crossed, ["_key", "by"], "left")
+        every = rows.select("_key", "by", "_xs", F.explode(F.sequence("min_x", "max_x")).alias("bx"))
+        odd = F.coalesce(F.size(F.filter("_xs", lambda v: v > self.corner(F.col("bx"), "x"))) % 2 == 1, F.lit(False))
+        cells = every.select("_key", "bx", "by", odd.alias("_odd")).join(of_cell, ["_key", "bx", "by"], "left")
+        cells = cells.filter(F.col("_odd") | F.col("_edges").isNotNull()).withColumn("_edges", F.coalesce("_edges", F.array().cast(_EDGE_TYPE)))
+        cells = cells.join(named.select("_key", "_times", *self.columns), "_key")
+        width = lambda axis: self.at(high(axis), axis) - self.at(low(axis), axis) + 1
+        most = edges.agg(F.sum(width("x") * width("y"))).first()[0] * 40 + box.agg(F.sum((F.col("max_x") - F.col("min_x") + 1) * (F.col("max_y") - F.col("min_y") + 1))).first()[0] * 100
+        return cells.drop("_key"), most <= SMALL_COVER
+
+    def of(self, x: Column, y: Column) -> Column:
+        """Whether a point is inside the polygon of a cell that holds it."""
+        x0, y0 = self.corner(F.col("bx"), "x"), self.corner(F.col("by"), "y")
+
+        def crosses(e: Column) -> Column:
+            up = ((e["x1"] > x0) != (e["x2"] > x0)) & (_y_at(e, x0) > y0) & (_y_at(e, x0) <= y)
+            over = ((e["y1"] > y) != (e["y2"] > y)) & (_x_at(e, y) > x0) & (_x_at(e, y) <= x)
+            one = lambda c: F.when(c, 1).otherwise(0)
+            return one(up) + one(over)
+
+        return (F.aggregate("_edges", F.lit(0), lambda a, e: a + crosses(e)) % 2 == 1) != F.col("_odd")
+
+
 def pip_join(points: DataFrame, polys: DataFrame, how: str = "inner", x: str = "X", y: str = "Y") -> DataFrame:
-    """Points with the columns of the polygon that holds them; `left` keeps the points that none holds."""
-    shapes = polygon_stats(polys)
-    sides = _sides(shapes)
-    left = _bucketed(points, sides, x, y)
-    right = _covered(shapes, sides).select("bx", "by", *polys.columns)
-    return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & inside("ring", F.col(x), F.col(y)), how).drop("bx", "by", "ring")
+    """Points with the columns of the polygon that holds them; `left` keeps the points that none holds.
+
+    Polygons of a few corners in all are sent to the points as whole rings, by buckets. Otherwise points meet the cells
+    of a `Cover`, which is broadcast if it is measured small, and joined by cell if it is not.
+    """
+    corners = polys.agg(F.sum(F.size("ring"))).first()[0] or 0
+    if 0 < corners <= FEW_CORNERS:
+        shapes = polygon_stats(polys)
+        sides = _sides(shapes)
+        left, right = _bucketed(points, sides, x, y), F.broadcast(_covered(shapes, sides).select("bx", "by", *polys.columns))
+        return left.join(right, (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & inside("ring", F.col(x), F.col(y)), how).drop("bx", "by", "ring")
+    cover = Cover(polys)
+    if cover.empty:
+        none = points.select("*", *[F.lit(None).cast(polys.schema[c].dataType).alias(c) for c in cover.columns])
+        return none if how == "left" else none.limit(0)
+    left = points.withColumns({"_bx": cover.at(F.col(x), "x"), "_by": cover.at(F.col(y), "y")})
+    right = F.broadcast(cover.cells) if cover.small else cover.cells
+    met = left.join(right, (F.col("_bx") == F.col("bx")) & (F.col("_by") == F.col("by")) & cover.of(left[x], left[y]), how)
+    if cover.cells.agg(F.max("_times")).first()[0] != 1:
+        met = met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1)).cast("int")))).drop("_copy")
+    return met.drop("_bx", "_by", "bx", "by", "_odd", "_edges", "_times")
 
 
 def rect_join(points: DataFrame, cells: DataFrame, x: str = "X", y: str = "Y", x_end: float = 1.0, y_end: float = 1.0) -> DataFrame:

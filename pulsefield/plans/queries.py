@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
@@ -177,6 +178,19 @@ def pip_join(s, sf):
     return sp.pip_join(fx.events_e(s, sf), fx.polygons(s)).select("point_id", "poly_id")
 
 
+def _stars(s):
+    """Two jagged stars of 2,000 corners that overlap."""
+    i = lambda k: F.col("id") * 31 + k
+    radius = lambda k: 0.2 + 0.2 * ((i(k) * 7919) % 1009) / F.lit(1009.0)
+    corner = lambda k: F.struct((0.4 + 0.2 * F.col("id") + radius(k) * F.cos(k * (2 * math.pi / 2000))).alias("x"), (0.5 + radius(k) * F.sin(k * (2 * math.pi / 2000))).alias("y"))
+    return s.range(2).select(F.col("id").cast("int").alias("poly_id"), F.transform(F.sequence(F.lit(0), F.lit(1999)), corner).alias("ring"))
+
+
+def pip_join_stars(s, sf):
+    """Events inside polygons of very many corners, by a covering of their cells."""
+    return sp.pip_join(fx.events_e(s, sf), _stars(s)).select("point_id", "poly_id")
+
+
 def coverage_errors(s, sf):
     ev = fx.events_e(s, sf)
     return sp.coverage_errors(ev, sp.pip_join(ev, fx.polygons(s)))
@@ -609,7 +623,7 @@ def check_events(s, sf):
 
 _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
-    pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
+    pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, pip_join_stars, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
     nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
     hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, proposal_draws, importance_summary, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary, decay_bootstrap, decay_means,

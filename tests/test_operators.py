@@ -516,3 +516,39 @@ def test_bootstrap_weights_are_poisson_and_give_the_standard_error(spark):
     assert found["w"]["mean"] == 1.0 and found["w"]["sd"] == 0.0
     counts = spark.range(20_000).select(proposals.poisson_weight(F.col("id"), F.lit(0), 0).alias("c"))
     assert counts.agg(F.avg("c"), F.var_samp("c")).first() == pytest.approx((1, 1), abs=0.04)
+
+
+def _even_odd(ring, x, y):
+    p, q = np.array(ring), np.roll(np.array(ring), -1, axis=0)
+    n = 0
+    for (x1, y1), (x2, y2) in zip(p, q, strict=True):
+        if (y1 > y) != (y2 > y):
+            (x1, y1), (x2, y2) = sorted([(x1, y1), (x2, y2)], key=lambda v: (v[1], v[0]))
+            n += x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)
+    return n % 2 == 1
+
+
+def test_covering_answers_as_the_whole_rings_do(spark):
+    """Shapes on a lattice with level and upright edges, a star with 3,000 corners, overlaps, equal rows; points on corners and edges."""
+    rng = np.random.default_rng(8)
+    angle = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    r = 0.3 + 0.15 * rng.random(3000)
+    star = [(float(0.5 + a * np.cos(t)), float(0.5 + a * np.sin(t))) for a, t in zip(r, angle, strict=True)]
+    square = lambda x, y: [(x, y), (x + 0.25, y), (x + 0.25, y + 0.25), (x, y + 0.25)]
+    rings = [star, square(0.25, 0.25), square(0.5, 0.25), square(0.25, 0.5), [(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5), (0.5, 1.0), (0.0, 1.0)], square(0.25, 0.25), [(5.0, 5.0), (6.0, 7.0), (7.0, 5.0)]]
+    ids = [0, 1, 2, 3, 4, 1, 6]
+    polys = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring]) for k, ring in zip(ids, rings, strict=True)], "poly_id int, ring array<struct<x:double,y:double>>")
+    lattice = [(i / 8, j / 8) for i in range(9) for j in range(9)]
+    pts = [*lattice, *map(tuple, rng.random((400, 2))), *star[::300], (6.0, 5.5), (-3.0, 0.2)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(pts)] + [(9999, None, 0.5)], "point_id long, X double, Y double")
+    found = sorted((r.point_id, r.poly_id) for r in spatial.pip_join(points, polys).collect())
+    assert found == sorted((k, i) for k, (x, y) in enumerate(pts) for i, ring in zip(ids, rings, strict=True) if _even_odd(ring, x, y))
+    assert spatial.pip_join(points, polys, "left").filter("poly_id is null").count() == len(pts) + 1 - len({k for k, _ in found})
+    assert spatial.pip_join(points, polys.limit(0)).count() == 0 and spatial.pip_join(points, polys.limit(0), "left").count() == len(pts) + 1
+
+
+def test_a_polygon_of_very_many_corners_costs_its_edges(spark):
+    t = np.linspace(0, 2 * np.pi, 30_000, endpoint=False)
+    polys = spark.createDataFrame([(0, [{"x": float(x), "y": float(y)} for x, y in zip(np.cos(t), np.sin(t), strict=True)])], "poly_id int, ring array<struct<x:double,y:double>>")
+    cells = spatial.Cover(polys).cells.select(F.size("_edges").alias("n")).toPandas()["n"]
+    assert cells.sum() < 2.5 * 30_000 and (cells == 0).mean() > 0.9 and cells.max() < 400
