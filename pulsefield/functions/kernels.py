@@ -7,7 +7,7 @@ mass(right, left, up, down, pars). `pars` maps each name in `params` to a Column
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 from pyspark.sql import Column
@@ -28,6 +28,18 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t * F.exp(-x * x))
 
 
+def _nodes(stretches: int, points: int) -> list[tuple[float, float]]:
+    """Places in (0, 1) and weights: Gauss-Legendre in stretches that halve towards 0."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    edges = [0.0] + [2.0 ** -(stretches - 1 - k) for k in range(stretches)]
+    return [(float((b - a) * (z + 1) / 2 + a), float((b - a) / 2 * v)) for a, b in zip(edges[:-1], edges[1:], strict=True) for z, v in zip(x, w, strict=True)]
+
+
+def _summed(nodes: list[tuple[float, float]], value: Callable[[Column], Column]) -> Column:
+    rows = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in nodes])
+    return F.aggregate(rows, F.lit(0.0), lambda a, n: a + n["w"] * value(n["x"]))
+
+
 class Kernel:
     """Base of all kernels. `params` are the names of the parameters; each needs a prior to be fitted."""
 
@@ -42,7 +54,19 @@ class Kernel:
         raise NotImplementedError
 
     def mass(self, *limits: Column, pars: Pars) -> Column:
-        raise NotImplementedError
+        """The integral of the density: from 0 to a limit in time; over (right, left, up, down) of the source in space.
+
+        A kernel that gives only its density is integrated by Gauss-Legendre sums over stretches that halve towards the
+        source, where kernels are steep. They are column expressions: 80 densities in time, 72 by 72 in space, so a kernel
+        in space should give a closed form where many events are scored.
+        """
+        if len(limits) == 1:
+            (upper,) = limits
+            return upper * _summed(_nodes(10, 8), lambda x: self.pdf(upper * x, pars=pars))
+        right, left, up, down = limits
+        some = _nodes(6, 6)
+        quarter = lambda a, b, i, j: a * b * _summed(some, lambda x: _summed(some, lambda y: self.pdf(a * x * i, b * y * j, pars=pars)))
+        return sum((quarter(a, b, i, j) for a, i in ((right, 1), (left, -1)) for b, j in ((up, 1), (down, -1))), F.lit(0.0))
 
     def exponentials(self, tolerance: float, **pars: float) -> tuple[np.ndarray, np.ndarray]:
         """Weights and rates whose sum of w exp(-r t) is the temporal pdf, to `tolerance` of its peak."""

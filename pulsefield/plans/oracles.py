@@ -347,6 +347,7 @@ ORACLES |= {
     "pip_join_stars": _sql("ev", f"""WITH c AS (SELECT id, k, 0.4e0 + 0.2e0*id + r*cos(k*({2 * math.pi!r}e0/2000)) AS x, 0.5e0 + r*sin(k*({2 * math.pi!r}e0/2000)) AS y FROM (SELECT id, k, 0.2e0 + 0.2e0*(((id*31 + k)*7919)%1009)/1009e0 AS r FROM range(2) a(id), range(2000) b(k))),
       e AS MATERIALIZED (SELECT p.id, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM c p JOIN c q ON q.id = p.id AND q.k = (p.k + 1) % 2000)
       SELECT point_id, id::INT AS poly_id FROM (SELECT point_id, id, count(*) FILTER (WHERE X < x1 + (Y - y1)/(y2 - y1)*(x2 - x1)) AS n FROM ev JOIN e ON (y1 > Y) <> (y2 > Y) GROUP BY 1, 2) WHERE n % 2 = 1"""),
+    "user_kernel_integral": _sql("eb", "SELECT time_bin, round(sum(1 - exp(-pow(least(50 - u, 3)/0.9e0, 2)/2)),4) AS mass, count(*) AS n FROM eb GROUP BY 1"),
     "nearest_order": _sql("ev ov", "SELECT e.point_id, arg_min(o.point_id, struct_pack(d := (e.X-o.X)*(e.X-o.X)+(e.Y-o.Y)*(e.Y-o.Y), i := o.point_id)) AS idx FROM ev e, ov o GROUP BY 1"),
     "excitation_full_history": _sql("eb", f"""SELECT point_id AS i, round(coalesce(e, 0), 2) AS excitation FROM eb LEFT JOIN (
       SELECT i, sum(0.3 * exp(-dt/0.05)/0.05 * exp(-(dx*dx+dy*dy)/0.02)/(2*pi()*0.01)) AS e FROM {_EVERY} GROUP BY 1) ON i = point_id"""),

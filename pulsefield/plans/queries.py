@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.functions.kernels import DoubleExponential, Exponential, Gaussian, PowerLaw
+from pulsefield.functions.kernels import DoubleExponential, Exponential, Gaussian, Kernel, PowerLaw
 from pulsefield.functions.priors import Beta, HalfNormal, Normal, log_prior
 from pulsefield.operators import hotspots as hot
 from pulsefield.operators import pairs as pr
@@ -319,6 +319,22 @@ def power_law_integral(s, sf, n_draws=N_DRAWS):
     return _rounded(lk.excitation_integral(_ev(s, sf), d, E, PowerLaw(), DoubleExponential(), WINDOW), 3)
 
 
+class UserKernel(Kernel):
+    """A user's kernel in time that rises before it falls, by its density alone."""
+
+    params = ("peak",)
+
+    def pdf(self, dt, pars):
+        return dt / F.pow(pars["peak"], F.lit(2)) * F.exp(-F.pow(dt / pars["peak"], F.lit(2)) / 2)
+
+
+def user_kernel_integral(s, sf):
+    """The mass of a kernel without a closed form up to the end of the domain or of a window of 3, by time cell."""
+    upper = F.least(E.n_t - F.col("u"), F.lit(3.0))
+    rows = _ev(s, sf).select("time_bin", UserKernel().mass(upper, pars={"peak": F.lit(0.9)}).alias("m"))
+    return rows.groupBy("time_bin").agg(_r(F.sum("m"), 4).alias("mass"), F.count("*").alias("n"))
+
+
 def hawkes_cov_integral(s, sf, n_draws=N_DRAWS):
     """The background integral with covariates, and the events observed for each one expected."""
     draws, cov = fx.draws(s, n_draws), _cov(s)
@@ -624,7 +640,7 @@ def check_events(s, sf):
 _NAMED = (
     read_events, clean_events, binned_events, binned_orders, season_of_time, validate_season, space_grid, time_grid, season_grid, events_by_month, month_ticks, season_ticks, time_axis, squared_error,
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, pip_join_stars, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
-    nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, hawkes_cov_integral,
+    nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, user_kernel_integral, hawkes_cov_integral,
     hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, proposal_draws, importance_summary, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
     fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary, decay_bootstrap, decay_means,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsefield.config import Domain
-from pulsefield.functions.kernels import KERNELS, DoubleExponential, Exponential, Gaussian, PowerLaw, erf
+from pulsefield.functions.kernels import KERNELS, DoubleExponential, Exponential, Gaussian, Kernel, PowerLaw, erf
 from pulsefield.functions.priors import Beta, HalfNormal, Normal, log_prior
 from pulsefield.operators import hotspots, pairs, posterior, prepare, ranks, spatial
 from pulsefield.operators.pairs import inter_arrival
@@ -552,3 +552,15 @@ def test_a_polygon_of_very_many_corners_costs_its_edges(spark):
     polys = spark.createDataFrame([(0, [{"x": float(x), "y": float(y)} for x, y in zip(np.cos(t), np.sin(t), strict=True)])], "poly_id int, ring array<struct<x:double,y:double>>")
     cells = spatial.Cover(polys).cells.select(F.size("_edges").alias("n")).toPandas()["n"]
     assert cells.sum() < 2.5 * 30_000 and (cells == 0).mean() > 0.9 and cells.max() < 400
+
+
+def test_kernels_without_a_mass_are_integrated_to_a_millionth(spark):
+    bare = lambda kernel: type("Bare", (Kernel,), {"params": kernel.params, "pdf": kernel.pdf})()
+    df = spark.createDataFrame([(0.3, 0.7, 0.05, 0.95, 1e-3), (1.0, 0.0, 0.5, 0.5, 50.0)], "a double, b double, c double, d double, t double")
+    sides = [F.col(c) for c in "abcd"]
+    for kernel, p in ((DoubleExponential(), {"Lambda": 0.02}), (Gaussian(), {"sigmax_2": 0.01}), (DoubleExponential(), {"Lambda": 3.0})):
+        for row in df.select(kernel.mass(*sides, pars=p).alias("m"), bare(type(kernel)).mass(*sides, pars=p).alias("q")).collect():
+            assert row["q"] == pytest.approx(row["m"], abs=1e-6)
+    for kernel, p in ((Exponential(), {"beta": 0.05}), (PowerLaw(), {"beta": 0.8, "gamma": 0.1})):
+        for row in df.select(kernel.mass(F.col("t"), pars=p).alias("m"), bare(type(kernel)).mass(F.col("t"), pars=p).alias("q")).collect():
+            assert row["q"] == pytest.approx(row["m"], abs=1e-6)
