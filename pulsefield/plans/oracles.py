@@ -374,8 +374,10 @@ def _all(sql: str) -> str:
     return sql.replace("range(4)", "range(200)").replace(_NEAR, "")
 
 
+#: These take all pairs already, and a few draws: their SQL squares the events.
+_WHOLE = ("hawkes_loglik_full", "power_law_full_history")
 #: The queries over draws and the likelihoods and fits on pairs, with the same SQL over all of them.
-ORACLES |= {f"{k}_all": _all(v) for k, v in ORACLES.items() if "draws4" in v or k in ("excitation", "em_step", "triggered_probability")}
+ORACLES |= {f"{k}_all": _all(v) for k, v in ORACLES.items() if ("draws4" in v and k not in _WHOLE) or k in ("excitation", "em_step", "triggered_probability")}
 #: EM takes every pair of the window.
 ORACLES["fit_hawkes_em"] = ORACLES["fit_hawkes_em"].replace(_NEAR, "")
 #: All draws at all events are millions of rows: their mean and deviation at each event.
