@@ -121,4 +121,50 @@ SELECT own.conv_id, own.d AS depth, CASE WHEN own.d > 0 THEN o.conv_id END AS pa
 FROM own JOIN sums ON top = own.node AND k = own.d LEFT JOIN own o ON o.node = own.parent AND o.d = own.d - 1
 """
 
-ORACLES: dict[str, str] = {"op12_conversation_prefix_trie": OP12, "op13_exact_dedup": OP13, "op4_mixing_sources": OP4, "op8_quality_rules": OP8}
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: For each state of the role pattern (nothing yet, after s, after u, after a): what a kept initial leads to, and what an inserted row does.
+_KEPT, _NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}), (2, 2, 3, 2)
+_edit = lambda cost, edit, at: f"struct_pack(c := {cost} + {at}.c, a := '{edit}' || {at}.a)"
+
+
+def _best_of_row(state: int) -> str:
+    """The least (cost, audit) from a row on, without an insert before it; the list v has what comes after the row."""
+    kept = " ".join(f"WHEN NOT x.gone AND x.i = '{i}' THEN {_edit('x.cut', 'K', f'acc.v[{to + 1}]')}" for i, to in _KEPT[state].items())
+    return f"list_min([{_edit('3', 'D', f'acc.v[{state + 1}]')}, CASE WHEN NOT x.gone THEN {_edit('2 + x.cut', 'R', f'acc.v[{_NEXT[state] + 1}]')} END, CASE {kept} END])"
+
+
+_rows = ", ".join(_best_of_row(k) for k in range(4))
+_inserts = ", ".join(f"list_min([w[{k + 1}], {_edit('2', 'I', f'w[{_NEXT[k] + 1}]')}, {_edit('4', 'II', f'w[{_NEXT[_NEXT[k]] + 1}]')}])" for k in range(4))
+
+OP11 = f"""
+WITH k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM k, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) u(copy) WHERE kind <> 0)
+), f AS (
+  SELECT *, left(role, 1) AS ini, right(rtrim(text, {_SPACES}), 1) AS fin, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM r
+), g AS (
+  SELECT *, CASE WHEN fin = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN fin NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM f
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list(struct_pack(i := ini, gone := fault IN ('blank', 'duplicate') AND fault IS NOT NULL, cut := coalesce((fault = 'truncated')::INT, 0), v := NULL::STRUCT(c INT, a VARCHAR)[]) ORDER BY pos DESC) AS l FROM g GROUP BY conv_id
+), best AS (
+  SELECT * EXCLUDE (l), list_reduce(l, lambda acc, x: struct_pack(i := '', gone := false, cut := 0, v := list_transform([[{_rows}]], lambda w: [{_inserts}])[1]),
+    struct_pack(i := '', gone := false, cut := 0, v := [struct_pack(c := 0, a := ''), struct_pack(c := 4, a := 'II'), struct_pack(c := 2, a := 'I'), struct_pack(c := 0, a := '')])).v[1] AS b FROM c
+), e AS (
+  SELECT conv_id, p, substr(b.a, p::INT, 1) AS ch, count(*) FILTER (WHERE substr(b.a, p::INT, 1) <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS pos FROM best, unnest(range(1, length(b.a) + 1)) u(p)
+), o AS (
+  SELECT e.conv_id, p, ch, r.role, CASE WHEN ch = 'I' THEN '' ELSE r.text END AS text, row_number() OVER w AS idx, first_value((ch = 'K' AND left(r.role, 1) = 's')::INT) OVER w AS has_s
+  FROM e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.pos = e.pos AND ch <> 'I' WHERE ch <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY p)
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN ch = 'K' THEN role WHEN (idx - 1 - has_s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS sha FROM o GROUP BY 1
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op11_conversation_repair": OP11, "op12_conversation_prefix_trie": OP12, "op13_exact_dedup": OP13, "op4_mixing_sources": OP4, "op8_quality_rules": OP8}
