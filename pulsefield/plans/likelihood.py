@@ -2,15 +2,15 @@
 
 With piecewise-constant fields a Cox model needs only counts per cell: the events are scanned once, and
 any number of draws is scored on the counts. Only the logarithm of background plus excitation needs a
-row per event. Draws and fields are small tables beside the events; joins leave their strategy to
-Spark, which checks sizes.
+row per event. Fields are small tables beside the events; joins leave their strategy to Spark, which
+checks sizes, and draws are broadcast by a number of bytes at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from pulsefield.plans.history import full_excitation
 
 #: Draws that a row of pairs or events meets at once.
 DRAWS = 8
+#: Bytes of draws that are broadcast at once.
+AT_ONCE = 64 << 20
 
 
 def sufficient_counts(ev: DataFrame, covariate: str | None = None) -> DataFrame:
@@ -64,13 +66,20 @@ def _at(k: int, name: str) -> Column:
 def _by_draw(rows: DataFrame, blocks: DataFrame, keys: list[str], value, name: str) -> DataFrame:
     """draw_id, the keys and the sum of value(element) for each draw, where element(n) is its parameter n.
 
-    A row meets each block of draws once, not each draw, and a block's sums are shuffled as one row.
+    A row meets each block of draws once, not each draw, and a block's sums are shuffled as one row. Blocks are
+    broadcast, at most `AT_ONCE` bytes of them; the rows meet more than that in turns.
     """
-    n = max(1, blocks.agg(F.max(F.size("draw_id"))).first()[0] or 0)  # DRAWS, or fewer if there are no more
-    met = rows.join(F.broadcast(blocks))
-    sums = met.groupBy("block", *keys).agg(*[F.sum(value(partial(_at, k))).alias(f"_{k}") for k in range(n)])
-    each = F.arrays_zip(F.col("draw_id"), F.slice(F.array(*[f"_{k}" for k in range(n)]), F.lit(1), F.size("draw_id")).alias("sum"))
-    return sums.join(F.broadcast(blocks.select("block", "draw_id")), "block").select(*keys, F.inline(each)).select("draw_id", *keys, F.col("sum").alias(name))
+    found = blocks.agg(F.max(F.size("draw_id")), F.max("block")).first()
+    n, last = max(1, found[0] or 0), found[1] or 0  # DRAWS, or fewer if there are no more
+    at_once = max(1, AT_ONCE // (8 * DRAWS * len(blocks.columns)))
+
+    def turn(some: DataFrame) -> DataFrame:
+        sums = rows.join(F.broadcast(some)).groupBy("block", *keys).agg(*[F.sum(value(partial(_at, k))).alias(f"_{k}") for k in range(n)])
+        each = F.arrays_zip(F.col("draw_id"), F.slice(F.array(*[f"_{k}" for k in range(n)]), F.lit(1), F.size("draw_id")).alias("sum"))
+        return sums.join(F.broadcast(some.select("block", "draw_id")), "block").select(*keys, F.inline(each)).select("draw_id", *keys, F.col("sum").alias(name))
+
+    turns = [blocks.filter(F.col("block").between(k, k + at_once - 1)) for k in range(0, last + 1, at_once)] if last >= at_once else [blocks]
+    return reduce(DataFrame.unionByName, map(turn, turns))
 
 
 def background_at_events(ev: DataFrame, fields: DataFrame, draws: DataFrame, effect: DataFrame | None = None) -> DataFrame:

@@ -341,7 +341,37 @@ _FAR = " AND sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy))
 _EVERY = "(SELECT a.point_id AS i, a.u - b.u AS dt, a.sx - b.sx AS dx, a.sy - b.sy AS dy FROM eb a JOIN eb b ON b.u < a.u) pairs"
 _FULL_SCORES = _scores("draws4").replace("FROM pairs", f"FROM {_EVERY}").replace("least(50-u, 0.4)", "(50-u)")
 
+_FACTORS = ("time_bin", "season_bin", "cell_id")
+
+
+def _factor_cycles(cycles: int, prior: float) -> str:
+    """Closed-form updates of the multipliers of three factors, one CTE for each factor of each cycle."""
+    ctes = [
+        "stime AS (SELECT range::INT AS time_bin, least(floor((range + 0.5)/50*2405e0 % 365e0 / 365e0 * 24), 23)::INT AS season_bin FROM range(50))",
+        "cnt AS (SELECT time_bin, cell_id, count(*) AS n FROM ob GROUP BY 1, 2)",
+        "base AS MATERIALIZED (SELECT t.time_bin, t.season_bin, x.cell_id, coalesce(n, 0) AS n, 1e0/625 AS exposure FROM stime t CROSS JOIN (SELECT range AS cell_id FROM range(625)) x LEFT JOIN cnt USING (time_bin, cell_id))",
+        "rate AS (SELECT sum(n)/sum(exposure) AS r FROM base)",
+        *[f"{f}_0 AS (SELECT DISTINCT {f}, 1e0 AS {f}_m FROM base)" for f in _FACTORS],
+    ]
+    now = dict.fromkeys(_FACTORS, 0)
+    for k in range(1, cycles + 1):
+        for f in _FACTORS:
+            others = [g for g in _FACTORS if g != f]
+            joins = " ".join(f"JOIN {g}_{now[g]} USING ({g})" for g in others)
+            ctes.append(f"{f}_{k} AS MATERIALIZED (SELECT {f}, (sum(n) + {prior})/(sum(r*exposure*{'*'.join(g + '_m' for g in others)}) + {prior}) AS {f}_m FROM base CROSS JOIN rate {joins} GROUP BY 1)")
+            now[f] = k
+    out = [f"SELECT '{f}' AS factor, {f}::VARCHAR AS level, round(ln({f}_m), 5) AS effect FROM {f}_{k}" for f, k in now.items()]
+    return f"WITH {', '.join(ctes)} SELECT 'rate' AS factor, NULL AS level, round(ln(r), 5) AS effect FROM rate UNION ALL " + " UNION ALL ".join(out)
+
+
+_NEAR = lambda a, b: f"exp(-0.5e0*pow(({a}-{b})*0.01e0/0.03e0, 2))"
+
 ORACLES |= {
+    "fit_factors": _sql("ob", _factor_cycles(4, 5e0)),
+    "smooth_grid": _sql("eb", f"""WITH n AS (SELECT least(floor(sx*100), 99)::INT AS ix, least(floor(sy*100), 99)::INT AS iy, count(*) AS n FROM eb GROUP BY 1, 2),
+      g AS (SELECT a.range::INT AS i, sum({_NEAR("a.range", "b.range")}) AS m FROM range(100) a, range(100) b GROUP BY 1),
+      l AS (SELECT a.i AS ix, b.i AS iy, ln(sum(n.n*{_NEAR("n.ix", "a.i")}*{_NEAR("n.iy", "b.i")})/any_value(a.m*b.m) + 1e-9) AS l FROM g a, g b, n GROUP BY 1, 2)
+      SELECT ix, iy, round(l - avg(l) OVER (), 4) AS value FROM l"""),
     "fit_power_law": _sql("pairs sgrid", _gem_path(3, _POWER_LAW, _DOUBLE, "3e0 AS a_0, 0.3e0 AS alpha, 0.8e0 AS beta, 0.1e0 AS gamma, 0.1e0 AS lam")).replace(_FAR, ""),
     "fit_declustered": _sql("pairs sgrid", _gem_path(3, _EXPONENTIAL, _GAUSSIAN, "3e0 AS a_0, 0.3e0 AS alpha, 0.05e0 AS beta, 0.01e0 AS sigmax_2", 0.1)).replace(_FAR, ""),
     "pip_join_stars": _sql("ev", f"""WITH c AS (SELECT id, k, 0.4e0 + 0.2e0*id + r*cos(k*({2 * math.pi!r}e0/2000)) AS x, 0.5e0 + r*sin(k*({2 * math.pi!r}e0/2000)) AS y FROM (SELECT id, k, 0.2e0 + 0.2e0*(((id*31 + k)*7919)%1009)/1009e0 AS r FROM range(2) a(id), range(2000) b(k))),

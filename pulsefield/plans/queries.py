@@ -501,6 +501,23 @@ def smooth_field(s, sf):
     return _rounded(fit.smooth_field(n, grid, 0.08), 5)
 
 
+def smooth_grid(s, sf):
+    """Events smoothed on a grid of 100 x 100, an axis at a time."""
+    place = lambda c: F.least(F.floor(F.col(c) * 100), F.lit(99)).alias("i" + c[1])
+    n = _ev(s, sf).select(place("sx"), place("sy")).groupBy("ix", "iy").agg(F.count("*").alias("n"))
+    return _rounded(fit.smooth_grid(n, (100, 100), (0.01, 0.01), 0.03), 4)
+
+
+def fit_factors(s, sf):
+    """The rate of orders by time, season and space cell together, after four cycles."""
+    n = _ov(s, sf).groupBy("time_bin", "cell_id").agg(F.count("*").alias("n"))
+    cells = pp.season_of_time(s, O).crossJoin(pp.space_grid(s, O).select("cell_id"))  # cells of the domain
+    counts = cells.join(n, ["time_bin", "cell_id"], "left").na.fill(0, ["n"]).withColumn("exposure", F.lit(1.0 / O.n_xy**2)).persist()
+    found = fit.fit_factors(counts, ["time_bin", "season_bin", "cell_id"], 5.0, cycles=4)
+    counts.unpersist()
+    return _rounded(found, 5)
+
+
 def kernel_matrix(s, sf):
     """The kernel between time cells, weighted by their events."""
     n = _ev(s, sf).groupBy(F.col("time_bin").alias("i")).agg(F.count("*").alias("n"))
@@ -642,7 +659,7 @@ _NAMED = (
     pairs_time, pairs_space_time, pairs_1d, pairs_subset, pairs_x_lag, pair_count, inter_arrival, read_covariates, polygon_stats, pip_join, pip_join_stars, coverage_errors, clip_to_domain, cells_in_domain, overlay_area, overlay_polygons,
     nearest_index, nearest_index_1d, nearest_order, standardized_cov, covariate_effect, background_at_events, sufficient_counts, excitation, excitation_full_history, hawkes_loglik_full, power_law_full_history, hawkes_loglik, score_draws, power_law_excitation, power_law_integral, user_kernel_integral, hawkes_cov_integral,
     hawkes_cov_loglik, cox_hawkes_cov_loglik, lgcp_domain_loglik, heldout_loglik, rates, smooth_season, lgcp_loglik, lgcp_cov_loglik, cox_hawkes_loglik, marginal_rates, log_expected_likelihood, expected_aic, excitation_share, log_prior_scores, posterior_weights, proposal_draws, importance_summary, em_step, fit_hawkes_em, fit_power_law, fit_declustered, triggered_probability,
-    fit_background, smooth_field, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary, decay_bootstrap, decay_means,
+    fit_background, fit_factors, smooth_field, smooth_grid, kernel_matrix, summarize_draws, recovery_table, hpdi, value_quantiles, value_hpdi, field_summary, intercept_combination, field_corr, histogram, histogram_density, trace, decay_curve, decay_summary, decay_bootstrap, decay_means,
     grid_post_mean, piece_post_mean, cell_covariate, hotspots, daily_counts, check_events,
 )
 #: Queries on pairs, registered as <name>_all on the pairs of the window at any distance: RADIUS is half a sigma of the kernel.

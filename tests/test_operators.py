@@ -564,3 +564,56 @@ def test_kernels_without_a_mass_are_integrated_to_a_millionth(spark):
     for kernel, p in ((Exponential(), {"beta": 0.05}), (PowerLaw(), {"beta": 0.8, "gamma": 0.1})):
         for row in df.select(kernel.mass(F.col("t"), pars=p).alias("m"), bare(type(kernel)).mass(F.col("t"), pars=p).alias("q")).collect():
             assert row["q"] == pytest.approx(row["m"], abs=1e-6)
+
+
+def test_smooth_grid_equals_the_table_of_all_pairs(spark):
+    """Also on a ring and with sides that are even, odd and one cell; nulls and places off the grid do not count."""
+    rng = np.random.default_rng(5)
+    for (nx, ny), (hx, hy), circular in [((7, 5), (1.0, 0.5), False), ((6, 1), (1.0, 1.0), True), ((5, 3), (1.0, 1.0), True), ((40, 1), (1.0, 1.0), True)]:
+        n = rng.integers(0, 4, (ny, nx))
+        rows = [(x, y, int(n[y, x])) for y in range(ny) for x in range(nx) if n[y, x]] + [(None, 0, 5), (nx, 0, 5), (0, -1, 5)]
+        counts = spark.createDataFrame(rows, "ix int, iy int, n long")
+        got = {(r.ix, r.iy): r.value for r in fit.smooth_grid(counts, (nx, ny), (hx, hy), 0.8, circular).collect()}
+        dx = np.abs(np.arange(nx)[:, None] - np.arange(nx))
+        wx = np.exp(-0.5 * ((np.minimum(dx, nx - dx) if circular else dx) * hx / 0.8) ** 2)
+        wy = np.exp(-0.5 * ((np.arange(ny)[:, None] - np.arange(ny)) * hy / 0.8) ** 2)
+        logs = np.log((wy @ n @ wx) / np.outer(wy.sum(1), wx.sum(1)) + 1e-9)
+        assert len(got) == nx * ny
+        for y in range(ny):
+            for x in range(nx):
+                assert got[x, y] == pytest.approx(logs[y, x] - logs.mean(), abs=1e-9)
+
+
+def test_smooth_grid_without_counts_is_flat(spark):
+    empty = spark.createDataFrame([], "ix int, iy int, n long")
+    assert {r.value for r in fit.smooth_grid(empty, (3, 2), (1.0, 1.0), 1.0).collect()} == {0.0}
+
+
+def test_fit_factors_of_one_factor_is_its_closed_form(spark):
+    df = spark.createDataFrame([("u", 3, 1.0), ("u", 2, 1.0), (None, 0, 2.0)], "b string, n long, exposure double")
+    found = {(r.factor, r.level): r.effect for r in fit.fit_factors(df, ["b"], 0.5).collect()}
+    rate = 5 / 4
+    assert found == pytest.approx({("rate", None): math.log(rate), ("b", "u"): math.log(5.5 / (2 * rate + 0.5)), ("b", None): math.log(0.5 / (2 * rate + 0.5))})
+    with pytest.raises(ValueError):
+        fit.fit_factors(df.limit(0), ["b"])
+
+
+def test_fit_factors_takes_its_factors_in_turn(spark):
+    rows = [(0, 0, 4, 1.0), (0, 1, 1, 2.0), (1, 0, 0, 1.0), (1, 1, 7, 1.5), (2, 1, 2, 0.5)]
+    found = {(r.factor, r.level): r.effect for r in fit.fit_factors(spark.createDataFrame(rows, "a int, b int, n long, exposure double"), ["a", "b"], 2.0, cycles=2).collect()}
+    rate, m = 14 / 6.0, ([1.0] * 3, [1.0] * 2)
+    for at in (0, 1, 0, 1):
+        for level in range(len(m[at])):
+            mine = [r for r in rows if r[at] == level]
+            m[at][level] = (sum(r[2] for r in mine) + 2) / (sum(rate * r[3] * m[1 - at][r[1 - at]] for r in mine) + 2)
+    plain = {("rate", None): math.log(rate)} | {(f, str(k)): math.log(v) for f, at in (("a", 0), ("b", 1)) for k, v in enumerate(m[at])}
+    assert found == pytest.approx(plain)
+
+
+def test_draws_are_met_in_turns_beyond_a_size(spark, monkeypatch):
+    pairs_ = spark.createDataFrame([(k % 3, 0.1 * k, 0.01 * k, 0.0) for k in range(1, 9)], "i long, dt double, dx double, dy double")
+    draws = fixtures.draws(spark, 20)
+    whole = likelihood.excitation(pairs_, draws, Exponential(), Gaussian()).orderBy("draw_id", "i").collect()
+    monkeypatch.setattr(likelihood, "AT_ONCE", 1)  # a block at a time
+    assert likelihood.excitation(pairs_, draws, Exponential(), Gaussian()).orderBy("draw_id", "i").collect() == whole
+    assert len(whole) == 60
