@@ -57,3 +57,34 @@ def test_fits_need_no_rows_of_pairs(spark, ev):
         got, want = (fit.fit_hawkes_gem(ev, p, D, 1.25, start, *kernels, 2, smoothing).collect() for p in (None, rows))
         assert len(got) == len(want) == 3
         assert all(math.isclose(a, b, rel_tol=1e-6) for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_lags_are_summed_without_pairs(spark, ev, monkeypatch):
+    want = pairs.event_pairs(ev, 1.25).groupBy("i").agg(F.count("*").alias("n"), F.sum("dt").alias("dt"), F.sum(F.abs("dx")).alias("dx"), F.sum("j").alias("j"), F.min("j").alias("least"), F.max("j").alias("most")).collect()
+    got = {r.i: r for r in windows.lag_sums(ev, 1.25, x="sx", ends=True).collect()}
+    assert got.keys() == {r.i for r in want}
+    for r in want:
+        g = got[r.i]
+        assert (g.n, int(g.j_sum), g.j_least, g.j_most) == (r.n, r.j, r.least, r.most)
+        assert math.isclose(g.dt, r.dt, abs_tol=1e-9) and math.isclose(g.dx, r.dx, abs_tol=1e-9)
+    some = {r.i for r in windows.lag_sums(ev, 1.25, subset=F.col("point_id") % 10 == 3).collect()}
+    assert some == {i for i in got if i % 10 == 3}
+    days = ev.select("point_id", F.floor("T").cast("double").alias("T"))
+    brute = {(r.dt, r.n, r.i, r.j) for r in pairs.lag_pairs(days, "T", 3.0).groupBy("dt").agg(F.count("*").alias("n"), F.sum("i").alias("i"), F.sum("j").alias("j")).collect()}
+    assert {(r.dt, r.n, r.i, r.j) for r in windows.lag_counts(days, "T", 3.0).collect()} == brute
+
+
+def test_queries_on_lags_make_no_pairs(spark, monkeypatch):
+    from pulsefield.plans.queries import QUERIES
+
+    for name in ("event_pairs", "lag_pairs"):
+        monkeypatch.setattr(pairs, name, lambda *_, **__: pytest.fail("pairs are made"))
+    for name in ("pairs_time", "pairs_1d", "pairs_subset", "pairs_x_lag"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_background_over_all_draws_keeps_a_row_for_each(spark):
+    from pulsefield.plans.queries import QUERIES
+
+    rows = QUERIES["background_at_events_all"](spark, "/root/testdata/sf0.001")
+    assert set(rows.columns) == {"draw_id", "point_id", "background"} and rows.count() == 200 * 1000
