@@ -88,3 +88,13 @@ def test_background_over_all_draws_keeps_a_row_for_each(spark):
 
     rows = QUERIES["background_at_events_all"](spark, "/root/testdata/sf0.001")
     assert set(rows.columns) == {"draw_id", "point_id", "background"} and rows.count() == 200 * 1000
+
+
+def test_nearest_of_a_large_grid_is_not_sent_through_the_driver(spark):
+    from pulsefield.operators import spatial
+
+    grid = spark.range(1500).select(F.col("id").alias("idx"), (F.col("id") * 37 % 1009 / 1009.0).alias("X"), (F.col("id") * 53 % 1013 / 1013.0).alias("Y"))
+    points = spark.range(200).select(F.col("id").alias("point_id"), (F.col("id") / 200.0).alias("X"), (F.col("id") * 7 % 200 / 200.0).alias("Y"))
+    found = spatial.nearest_index(points, grid, ("X", "Y"))
+    assert found.count() == 200
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
