@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,27 @@ def test_nearest_of_a_large_grid_is_not_sent_through_the_driver(spark):
     found = spatial.nearest_index(points, grid, ("X", "Y"))
     assert found.count() == 200
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("radius", [None, 0.05])
+def test_pairs_are_met_once_for_very_many_draws(radius):
+    i, rng = np.arange(200), np.random.default_rng(3)
+    t, x, y = np.sort(rng.uniform(0, 0.8, 900)), rng.uniform(0, 1, 900), rng.uniform(0, 1, 900)
+    some = windows.Stretch(t, x, y, t > 0.4, 0.4)
+    beta, gamma, var, alpha = 0.02 + i * 53 % 223 / 2230, 0.5 + i * 31 % 233 / 233, 0.005 + i * 29 % 227 / 22700, 0.1 + i * 37 % 211 / 1055
+    given = [{"draw_id": int(k), "alpha": alpha[k], "beta": beta[k], "gamma": gamma[k], "sigmax_2": var[k], "Lambda": 5 * var[k]} for k in i]
+    dt, dx, dy = (v[some.own][:, None] - v for v in (t, x, y))
+    hit = (dt > 0) & (dt <= 0.4) & (np.sqrt(dx * dx + dy * dy) <= (radius or 9))
+    draws = windows.Draws(given, Exponential(), Gaussian(), 0.4, radius, (0, 1, 0, 1))
+    assert len(draws.decays[1].rates) <= 20  # exponentials of a pair, for 200 draws
+    got = np.zeros((200, len(some.own)))
+    for k, e, has in draws.excite(some):
+        got[:, k] = e
+        assert (has == hit[k].any(axis=1)).all()
+    totals, n = windows.Draws(given, PowerLaw(), DoubleExponential(), 0.4, radius, (0, 1, 0, 1)).totals(some)
+    assert n == hit.any(axis=1).sum()
+    for k in range(0, 200, 17):
+        f = np.where(hit, Exponential().density(np.where(hit, dt, 0), beta[k]) * Gaussian().density(dx, dy, var[k]), 0).sum(axis=1) * alpha[k]
+        assert np.allclose(got[k], f, rtol=1e-9, atol=1e-9 * f.max())
+        g = np.where(hit, PowerLaw().density(np.where(hit, dt, 0), beta[k], gamma[k]) * DoubleExponential().density(dx, dy, 5 * var[k]), 0).sum() * alpha[k]
+        assert math.isclose(totals[k], g, rel_tol=1e-9)
