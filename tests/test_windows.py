@@ -123,3 +123,14 @@ def test_pairs_are_met_once_for_very_many_draws(radius):
         assert np.allclose(got[k], f, rtol=1e-9, atol=1e-9 * f.max())
         g = np.where(hit, PowerLaw().density(np.where(hit, dt, 0), beta[k], gamma[k]) * DoubleExponential().density(dx, dy, 5 * var[k]), 0).sum() * alpha[k]
         assert math.isclose(totals[k], g, rel_tol=1e-9)
+
+
+def test_near_pairs_are_those_of_the_join(spark, ev):
+    want = sorted(map(tuple, pairs.event_pairs(ev, 1.25, 0.3).collect()))
+    assert sorted(map(tuple, windows.near_pairs(ev, 1.25, 0.3).collect())) == want and len(want) > 100
+
+
+def test_near_pairs_shuffle_an_event_few_times(spark, ev):
+    """Eighteen copies of an event in the join, for its buckets; here its stretch and the next, by the strips in reach."""
+    grouped = windows.stretches(ev, 0.4, 0.05, "point_id", "u", "sx", "sy", [])
+    assert grouped.agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] <= 4 * ev.count()
