@@ -617,3 +617,15 @@ def test_draws_are_met_in_turns_beyond_a_size(spark, monkeypatch):
     monkeypatch.setattr(likelihood, "AT_ONCE", 1)  # a block at a time
     assert likelihood.excitation(pairs_, draws, Exponential(), Gaussian()).orderBy("draw_id", "i").collect() == whole
     assert len(whole) == 60
+
+
+def test_the_whole_history_copies_no_event_for_wide_gaussians(spark, monkeypatch):
+    from pulsefield.plans import history
+
+    monkeypatch.setattr(history, "_some", lambda *_: pytest.fail("events are copied to cells"))
+    rows = [(k, float(k * 29 % 97) / 4, (k * 37 % 101) / 101, (k * 53 % 103) / 103) for k in range(200)]
+    ev = spark.createDataFrame(rows, "point_id long, u double, sx double, sy double")
+    found = {r["i"]: r["excitation"] for r in full_excitation(ev, one_draw(spark, alpha=0.3, beta=0.7, sigmax_2=0.01), Exponential(), Gaussian(), per_stretch=20).collect()}
+    for i, u, x, y in rows:
+        want = sum(0.3 / 0.7 * math.exp(-(u - b) / 0.7 - ((x - c) ** 2 + (y - d) ** 2) / 0.02) / (2 * math.pi * 0.01) for _, b, c, d in rows if b < u)
+        assert math.isclose(found[i], want, rel_tol=1e-8, abs_tol=1e-8)
