@@ -229,7 +229,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = near.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # The blocks that a node's buckets reach; a component of one block needs no look.
-    spread = spread.join(blocks.filter("blocks > 1").select("node", "block"), "node")
+    spread = nodes.select("node", "bands").join(blocks.filter("blocks > 1").select("node", "block"), "node").select("node", "block", F.explode("bands").alias("bucket"))
     reached = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_set("block").alias("others")).filter("n > 1").drop("n")
     others = spread.join(reached, "bucket").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
     placed = blocks.join(others, "node", "left").withColumn("others", F.coalesce("others", F.array(F.lit(0))))
