@@ -48,6 +48,15 @@ def test_a_window_of_very_many_pairs_is_not_refused(spark, ev, monkeypatch):
         assert all(math.isclose(got[r.draw_id][c], r[c], rel_tol=1e-9) for c in ("event_term", "itot_back", "itot_excite", "loglik"))
 
 
+def test_heldout_events_of_very_many_pairs_are_not_refused(spark, ev, monkeypatch):
+    """The model's own events and the held-out ones: neither has its pairs counted or made."""
+    raw, draws = ev.select("point_id", "X", "Y", "T"), fx.draws(spark, 9)
+    want = lk.log_expected_likelihood(lk.hawkes_scores(ev, pairs.event_pairs(ev, 1.25), draws, D, Exponential(), Gaussian(), 1.25)).first()[0]
+    monkeypatch.setattr(pairs, "checked_pairs", lambda *_: pytest.fail("pairs are made or counted"))
+    got = lk.hawkes(raw.filter("point_id < 20"), Domain(t_max=30.0), 1.25).heldout(raw, draws, d=D).first()[0]
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
 def test_fits_need_no_rows_of_pairs(spark, ev):
     now = {"a_0": 1.0, "alpha": 0.3, "beta": 0.4, "sigmax_2": 0.02}
     rows = pairs.event_pairs(ev, 1.25)
