@@ -100,6 +100,45 @@ def test_background_over_all_draws_keeps_a_row_for_each(spark):
     assert set(rows.columns) == {"draw_id", "point_id", "background"} and rows.count() == 200 * 1000
 
 
+def test_events_meet_fields_without_a_shuffle_of_arrays(spark, ev):
+    """The bare events are dealt out once; no join shuffles them with an array of draws for each."""
+    found = lk.background_at_events(ev, fx.fields(spark, 20), fx.draws(spark, 20))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(point_id") == 1
+
+
+@pytest.mark.parametrize("at_once", [60_000, 10_000])
+def test_draws_of_the_background_are_met_in_turns(spark, ev, monkeypatch, at_once):
+    """699 cells: the first limit has room for two draws of each, the second for none, so nothing is broadcast by force."""
+    some = ev.limit(50).withColumn("time_bin", F.when(F.col("point_id") % 7 > 0, F.col("time_bin")))
+    draws, fields = fx.draws(spark, 19).filter("draw_id % 5 <> 1"), fx.fields(spark, 19).filter("field <> 'f_a' or idx <> 3 or draw_id <> 4")
+    values = {(r.draw_id, r.field, r.idx): r.value for r in fields.collect()}
+    want = {}
+    for d in draws.collect():
+        for e in some.collect():
+            parts = [d.a_0, *[values.get((d.draw_id, n, e[c])) for n, c in (("f_t", "time_bin"), ("f_a", "season_bin"), ("f_xy", "cell_id"))]]
+            want[d.draw_id, e.point_id] = None if None in parts else math.exp(sum(parts))
+    whole = lk.background_at_events(some, fields, draws).collect()
+    monkeypatch.setattr(lk, "AT_ONCE", at_once)
+    for rows in (whole, lk.background_at_events(some, fields, draws).collect()):
+        got = {(r.draw_id, r.point_id): r.background for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(got[k] is v if v is None else math.isclose(got[k], v, rel_tol=1e-12) for k, v in want.items())
+    assert None in want.values() and len(set(want.values())) > 500
+
+
+def test_backgrounds_are_rounded_as_sql_rounds(spark):
+    import duckdb
+
+    from pulsefield.plans.queries import _quick
+
+    rows = [0.0, 0.125, 0.375, 2.5, 3.5, 0.000005, 20.123455, 1e15 / 3, 2.0**52, 1e305, math.inf, math.nan, None, *[math.exp(k / 97) for k in range(600)]]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v double").orderBy("k").select(*[F.struct(*[_quick(F.col("v"), n) for n in (0, 2, 5)])]).collect()]
+    for v, mine in zip(rows, got, strict=True):
+        want = duckdb.execute("SELECT round(?::DOUBLE, 0), round(?::DOUBLE, 2), round(?::DOUBLE, 5)", [v] * 3).fetchall()[0]
+        assert tuple(map(str, mine)) == tuple(map(str, want))
+
+
 def test_nearest_of_a_large_grid_is_not_sent_through_the_driver(spark):
     from pulsefield.operators import spatial
 
