@@ -182,3 +182,11 @@ def test_near_pairs_shuffle_an_event_few_times(spark, ev):
     """Eighteen copies of an event in the join, for its buckets; here its stretch and the next, by the strips in reach."""
     grouped = windows.stretches(ev, 0.4, 0.05, "point_id", "u", "sx", "sy", [])
     assert grouped.agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] <= 4 * ev.count()
+
+
+def test_cox_hawkes_with_covariates_takes_every_draw_and_pair(spark):
+    from pulsefield.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got, want = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for name in ("cox_hawkes_cov_loglik", "cox_hawkes_cov_loglik_all"))
+    assert len(got) == 200 and got == want
