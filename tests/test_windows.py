@@ -190,3 +190,56 @@ def test_cox_hawkes_with_covariates_takes_every_draw_and_pair(spark):
     sf = "/root/testdata/sf0.001"
     got, want = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for name in ("cox_hawkes_cov_loglik", "cox_hawkes_cov_loglik_all"))
     assert len(got) == 200 and got == want
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_corners_sum_as_pairs_do(monkeypatch, ties):
+    """Double exponentials by cells; with ties in time and place, and many events in one place."""
+    from pulsefield.plans import corners
+
+    monkeypatch.setattr(corners, "FEW", 100)
+    rng, n = np.random.default_rng(5), 2500
+    t, x, y = np.sort(rng.uniform(0, 0.8, n)), rng.uniform(0, 1, n), rng.uniform(0, 1, n) ** 2
+    if ties:
+        t, x = np.sort(np.round(t, 2)), np.round(x, 1)
+        x[:300], y[:300] = 0.5, 0.25
+    some = windows.Stretch(t, x, y, t >= 0.4, 0.4)
+    rates, scales = np.array([0.0, 3.0, 160.0]), np.array([0.001, 0.03, 0.1])
+    found = corners.Corners(some, rates)
+    assert found.x.n > 5 and any(p < q for _, _, p, q in found.blocks)
+    dt, lag = t[some.own][:, None] - t, np.abs(x[some.own][:, None] - x) + np.abs(y[some.own][:, None] - y)
+    hit, totals = (dt > 0) & (dt <= 0.4), found.totals(scales)
+    for k, scale in enumerate(scales):
+        f = np.where(hit, np.exp(-lag / scale), 0)
+        want = np.stack([np.stack([(f * v * np.exp(-r * np.where(hit, dt, 0))).sum(axis=1) for r in rates], axis=1) for v in (1, lag)])
+        assert np.allclose(found.sums(scale), want, rtol=1e-10, atol=1e-13 * want.max())
+        assert np.allclose(totals[k], want[0].sum(axis=0), rtol=1e-12)
+
+
+def test_double_exponentials_meet_few_pairs(monkeypatch):
+    """A window of 6,000 events: cells hold most pairs, and sums are those of all of them."""
+    from pulsefield.plans import corners
+
+    i, rng, n = np.arange(200), np.random.default_rng(6), 12_000
+    t, x, y = np.sort(rng.uniform(0, 0.8, n)), rng.uniform(0, 1, n), rng.uniform(0, 1, n)
+    some = windows.Stretch(t, x, y, t >= 0.4, 0.4)
+    given = [{"draw_id": int(k), "alpha": 0.2, "beta": 0.02 + k * 53 % 223 / 2230, "gamma": 0.5 + k * 31 % 233 / 233, "Lambda": 0.025 + k * 29 % 227 / 4540} for k in i]
+    draws = windows.Draws(given, PowerLaw(), DoubleExponential(), 0.4, None, (0, 1, 0, 1))
+    sums, count = some.totals(None, draws.lags, DoubleExponential().lag, draws.far)
+    want = draws.alpha * draws.peaks * (draws.lags.weights @ sums * draws.far.weights).sum(axis=1)
+    met = sum(int(h.sum()) for _, _, h in corners.Corners(some, draws.times[0])._near())
+    assert met < int((some.hi - some.lo).sum()) / 5
+    monkeypatch.setattr(windows.Stretch, "blocks", lambda *_: pytest.fail("all pairs are met"))
+    got, n = draws.totals(some)
+    assert n == count and np.allclose(got, want, rtol=1e-9)
+
+
+def test_kernels_in_time_are_sums_of_exponentials():
+    from pulsefield.plans.corners import exponentials
+
+    lags = np.geomspace(1e-7, 0.4, 500)
+    for beta, gamma in ((0.8, 0.1), (0.02, 1.5), (2.0, 0.03)):
+        values = lambda dt: np.stack([PowerLaw().density(dt, beta, gamma), PowerLaw().density(dt, beta, gamma) * np.log1p(dt / gamma)])  # noqa: B023, E731
+        rates, weights = exponentials(values, 0.4, 1e-11)
+        error = np.abs(weights @ np.exp(-np.outer(rates, lags)) - values(lags)).max(axis=1)
+        assert (error < 1e-11 * values(lags).max(axis=1)).all()
