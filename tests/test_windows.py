@@ -243,3 +243,18 @@ def test_kernels_in_time_are_sums_of_exponentials():
         rates, weights = exponentials(values, 0.4, 1e-11)
         error = np.abs(weights @ np.exp(-np.outer(rates, lags)) - values(lags)).max(axis=1)
         assert (error < 1e-11 * values(lags).max(axis=1)).all()
+
+
+def test_nearest_of_a_large_grid_makes_no_copies_for_levels(spark, monkeypatch):
+    """A row is shuffled about once, and the answers of many tiles are those of all pairs."""
+    from pulsefield.operators import nearest, spatial
+
+    monkeypatch.setattr(nearest, "TILE", 200)
+    monkeypatch.setattr(nearest, "LAID", 500)
+    rng = np.random.default_rng(9)
+    g, p = np.round(rng.random((3000, 2)) ** 3, 3), np.concatenate([rng.random((1500, 2)), 0.2 * rng.random((500, 2)), [[5.0, -3.0]]])
+    table = lambda at, name: spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], f"{name} long, X double, Y double")
+    found = spatial.nearest_index(table(p, "point_id"), table(g, "idx"), ("X", "Y"))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    d2 = (p[:, None, 0] - g[:, 0]) ** 2 + (p[:, None, 1] - g[:, 1]) ** 2
+    assert {r.point_id: r.idx for r in found.collect()} == dict(enumerate(d2.argmin(axis=1).tolist()))
