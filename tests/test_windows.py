@@ -258,3 +258,14 @@ def test_nearest_of_a_large_grid_makes_no_copies_for_levels(spark, monkeypatch):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     d2 = (p[:, None, 0] - g[:, 0]) ** 2 + (p[:, None, 1] - g[:, 1]) ** 2
     assert {r.point_id: r.idx for r in found.collect()} == dict(enumerate(d2.argmin(axis=1).tolist()))
+
+
+def test_pairs_as_rows_copy_an_event_less_than_twice(spark, monkeypatch):
+    """Long stretches and broad strips; the pairs across their borders, and those a whole window apart, are all there."""
+    used, real = [], windows.stretches
+    monkeypatch.setattr(windows, "stretches", lambda *a: used.append(real(*a)) or used[0])
+    rows = [(k, (k * 37 % 101) / 101, (k * 53 % 103) / 103, float(k % 997) / 20) for k in range(4000)]
+    some = prepare(spark.createDataFrame(rows, "point_id long, X double, Y double, T double"), D)
+    got = sorted(map(tuple, windows.near_pairs(some, 0.4, 0.05).collect()))
+    assert used[0].agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0] < 2 * 4000
+    assert got == sorted(map(tuple, pairs.event_pairs(some, 0.4, 0.05).collect())) and len(got) > 100
